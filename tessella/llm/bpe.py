@@ -29,7 +29,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Chunks that a worker keeps from batch to batch. It bounds memory only: a chunk that was forgotten is encoded again.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"\p{White_Space}+")
 
@@ -253,7 +253,7 @@ def encoder(path: str, engine: str = "index") -> Encoder:
     return Encoder(path, engine)
 
 
-def blocks(texts: list[str | None], chars: int = 32_000_000) -> Iterator[list[str | None]]:
+def blocks(texts: list[str | None], chars: int = 6_000_000) -> Iterator[list[str | None]]:
     """Runs of whole texts of about so many characters, to bound a batch's memory."""
     block: list[str | None] = []
     size = 0
