@@ -20,18 +20,16 @@ import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Chunks that a worker keeps from batch to batch. It bounds memory only: a chunk that was forgotten is encoded again.
-CACHE_CHUNKS = 200_000
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_WHITE = regex.compile(r"\p{White_Space}+")
+CACHE_CHUNKS = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -199,9 +197,6 @@ class Encoder:
         self.learn_pieces: Callable[[list[str]], list[bytes]] | None = None
         self.chunks: dict[str, bytes] = {}
 
-    def _split(self, text: str) -> list[str]:
-        return _WHITE.split(text) if _ODD_SPACE.search(text) else text.split()
-
     def _learn(self, chunks: list[str]) -> None:
         special = self.model.split_special
         if self.engine == "library":
@@ -218,7 +213,7 @@ class Encoder:
             chunks = [c for c in chunks if "<|" not in c]
         if not chunks:
             return
-        low = self.model.normal("\n".join(chunks)).split("\n")  # no chunk holds white space
+        low = self.model.normal("\n".join(chunks)).split("\n")  # no chunk holds a line end
         plan = [c if c.isalpha() else self.model.pattern.findall(c) for c in low]
         todo = {p for p in plan if isinstance(p, str)}
         todo.update(*[p for p in plan if not isinstance(p, str)])
@@ -227,24 +222,30 @@ class Encoder:
         get = known.__getitem__
         self.chunks.update(zip(chunks, [get(p) if isinstance(p, str) else b"".join(map(get, p)) for p in plan]))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's ids begin and end (one offset more than texts)."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
         if len(self.chunks) > CACHE_CHUNKS:
             self.chunks.clear()
         collecting = gc.isenabled()
-        gc.disable()  # millions of short strings and no cycles
-        new: set[str] = set()
-        for t in texts:
-            if t:
-                new.update(self._split(t))
-        new.difference_update(self.chunks)
-        if new:
-            self._learn(list(new))
-        del new
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, self._split(t))) if t else b"" for t in texts]
+        gc.disable()  # many short strings and no cycles
+        if new := [c for c in chunks if c not in self.chunks]:
+            self._learn(new)
+        parts = list(map(self.chunks.__getitem__, chunks))
         if collecting:
             gc.enable()
-        return out
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begins = np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        out = ids[np.repeat(begins[which] - (ends - counts), counts) + np.arange(total)]
+        bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
+        return out, np.concatenate(([0], ends))[bounds]
 
 
 @lru_cache(maxsize=4)
@@ -253,18 +254,46 @@ def encoder(path: str, engine: str = "index") -> Encoder:
     return Encoder(path, engine)
 
 
-def blocks(texts: list[str | None], chars: int = 6_000_000) -> Iterator[list[str | None]]:
-    """Runs of whole texts of about so many characters, to bound a batch's memory."""
-    block: list[str | None] = []
+def blocks(batches: Iterator[pa.Array], chars: int = 4_000_000) -> Iterator[tuple[pa.Array, list[int]]]:
+    """Runs of whole texts of about so many bytes, with the lengths of the batches that end in each; one batch or several."""
+    waiting: list[pa.Array] = []
     size = 0
-    for t in texts:
-        block.append(t)
-        size += len(t or "")
+    for batch in batches:
+        batch = batch.cast(pa.string())
+        waiting.append(batch)
+        size += batch.nbytes
         if size >= chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+            yield pa.concat_arrays(waiting), [len(w) for w in waiting]
+            waiting, size = [], 0
+    if waiting:
+        yield pa.concat_arrays(waiting), [len(w) for w in waiting]
+
+
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Slices of little-endian numbers as an Arrow binary array."""
+    data = np.ascontiguousarray(data, "<u4")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(data)])
+
+
+def names_array(model: BpeModel) -> pa.Array:
+    return pa.array(model.token_names, pa.string())
+
+
+def joined(ids: np.ndarray, offsets: np.ndarray, names: pa.Array) -> pa.Array:
+    """Text of each slice of ids: its token strings joined by one space; ids outside the vocabulary are left out."""
+    known = ids < len(names)
+    if not known.all():
+        offsets = np.concatenate(([0], np.cumsum(known)))[offsets]
+        ids = ids[known]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names.take(pa.array(ids, pa.uint32()))), " ")
+
+
+def sliced(whole: pa.Array, sizes: list[int]) -> Iterator[pa.Array]:
+    """The array in slices of the given lengths."""
+    at = 0
+    for n in sizes:
+        yield whole.slice(at, n)
+        at += n
 
 
 def encode(text: Column, vocabulary: str, engine: str = "index") -> Column:
@@ -277,8 +306,8 @@ def encode(text: Column, vocabulary: str, engine: str = "index") -> Column:
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(vocabulary, engine)
-        for batch in batches:
-            yield pa.array(list(chain.from_iterable(map(e.encode, blocks(batch.to_pylist())))), pa.binary())
+        for texts, sizes in blocks(batches):
+            yield from sliced(binary_array(*e.encode(texts)), sizes)
 
     return ids(text)
 
@@ -291,20 +320,28 @@ def decode(ids: Column, vocabulary: str) -> Column:
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = encoder(vocabulary).model.token_names
-        known = set(encoder(vocabulary).model.names)
-        top, get = len(names), names.__getitem__
+        names = names_array(encoder(vocabulary).model)
         for batch in batches:
-            out = []
-            for raw in batch:
-                a = np.frombuffer(raw.as_buffer() or b"", "<u4") if raw.is_valid else np.empty(0, "<u4")
-                if len(a) and int(a.max()) >= top:
-                    a = a[a < top]
-                out.append(" ".join(map(get, a.tolist())) if len(known) == top else " ".join([names[i] for i in a.tolist() if i in known]))
-            yield pa.array(out, pa.string())
+            raw = batch.fill_null(b"").to_pylist()
+            offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int64)
+            yield joined(np.frombuffer(b"".join(raw), "<u4"), offsets, names)
 
     return texts(ids)
 
 
+def round_trip(text: Column, vocabulary: str, engine: str = "index") -> Column:
+    """A struct (ids, decoded) of each whole text: encode() and decode() in one pass, so that ids travel to one worker only."""
+
+    @F.arrow_udf("struct<ids:binary,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        e = encoder(vocabulary, engine)
+        names = names_array(e.model)
+        for texts, sizes in blocks(batches):
+            ids, offsets = e.encode(texts)
+            yield from sliced(pa.StructArray.from_arrays([binary_array(ids, offsets), joined(ids, offsets, names)], names=["ids", "decoded"]), sizes)
+
+    return both(text)
+
+
 def token_count(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")

@@ -38,3 +38,14 @@ def col(name: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+#: Rows of long texts that go to Python at once; it bounds a worker's memory, and results don't depend on it.
+TEXT_BATCH = 1000
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, with Arrow batches of at most TEXT_BATCH rows from here on in this session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    return table(spark, sf_dir, name)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import blocks, encoder
+from .bpe import binary_array, blocks, encoder, sliced
 from .common import col
 
 SEQUENCE = 4096
@@ -80,25 +80,23 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 def cut(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE, end_id: int | None = END_ID, engine: str = "index") -> DataFrame:
     """Rows (doc_id, start, length, doc_tokens, ids): every whole text's ids, cut at multiples of capacity; ids are little-endian uint32."""
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-
     @F.arrow_udf(_PIECE_SPARK)
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(vocabulary, engine)
-        for batch in batches:
-            offsets, starts, lengths, totals, ids = [0], [], [], [], []
-            for block in blocks(batch.to_pylist()):
-                for raw in e.encode(block):
-                    raw += end
-                    n = len(raw) // 4
-                    for s in range(0, n, capacity):
-                        starts.append(s)
-                        lengths.append(min(capacity, n - s))
-                        totals.append(n)
-                        ids.append(raw[4 * s : 4 * (s + capacity)])
-                    offsets.append(len(starts))
-            parts = [pa.array(x, t.type) for x, t in zip((starts, lengths, totals, ids), _PIECE)]
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(_PIECE)))
+        for texts, sizes in blocks(batches):
+            ids, offsets = e.encode(texts)
+            if end_id is not None:
+                ids = np.insert(ids, offsets[1:], end_id)
+                offsets = offsets + np.arange(len(offsets))
+            totals = np.diff(offsets)
+            counts = -(-totals // capacity)
+            first = np.cumsum(counts) - counts
+            starts = (np.arange(int(counts.sum())) - np.repeat(first, counts)) * capacity
+            doc_tokens = np.repeat(totals, counts)
+            lengths = np.minimum(capacity, doc_tokens - starts)
+            parts = [pa.array(starts), pa.array(lengths), pa.array(doc_tokens), binary_array(ids, np.concatenate(([0], np.cumsum(lengths))))]
+            rows = pa.StructArray.from_arrays(parts, fields=list(_PIECE))
+            yield from sliced(pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(starts)])), pa.int32()), rows), sizes)
 
     return df.select(col(id_col).alias("doc_id"), F.explode(pieces(col(text_col).cast("string"))).alias("p")).select("doc_id", "p.*")
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, sharding, simhash, warc
-from .common import table
+from . import ann, bpe, packing, quality_rules, secrets, sharding, simhash, warc
+from .common import table, text_table
 
 
 def vocabulary() -> str:
@@ -18,37 +18,48 @@ def vocabulary() -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.cut(table(spark, sf_dir, "documents"), vocabulary())
+    pieces = packing.cut(text_table(spark, sf_dir, "documents"), vocabulary())
     digests = pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens")
     return packing.pack(digests)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     cascade, _ = quality_rules.plan_cascade(docs)
     verdict = docs.select("doc_id", quality_rules.judge(F.col("text"), cascade).alias("v"))
     return verdict.select("doc_id", "v.n_words", "v.word_chars", "v.n_symbols", "v.n_dup_lines", "v.n_repeat_words", "v.base_failed", "v.kept")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), vocabulary()).alias("ids"))
-    decoded = encoded.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), "ids", bpe.decode(F.col("ids"), vocabulary()).alias("decoded"))
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = text_table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), vocabulary()).alias("b")).select("doc_id", "b.*")
+    return both.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, manifest = warc.archive(table(spark, sf_dir, "pages"))
+    path, manifest = warc.archive(text_table(spark, sf_dir, "pages"))
     records = warc.read_archives(spark, path, manifest)
     return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text_table(spark, sf_dir, "documents").select("doc_id", secrets.secrets(F.col("text")).alias("f"))
+    base = F.filter("f", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spell = lambda fs: F.array_join(F.transform(fs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(spell(base), 256).alias("base_sha256"), spell(F.col("f")).alias("spans"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(text_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
