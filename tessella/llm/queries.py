@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, packing, quality_rules, secrets, sharding, simhash, warc
+from . import ann, bpe, html_extract, packing, quality_mil, quality_rules, secrets, sharding, simhash, warc
 from .common import table, text_table
 
 
@@ -49,6 +49,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(spell(base), 256).alias("base_sha256"), spell(F.col("f")).alias("spans"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(text_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -58,6 +62,13 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text_table(spark, sf_dir, "documents")
+    model = quality_mil.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality_mil.held_out(F.col("doc_id")).alias("held_out"), quality_mil.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality_mil.THRESHOLD).cast("int"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(text_table(spark, sf_dir, "documents"))
 
