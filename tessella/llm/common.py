@@ -44,8 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TEXT_BATCH = 1000
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, with Arrow batches of at most TEXT_BATCH rows from here on in this session."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most TEXT_BATCH rows from here on in this session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, read in bounded batches."""
+    bounded_batches(spark)
     return table(spark, sf_dir, name)
