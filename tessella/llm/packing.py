@@ -1,10 +1,10 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, independently in randomised groups.
 
 ``cut`` tokenises whole documents and cuts each into full sequences and one remainder. ``pack`` spreads the
-remainders at random (by a hash, so that a lost task gives the same rows again), splits each partition into
+pieces at random (by a hash, so that a lost task gives the same rows again), splits each partition into
 groups of at most ``group`` pieces and packs each by first-fit decreasing; the tournament tree finds the first
 bin that still holds a piece in logarithmic time. No group depends on another, no key collects a share of the
-rows and a task holds one group at a time. A full piece needs no bin and is not shuffled.
+rows and a task holds one group at a time.
 
 Defined results: a null text is an empty document, which is the end id alone; repeated rows are packed each;
 an empty table gives no rows; extra columns stay out of the result whatever their names.
@@ -107,11 +107,9 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = SEQUENCE
     spread: what the random order is drawn from; all columns by default. Every length must be 1 to capacity.
     """
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    full = pieces.filter(col(length_col) == capacity).select(
-        "*", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
     order = F.xxhash64(F.lit(seed), *(spread or [col(c) for c in pieces.columns]))
-    rest = pieces.filter(col(length_col) < capacity).withColumn("__order", order)
+    spread_out = pieces.withColumn("__order", order).repartition("__order")
+    ordered = spread_out.sortWithinPartitions("__order", *[col(c) for c in pieces.columns if pieces.schema[c].dataType.typeName() not in ("map", "variant")])
 
     def groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -138,8 +136,7 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = SEQUENCE
         if count:
             yield packed(pd.concat(waiting, ignore_index=True))
 
-    spreaded = rest.repartition("__order").sortWithinPartitions("__order", *[col(c) for c in pieces.columns if pieces.schema[c].dataType.typeName() not in ("map", "variant")])
-    return full.unionByName(spreaded.mapInPandas(groups, schema))
+    return ordered.mapInPandas(groups, schema)
 
 
 def sequences(packed: DataFrame, capacity: int = SEQUENCE, pad_id: int = 0) -> DataFrame:
