@@ -1,0 +1,14 @@
+"""A semantic layer on Spark: dimensions and measures declared once, queries that joins can't make wrong."""
+
+from .errors import BackendError, CompilationError, DefinitionError, NonAdditiveTotalError, QueryError, SerializationError, TessellaError, UnknownFieldError, WindowedBaseReductionError
+from .expr.nodes import _, asc, case, desc, function, ifelse, literal, window
+from .expr.sandbox import parse
+from .model import Result, SemanticTable, entity_dimension, time_dimension, to_semantic_table
+from .plans.tree import Dimension, Measure
+from .predicate import Filter
+from .query import compare_periods, query
+
+__all__ = [
+    "BackendError", "CompilationError", "DefinitionError", "Dimension", "Filter", "Measure", "NonAdditiveTotalError", "QueryError", "Result", "SemanticTable", "SerializationError", "TessellaError", "UnknownFieldError",
+    "WindowedBaseReductionError", "_", "asc", "case", "compare_periods", "desc", "entity_dimension", "function", "ifelse", "literal", "parse", "query", "time_dimension", "to_semantic_table", "window",
+]
