@@ -79,12 +79,12 @@ class Rule:
 
 def _shouting(p: Page) -> bool:
     upper = sum(map(str.isupper, p.text))
-    return upper > 0.5 * p.word_chars
+    return 2 * upper > p.word_chars
 
 
 def _stuttering(p: Page) -> bool:
-    words = p.text.split()
-    return sum(map(str.__eq__, words, words[1:])) > 0.3 * len(words)
+    words = p.text.encode("utf-8", "surrogatepass").split()
+    return 10 * sum(map(bytes.__eq__, words, words[1:])) > 3 * len(words)
 
 
 RULES = (
@@ -92,7 +92,7 @@ RULES = (
     Rule("exclamations", lambda p: 4 * p.text.count("!") > p.n_words),
     Rule("word_length", lambda p: not 2 * p.n_words <= p.word_chars <= 25 * p.n_words),
     Rule("repeated_lines", lambda p: p.n_dup_lines >= 3 and 2 * p.n_dup_lines > p.text.count("\n") + 1),
-    Rule("digits", lambda p: sum(map(p.text.count, "0123456789")) > 0.5 * p.word_chars),
+    Rule("digits", lambda p: sum(map(p.text.count, "0123456789")) * 2 > p.word_chars),
     Rule("shouting", _shouting),
     Rule("stuttering", _stuttering),
 )

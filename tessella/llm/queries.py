@@ -88,5 +88,25 @@ FROM f
 """
 
 
+OP2_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4] AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, five) >= 2),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice CROSS JOIN (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+b AS (
+  SELECT w.doc_id, w.text, ws, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(w.text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w JOIN l ON w.doc_id = l.doc_id LEFT JOIN covered ON w.doc_id = covered.doc_id
+), f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 4 * length(regexp_replace(text, '[^!]', '', 'g')) > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+    OR (n_dup_lines >= 3 AND 2 * n_dup_lines > length(regexp_replace(text, '[^\n]', '', 'g')) + 1) OR 2 * length(regexp_replace(text, '[^0-9]', '', 'g')) > word_chars
+    OR 2 * length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > word_chars OR 10 * len(list_filter(list_zip(ws[:-2], ws[2:]), lambda x: x[1] = x[2])) > 3 * n_words) AS kept
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL}

@@ -95,18 +95,32 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> tuple[list[int],
 
 
 def into_shards(sizes: Sequence[int], shards: int) -> list[int]:
-    """Best-fit decreasing at the least capacity at which the items fit into so many bins."""
-    if not sizes:
-        return []
-    low = max(max(sizes), -(-sum(sizes) // shards))
-    high = max(low, 2 * low)
+    """Best-fit decreasing at the least capacity at which the items fit into so many bins.
+
+    An item above an even share has a bin to itself, and the share of the others is counted again without it.
+    """
+    bins = [0] * len(sizes)
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    own, left = 0, sum(sizes)
+    while own < min(shards - 1, len(order)) and sizes[order[own]] * (shards - own) >= left:
+        bins[order[own]] = own
+        left -= sizes[order[own]]
+        own += 1
+    rest = sorted(order[own:])
+    if not rest:
+        return bins
+    items = [sizes[i] for i in rest]
+    low = max(max(items), -(-sum(items) // (shards - own)))
+    high = 2 * low
     while low < high:
         middle = (low + high) // 2
-        if best_fit_decreasing(sizes, middle)[1] <= shards:
+        if best_fit_decreasing(items, middle)[1] <= shards - own:
             high = middle
         else:
             low = middle + 1
-    return best_fit_decreasing(sizes, high)[0]
+    for i, b in zip(rest, best_fit_decreasing(items, high)[0]):
+        bins[i] = own + b
+    return bins
 
 
 def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", bundles: int = BUNDLES) -> DataFrame:
