@@ -75,11 +75,11 @@ class Nest:
         return self._step("limit", (n, offset))
 
 
-def _inner(nest: Nest, outer: dict[str, Expr]) -> tuple[Any, list[str], list[Any]]:
+def _inner(nest: Nest, outer: dict[str, Expr], part: list[str]) -> tuple[Any, list[str], list[Any]]:
     """The inner rows at outer and inner keys, the names of the struct's fields, and their order."""
     group = Grouped(nest.model, nest.keys)
     keys = group.resolved()
-    both = {**{f"__outer_{i}": e for i, e in enumerate(outer.values())}, **keys}
+    both = {**dict(zip(part, outer.values())), **keys}
     if not nest.aggregated:
         tree = nest.model.tree
         planner = Planner(tree)
@@ -93,7 +93,6 @@ def _inner(nest: Nest, outer: dict[str, Expr]) -> tuple[Any, list[str], list[Any
     else:
         plan = aggregate(nest.model.tree, both, wanted, nest.model._filters())
         result = Result(plan.df, list(keys), plan.measures, plan.additive)
-    part = [f"__outer_{i}" for i in range(len(outer))]
     order: list[tuple[Expr, bool]] = []
     for kind, what in nest.steps:
         if kind == "filter":
@@ -117,12 +116,13 @@ def with_nests(group: Grouped, keys: dict[str, Expr], wanted: dict[str, Any], ne
     """The outer aggregation with one array column a nest; groups without inner rows have a null array."""
     plan = aggregate(group.model.tree, keys, wanted, group.model._filters())
     df = plan.df
-    part = [f"__outer_{i}" for i in range(len(keys))]
+    depth = 1 + max([-1, *(int(k.split("_")[2][5:]) for k in keys if k.startswith("__outer"))])
+    part = [f"__outer{depth}_{i}" for i in range(len(keys))]
     for name, build in nests.items():
         nest = build(NestScope(group.model))
         if not isinstance(nest, Nest):
             raise NotImplementedError("a nest must be a group_by() or an aggregate()")
-        inner, fields, sorts = _inner(nest, keys)
+        inner, fields, sorts = _inner(nest, keys, part)
         struct = F.struct(*[quoted(c).alias(c) for c in fields])
         if sorts:
             inner = inner.withColumn("__nth", F.row_number().over(W.partitionBy(*map(quoted, part)).orderBy(*sorts)))

@@ -258,11 +258,11 @@ class Tree:
         known = self.dimension_names()
         full = self.find(name, known)
         if full is None:
-            if (raw := self.raw(name)) is not None:
-                return raw
             near = [k for k in known if k.endswith(f".{name}")]
             if near:
                 raise QueryError(f"{name!r} is ambiguous: {', '.join(sorted(near))}")
+            if (raw := self.raw(name)) is not None:
+                return raw
             raise UnknownFieldError(name, [*known, *(c for i in range(len(self.leaves)) for c in self.columns(i))], "dimension")
         leaf, d = known[full]
         if leaf is not None:
