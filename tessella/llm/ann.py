@@ -2,11 +2,13 @@
 
 Each tree hashes a vector to a long string of bits (signs of random projections). A tree is one sorted array of these strings,
 laid out over the cluster by prefix: rows that share a prefix of ``depth`` bits lie in one cell, sorted by their
-strings. A query descends to its longest match in each tree's array; all trees then ascend together, level by level, and
-each level adds the rows of its wider range, until the level that the target recall needs. That level and the
-number of trees follow the data: density gives the depth, and the similarity of true neighbours, measured by brute force
-for a bounded set of queries over all rows, gives the trees that find such a neighbour with the target probability. Vectors without
-structure need many trees and short prefixes, at worst depth 0, which is exact search in blocks.
+strings. A query descends to its longest match in each tree's array; all trees then ascend together, to the level that the
+target recall needs, and a tree in which the query has fewer than k rows there ascends on by itself, up to its cell. The rows of
+these ranges are the candidates.
+
+The number of trees and the level are measured, not assumed: true neighbours of a bounded set of queries are found among all rows by brute
+force, and of all numbers of trees the one is taken whose level, at which so many trees hold the target share of those neighbours, leaves the
+fewest rows to compare. Vectors without structure need short prefixes, at worst level 0, which is exact search in blocks.
 
 Cells that hold too much, be it one third of all rows, are cut into slices of rows and of queries that meet in a grid of
 blocks; nothing is capped. Queries that found fewer than k rows search all rows in blocks.
@@ -30,7 +32,7 @@ from .common import col, shared_path
 
 CELL = 8192
 MOST_TREES = 64
-RECALL = 0.95
+RECALL = 0.96
 SAMPLE_QUERIES = 64
 #: Crowded cells are sent to workers as a list of at most so many entries; beyond it, the limit that makes a cell crowded doubles.
 MOST_CROWDED = 50_000
@@ -132,31 +134,84 @@ def _sample_search(valid: DataFrame, sample: list, k: int) -> DataFrame:
     return _ranked(valid.select("vec_id", "v").mapInArrow(search, _HIT), k)
 
 
-def plan_forest(rows: int, cosine: float, recall: float = RECALL, cell: int = CELL) -> tuple[int, int]:
-    """Depth and trees: the deepest level by density at which at most MOST_TREES trees find a neighbour of that cosine with the recall."""
-    agree = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-    depth = max(0, min(40, int(math.log2(max(1, rows) / cell)))) if rows > cell else 0
-    while depth:
-        hit = agree**depth
-        trees = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit)) if hit > 1e-9 else MOST_TREES + 1
-        if trees <= MOST_TREES:
-            return depth, max(1, trees)
-        depth -= 1
-    return 0, 1
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of leading bits that two strings share."""
+    bits = np.unpackbits(np.ascontiguousarray((a ^ b).astype(">u8")).view(np.uint8).reshape(*a.shape, 8), axis=-1)
+    return np.where(bits.any(axis=-1), bits.argmax(axis=-1), 64)
+
+
+def plan_forest(shared: np.ndarray, rows: int, recall: float = RECALL, cell: int = CELL) -> tuple[int, int, int]:
+    """Trees, level and cell depth from the prefixes that pairs of neighbours (rows) share in each tree (columns).
+
+    With the first n trees, level is the longest prefix that at least recall of the pairs share in one of them; n is chosen for the least n / 2**level.
+    """
+    if not len(shared):
+        return 1, 0, 0
+    best = np.maximum.accumulate(shared, axis=1)
+    levels = [int(np.quantile(best[:, n], 1 - recall, method="lower")) for n in range(best.shape[1])]
+    trees = min(range(len(levels)), key=lambda n: ((n + 1) / 2.0 ** levels[n], n)) + 1
+    level = levels[trees - 1]
+    density = int(math.log2(rows / cell)) if rows > cell else 0
+    return trees, level, min(level, density)
 
 
-def _blocks(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Nearest rows of right for the queries of left within equal keys."""
+def ranges(strings: np.ndarray, queries: np.ndarray, level: int, depth: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each query's rows in a sorted array: those that share level bits, or fewer bits down to depth while they are not more than k."""
+    begin, end = np.zeros(len(queries), np.int64), np.full(len(queries), len(strings), np.int64)
+    open_ = np.arange(len(queries))
+    for bits in range(level, depth, -1):
+        mask = np.uint64((1 << 64) - (1 << (64 - bits)))
+        low = queries[open_] & mask
+        begin[open_], end[open_] = np.searchsorted(strings, low), np.searchsorted(strings, low | ~mask, side="right")
+        open_ = open_[end[open_] - begin[open_] <= k]
+        if not len(open_):
+            return begin, end
+    begin[open_], end[open_] = 0, len(strings)
+    return begin, end
+
+
+def _blocks(left: DataFrame, right: DataFrame, keys: list[str], k: int, level: int = 0, depth: int = 0) -> DataFrame:
+    """Nearest rows of right for the queries of left within equal keys, among the rows of their ranges."""
 
     def block(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
             return _HIT_ARROW.empty_table()
-        return nearest(queries["query_id"].to_numpy(), _matrix(queries["v"]), rows["held_vec_id"].to_numpy(), _matrix(rows["held_v"]), k)
+        q_id, q, r_id, r = queries["query_id"].to_numpy(), _matrix(queries["v"]), rows["held_vec_id"].to_numpy(), _matrix(rows["held_v"])
+        if level <= depth:
+            return nearest(q_id, q, r_id, r, k)
+        strings, asked = rows["held_code"].to_numpy().view(np.uint64), queries["code"].to_numpy().view(np.uint64)
+        order = np.argsort(strings, kind="stable")
+        strings, r_id, r = strings[order], r_id[order], r[order]
+        begin, end = ranges(strings, asked, level, depth, k)
+        spans, which = np.unique(np.stack([begin, end], axis=1), axis=0, return_inverse=True)
+        parts = []
+        for i, (lo, hi) in enumerate(spans.tolist()):
+            at = np.flatnonzero(which.ravel() == i)
+            if hi > lo:
+                parts.append(nearest(q_id[at], q[at], r_id[lo:hi], r[lo:hi], k))
+        return pa.concat_tables(parts) if parts else _HIT_ARROW.empty_table()
 
     right = right.select(*[F.col(c).alias(f"held_{c}") for c in right.columns])
     return left.groupBy(*keys).cogroup(right.groupBy(*[f"held_{c}" for c in keys])).applyInArrow(block, _HIT)
 
 
+def _shared_prefixes(valid: DataFrame, sample: list, k: int, seed: int) -> np.ndarray:
+    """For each sampled query and each of its true neighbours the prefix that they share in each of MOST_TREES trees."""
+    spark = valid.sparkSession
+    near = [(q, v) for q, v in _sample_search(valid, sample, k).select("query_id", "vec_id").collect()]  # at most SAMPLE_QUERIES x k
+    if not near:
+        return np.zeros((0, MOST_TREES), np.int64)
+    wanted = spark.createDataFrame([(v,) for v in sorted({v for _, v in near})], "wanted long")
+    vectors = {i: v for i, v in valid.join(F.broadcast(wanted), F.col("vec_id") == F.col("wanted"), "left_semi").groupBy("vec_id").agg(F.first("v")).collect()}  # as many rows as wanted
+    vectors |= {i: v for i, v in sample}
+    out = []
+    for q, v in near:
+        if len(vectors[q]) == len(vectors[v]):
+            pair = hash_strings(np.array([vectors[q], vectors[v]], np.float64), MOST_TREES, seed)
+            out.append(common_prefix(pair[0], pair[1]))
+    return np.array(out).reshape(-1, MOST_TREES)
+
+
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, recall: float = RECALL, cell: int = CELL, seed: int = 1) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query row its k nearest other rows by cosine."""
     spark = df.sparkSession
@@ -167,8 +222,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     valid = spark.read.parquet(path)
     rows = valid.count()
     sample = valid.filter("q").orderBy(F.xxhash64("vec_id"), "vec_id").select("vec_id", "v").limit(SAMPLE_QUERIES).collect()
-    fifth = [r[0] for r in _sample_search(valid, sample, k).groupBy("query_id").agg(F.min("score")).select("min(score)").collect()] if sample else []
-    depth, trees = plan_forest(rows, float(np.percentile(fifth, 10)) if fifth else -1.0, recall, cell)
+    trees, level, depth = plan_forest(_shared_prefixes(valid, sample, k, seed), rows, recall, cell)
     entries = valid.select("vec_id", "q", "v", F.size("v").alias("dim"), F.posexplode(_codes(F.col("v"), trees, seed)).alias("t", "code"))
     entries = entries.withColumn("cell", F.shiftrightunsigned("code", 64 - depth) if depth else F.lit(0).cast("long"))
     counts = entries.groupBy("t", "dim", "cell").agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("m"))
@@ -185,8 +239,8 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     keys = ["t", "dim", "cell", "r", "s"]
     asked = sized.filter("q").withColumn("s", F.pmod(own, "qs")).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rs") - 1))).select(*keys, "code", F.col("vec_id").alias("query_id"), "v")
     held = sized.withColumn("r", F.pmod(own, "rs")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1))).select(*keys, "code", "vec_id", "v")
-    hits = _blocks(asked, held, keys, k)
-    if depth:
+    hits = _blocks(asked, held, keys, k, level, depth)
+    if level:
         hits = _with_rest(spark, valid, hits, rows, k, cell)
     return _ranked(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

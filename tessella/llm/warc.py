@@ -27,6 +27,7 @@ from .common import col, cut_lineage, shared_path
 
 LEAST = 100
 FILE_BYTES = 64 << 20
+MOST_READERS = 10_000
 READ = "record_id string, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to string, block binary"
 _READ_ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("block", pa.binary())])
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -169,7 +170,9 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _READ_ARROW.types)], schema=_READ_ARROW)
 
-    return manifest.select("file").repartition(F.col("file")).mapInArrow(read, READ)
+    # by number, since adaptive execution would read short rows of file names in one task
+    files = max(1, min(MOST_READERS, manifest.count()))
+    return manifest.select("file").repartition(files, "file").mapInArrow(read, READ)
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = LEAST, path: str | None = None) -> tuple[str, DataFrame]:

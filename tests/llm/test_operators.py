@@ -353,13 +353,20 @@ def test_ann_recall_and_odd_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
-def test_forest_plan_follows_density_and_similarity():
-    assert ann.plan_forest(100, 0.3) == (0, 1)
-    depth, trees = ann.plan_forest(10**7, 0.95)
-    assert depth == 10 and trees < 20
-    deep, many = ann.plan_forest(10**9, 0.4)
-    agree = 1 - np.arccos(0.4) / np.pi
-    assert many <= ann.MOST_TREES and 1 - (1 - agree**deep) ** many >= ann.RECALL
+def test_forest_plan_and_ranges():
+    assert ann.plan_forest(np.zeros((0, 64), int), 10**6) == (1, 0, 0)
+    shared = np.zeros((100, 64), int)
+    shared[:, 3] = 20
+    assert ann.plan_forest(shared, 10**7) == (4, 20, 10)
+    assert ann.plan_forest(shared, 100) == (4, 20, 0)
+    rng = np.random.default_rng(5)
+    strings = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    asked = np.concatenate((strings[:20], rng.integers(0, 1 << 63, 20).astype(np.uint64)))
+    begin, end = ann.ranges(strings, asked, 8, 2, 5)
+    for q, lo, hi in zip(asked, begin, end):
+        lcp = ann.common_prefix(np.full(len(strings), q), strings)
+        level = next((n for n in range(8, 2, -1) if (lcp >= n).sum() > 5), None)
+        assert hi - lo == (len(strings) if level is None else (lcp >= level).sum())
 
 
 # 9: quality classifier
