@@ -29,6 +29,10 @@ from ..functions.scalar import compile_call, lit
 from .tree import Leaf, Tree, has_reduction, is_calculated, owners, quoted
 
 
+#: Reductions whose partial results add up.
+PARTIAL = {"sum", "count", "min", "max", "mean"}
+
+
 def physical(leaf: int, column: str) -> str:
     return f"__{leaf}__{column}"
 
@@ -151,6 +155,8 @@ class Planner:
         own = [f for f in filters if owners(f) == {leaf}]
         rest = [f for f in filters if owners(f) != {leaf}]
         if self.single(leaf, leaves):
+            if not array and (late := self.deferrable(leaf, leaves, keys, bases, filters)):
+                return self._deferred(leaves - late, late, keys, bases, filters)
             df = self._filtered(self.joined(leaves), filters)
             df = df.select("*", *[scalar(e).alias(k) for k, e in keys.items()])
         elif leaf and leaves <= above and not any(leaf in owners(f) for f in rest) and not any(len(owners(e) | {leaf}) > 1 and leaf in owners(e) for e in keys.values()) and tree.edges[leaf].predicate is not None:
@@ -165,6 +171,68 @@ class Planner:
             df, guard = self._exploded(df, leaf, array, [*keys])
         return self._grouped(df, keys, bases, guard)
 
+    def deferrable(self, leaf: int, leaves: set[int], keys: dict[str, Expr], bases: list[Base], filters: list[Expr]) -> set[int]:
+        """Large dimension tables that only give group keys: the facts are aggregated by their join key first.
+
+        The join key must be the table's declared entity, and every reduction one that adds up. A table that Spark would broadcast stays where it is.
+        """
+        tree = self.tree
+        if leaf or not all(a.kind in PARTIAL and not a.params for b in bases for a in walk(b.expr) if isinstance(a, Agg)):
+            return set()
+        out = set()
+        for i in leaves - {0}:
+            edge = tree.edges[i]
+            parts = [c for c in walk(edge.predicate) if isinstance(c, Call)] if edge.predicate is not None else []
+            plain = parts and all(c.func == "&" or c.func == "==" and all(isinstance(a, Bound) for a in c.args) for c in parts)
+            alone = edge.parents == {0} and edge.cardinality == "one" and not any(i in tree.edges[j].parents for j in leaves - {0})
+            whole = all(owners(e) == {i} or i not in owners(e) for e in keys.values()) and not any(i in owners(f) for f in filters)
+            if plain and alone and whole and self.covers(i, edge.predicate) and not self.small(i):
+                out.add(i)
+        return out
+
+    def covers(self, leaf: int, predicate: Expr) -> bool:
+        """Whether a join predicate compares the whole declared entity key of a leaf and nothing else of it."""
+        keys = {repr(self.tree._in_leaf(as_expr(self.tree.leaves[leaf].dims[k].expr), leaf, (k,))) for k in self.tree.entities(leaf)}
+        return bool(keys) and keys == {repr(b) for b in walk(predicate) if isinstance(b, Bound) and b.leaf == leaf}
+
+    def small(self, leaf: int) -> bool:
+        """Whether a leaf's estimated size is within Spark's broadcast limit; it takes no job to tell."""
+        df = self.tree.leaves[leaf].df
+        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+    def _deferred(self, early: set[int], late: set[int], keys: dict[str, Expr], bases: list[Base], filters: list[Expr]) -> DataFrame:
+        """Facts aggregated by keys and join keys, then the late tables joined, then the same reductions of the partial ones."""
+        tree = self.tree
+        df = self._filtered(self.joined(early), filters)
+        own = {k: e for k, e in keys.items() if not owners(e) & late}
+        on = sorted({physical(b.leaf, b.column) for i in late for b in walk(tree.edges[i].predicate) if isinstance(b, Bound) and b.leaf == 0})
+        partial: dict[str, tuple[str, Agg]] = {}
+        for b in bases:
+            for a in walk(b.expr):
+                if isinstance(a, Agg):
+                    for kind in ("sum", "count") if a.kind == "mean" else (a.kind,):
+                        part = Agg(kind, a.arg, a.where)
+                        partial.setdefault(repr(part), (f"__part_{len(partial)}", part))
+        first = df.select("*", *[scalar(e).alias(k) for k, e in own.items()]).groupBy(*[quoted(k) for k in own], *[quoted(c) for c in on if c not in own]).agg(*[reduction(a, scalar).alias(n) for n, a in partial.values()])
+        for i in sorted(late):
+            first = first.join(self.leaf_frame(i), scalar(tree.edges[i].predicate), "left")
+        first = first.select("*", *[scalar(e).alias(k) for k, e in keys.items() if k not in own])
+
+        def again(e: Any) -> Column:
+            if isinstance(e, Agg):
+                if e.kind == "mean":
+                    total, n = (partial[repr(Agg(k, e.arg, e.where))][0] for k in ("sum", "count"))
+                    return F.try_divide(F.sum(total).cast("double"), F.sum(n).cast("double"))
+                c = F.col(partial[repr(e)][0])
+                return {"min": F.min, "max": F.max}.get(e.kind, F.sum)(c)
+            if isinstance(e, Call):
+                return compile_call(e.func, e.args, again)
+            return again(e.arg) if isinstance(e, Named) else scalar(e)
+
+        counted = lambda b: F.coalesce(again(b.expr), F.lit(0)) if isinstance(b.expr, Agg) and b.expr.kind == "count" else again(b.expr)
+        return first.groupBy(*[quoted(k) for k in keys]).agg(*[counted(b).alias(b.name) for b in bases])
+
     def _bridged(self, leaf: int, leaves: set[int], keys: dict[str, Expr], own: list[Expr], rest: list[Expr]) -> DataFrame:
         """Rows of a leaf against the distinct group keys and join keys of its ancestors."""
         edge = self.tree.edges[leaf]

@@ -124,6 +124,22 @@ def test_star_and_pruning(star):
     assert rows(star.filter(_.category == "food").group_by("city").aggregate("n")) == [("X", 2), ("Y", 1)]
 
 
+def test_large_dimensions_are_joined_after_aggregation(spark):
+    facts = model(spark, "facts", "k int, v int", [(1, 10), (1, 20), (2, 30), (9, 5), (None, 7)]).with_measures(n=_.count(), total=_.v.sum(), mean=_.v.mean(), span=_.v.max() - _.v.min(), odd=_.count(where=_.v == 5))
+    dims = model(spark, "dims", "k int, name string", [(1, "x"), (2, "x"), (3, "y")]).with_dimensions(k=entity_dimension(_.k), name=_.name)
+    joined = facts.join_one(dims, "k")
+    ask = lambda: joined.group_by("dims.name").aggregate("n", "total", "mean", "span", "odd")
+    plain = rows(ask())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ask().to_spark()._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Aggregate") < plan.index("Join") < plan.rindex("Aggregate")
+        assert rows(ask()) == plain == [("x", 3, 60, 20.0, 20, 0), (None, 2, 12, 6.0, 2, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_measures_of_a_one_side_count_each_row_once(spark):
     orders = model(spark, "orders", "oid int, cid int", [(1, 1), (2, 1), (3, 2)]).with_dimensions(oid=_.oid).with_measures(n=_.count())
     customers = model(spark, "customers", "cid int, balance int", [(1, 10), (2, 20), (3, 40)]).with_measures(balance=_.balance.sum())

@@ -309,3 +309,34 @@ def test_exports(flights, tmp_path):
         getattr(out, f"to_{kind}")(str(tmp_path / kind))
     assert flights.node.df.sparkSession.read.parquet(str(tmp_path / "parquet")).count() == 2
     assert "Aggregate" in out.compile() and out.columns == ("carrier", "n")
+
+
+def test_http_service(flights):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from tessella.sources.server import Service, server
+
+    s = server({"flights": flights}, api_key="k")
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{s.server_address[1]}"
+
+    def ask(path, body=None, key="k"):
+        data = None if body is None else json.dumps(body).encode()
+        return json.loads(urlopen(Request(base + path, data, {"X-API-Key": key})).read())
+
+    try:
+        assert ask("/health") == {"status": "ok"} and set(ask("/models")["models"]) == {"flights"}
+        assert ask("/models/flights/schema")["name"] == "flights"
+        out = ask("/query", {"model": "flights", "dimensions": ["carrier"], "measures": ["n"], "order_by": [["n", "desc"]], "limit": 1})
+        assert out == {"columns": ["carrier", "n"], "rows": [{"carrier": "A", "n": 3}], "row_count": 1}
+        assert ask("/models/flights/dimensions/carrier/values?search=b")["values"] == [{"value": "B", "count": 1}]
+        for path, body, key, status in (("/query", {"model": "flights", "measures": ["zz"]}, "k", 400), ("/models/none/schema", None, "k", 404), ("/health", None, "bad", 401), ("/query", {"model": "flights", "measures": ["n"], "limit": 10**9}, "k", 400)):
+            with pytest.raises(HTTPError) as e:
+                ask(path, body, key)
+            assert e.value.code == status
+    finally:
+        s.shutdown()
+    assert Service({"flights": flights}).call("list_models") == {"flights": "model flights"}
