@@ -28,7 +28,10 @@ from .common import col, shared_path
 from .components import connected_components
 
 BITS = 256
+#: Largest distance of a link for texts of FEW_WORDS[1] different words and more; for FEW_WORDS[0] and fewer it is SHORT_DISTANCE.
 DISTANCE = 72
+SHORT_DISTANCE = 36
+FEW_WORDS = (8, 64)
 TRIES = 48
 LEAF = 32
 DENSE = 4096
@@ -50,8 +53,17 @@ def _orders() -> np.ndarray:
 ORDERS = _orders()
 
 
+def within(words: int) -> int:
+    """The largest distance of a link of a text of so many different words."""
+    few, many = FEW_WORDS
+    return SHORT_DISTANCE + (DISTANCE - SHORT_DISTANCE) * (min(max(words, few), many) - few) // (many - few)
+
+
 def signatures(texts: list[str | None]) -> list[bytes]:
-    """The 32-byte SimHash of each whole text."""
+    """The signature of each whole text: 32 bytes of SimHash and one with the distance at which it still has links.
+
+    Few words make a noisy SimHash, so texts of few different words must agree in more bits.
+    """
     import xxhash
 
     sets = [set(_WORD.findall(t.lower())) or {t} for t in (t or "" for t in texts)]
@@ -62,7 +74,7 @@ def signatures(texts: list[str | None]) -> list[bytes]:
     weights = np.fromiter((max(1, min(len(w), 12) - 2) for w in nth), np.int8, len(nth))
     signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 32), axis=1).view(np.int8)
     signs = (signs * 2 - 1) * weights[:, None]
-    return [np.packbits(signs[r].sum(axis=0, dtype=np.int32) > 0).tobytes() for r in rows]
+    return [np.packbits(signs[r].sum(axis=0, dtype=np.int32) > 0).tobytes() + bytes((within(len(r)),)) for r in rows]
 
 
 def signature(text: Column) -> Column:
@@ -82,8 +94,8 @@ def signature(text: Column) -> Column:
 
 
 def codes(sigs: np.ndarray) -> np.ndarray:
-    """Per signature (rows of 32 bytes) and trie the first 64 permuted bits as one unsigned number."""
-    bits = np.unpackbits(sigs, axis=1)
+    """Per signature (rows of 33 bytes, the last no bits of it) and trie the first 64 permuted bits as one unsigned number."""
+    bits = np.unpackbits(np.ascontiguousarray(sigs[:, :32]), axis=1)
     out = np.empty((len(sigs), TRIES), np.uint64)
     for t in range(TRIES):
         out[:, t] = np.ascontiguousarray(np.packbits(bits[:, ORDERS[t]], axis=1)).view(">u8")[:, 0]
@@ -116,7 +128,7 @@ def base_depth(signatures_: int) -> int:
 
 
 def _sig_rows(array: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(array.to_pylist()), np.uint8).reshape(-1, 32)
+    return np.frombuffer(b"".join(array.to_pylist()), np.uint8).reshape(-1, 33)
 
 
 def _leaf_column(depth: int, dense: dict[int, dict[int, np.ndarray]]) -> Column:
@@ -154,7 +166,7 @@ def _links(depth: int, dense: dict[int, dict[int, np.ndarray]], distance: int):
 
     def found(t: np.ndarray, leaf: np.ndarray, node: np.ndarray, weight: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
         n = len(leaf)
-        words = np.ascontiguousarray(sig).view(np.uint64)
+        words, limit = np.ascontiguousarray(sig[:, :32]).view(np.uint64), np.minimum(sig[:, 32], distance).astype(np.int64)
         links, label = np.zeros(n, np.int64), np.arange(n)
         begin, off = np.arange(n), 0
         while len(begin):
@@ -167,7 +179,8 @@ def _links(depth: int, dense: dict[int, dict[int, np.ndarray]], distance: int):
                 far = np.zeros(len(i), np.int64)
                 for w in range(4):
                     far += np.bitwise_count(words[i, w] ^ words[j, w])
-                i, j = i[far <= distance], j[far <= distance]
+                near = far <= np.minimum(limit[i], limit[j])
+                i, j = i[near], j[near]
                 if not len(i):
                     continue
                 a, b = leaves(codes(sig[i]), depth, dense), leaves(codes(sig[j]), depth, dense)

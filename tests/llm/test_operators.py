@@ -429,9 +429,10 @@ def test_simhash_links_and_classes_equal_brute_force(spark):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts)).collect()}
     assert len(got) == len(texts)
     distinct = sorted({t or "" for t in texts})
-    sigs = np.frombuffer(b"".join(simhash.signatures(distinct)), np.uint64).reshape(-1, 4)
+    raw = np.frombuffer(b"".join(simhash.signatures(distinct)), np.uint8).reshape(-1, 33)
+    sigs, limit = np.ascontiguousarray(raw[:, :32]).view(np.uint64), raw[:, 32].astype(int)
     far = sum(np.bitwise_count(sigs[:, None, k] ^ sigs[None, :, k]).astype(int) for k in range(4))
-    near = far <= simhash.DISTANCE
+    near = far <= np.minimum(limit[:, None], limit[None, :])
     at = {t: i for i, t in enumerate(distinct)}
     parent = list(range(len(distinct)))
 
