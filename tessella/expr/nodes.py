@@ -392,3 +392,86 @@ def asc(x: Any) -> SortKey:
 def function(name: str, *args: Any) -> Expr:
     """A scalar function of the table's functions by name, for those without a first operand."""
     return Call(name, tuple(map(_argument, args)))
+
+
+def _window_function(kind: str, doc: str):
+    def make(*args: Any) -> WinFunc:
+        return WinFunc(kind, tuple(map(_lift, args)))
+
+    make.__name__, make.__doc__ = kind, doc
+    return make
+
+
+row_number = _window_function("row_number", "The place of a row in its window, from 0.")
+rank = _window_function("rank", "The place of a row in its window, from 0; ties share it and leave a gap.")
+dense_rank = _window_function("dense_rank", "The place of a row in its window, from 0; ties share it and leave no gap.")
+ntile = _window_function("ntile", "Which of n even parts of its window a row is in, from 0.")
+percent_rank = _window_function("percent_rank", "The relative place of a row in its window, 0 to 1.")
+cume_dist = _window_function("cume_dist", "The share of its window's rows up to a row.")
+
+
+def interval(value: int | None = None, unit: str | None = None, **units: int) -> Expr:
+    """A span of time, such as interval(days=3) or interval(2, "h"), to add to times or to take from them."""
+    if value is not None:
+        names = {"Y": "years", "Q": "quarters", "M": "months", "W": "weeks", "D": "days", "h": "hours", "m": "minutes", "s": "seconds"}
+        units = {names.get(unit or "s", unit or "seconds"): value, **units}
+    known = ("years", "quarters", "months", "weeks", "days", "hours", "minutes", "seconds")
+    if not units or set(units) - set(known):
+        raise TypeError(f"interval() takes {', '.join(known)}")
+    months = units.pop("months", 0) + 3 * units.pop("quarters", 0)
+    return Call("interval", (Lit(units.get("years", 0)), Lit(months), Lit(units.get("weeks", 0)), Lit(units.get("days", 0)), Lit(units.get("hours", 0)), Lit(units.get("minutes", 0)), Lit(units.get("seconds", 0))))
+
+
+def coalesce(*args: Any) -> Expr:
+    return function("coalesce", *args)
+
+
+def greatest(*args: Any) -> Expr:
+    return function("greatest", *args)
+
+
+def least(*args: Any) -> Expr:
+    return function("least", *args)
+
+
+def and_(*args: Any) -> Expr:
+    return function("and_", *args) if args else Lit(True)
+
+
+def or_(*args: Any) -> Expr:
+    return function("or_", *args) if args else Lit(False)
+
+
+def now() -> Expr:
+    return function("now")
+
+
+def today() -> Expr:
+    return function("today")
+
+
+def random() -> Expr:
+    return function("random")
+
+
+def uuid() -> Expr:
+    return function("uuid")
+
+
+@dataclass(frozen=True, eq=False)
+class Param(Expr):
+    """A named value that is set before a query: model.with_params(name=value)."""
+
+    label: str
+    default: Any = None
+
+    __hash__ = Expr.__hash__
+
+
+def param(name: str, default: Any = None) -> Expr:
+    return Param(name, default)
+
+
+def with_values(e: Any, values: dict[str, Any]) -> Any:
+    """The tree with parameters replaced by their values or defaults."""
+    return rebuild(e, lambda x: Lit(values.get(x.label, x.default)) if isinstance(x, Param) else None)

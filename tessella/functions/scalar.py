@@ -280,6 +280,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "timestamp": lambda a: a.cast("timestamp_ntz"),
     "truncate": _truncate,
     "make_date": lambda y, m, d: F.make_date(y, m, d),
+    "interval": lambda *a: F.make_interval(*a),
     "now": lambda: F.current_timestamp(),
     "today": lambda: F.current_date(),
     "random": lambda: F.rand(),

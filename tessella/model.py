@@ -276,6 +276,22 @@ class SemanticTable(Exported):
                 raise DefinitionError(f"measure {n!r} refers to itself")
         return out
 
+    def with_params(self, **values: Any) -> SemanticTable:
+        """The model with the parameters of its expressions set."""
+        from .expr.nodes import with_values
+
+        def put(node: Node) -> Node:
+            changed: dict[str, Any] = {
+                "dims": {n: replace(d, expr=with_values(as_expr(d.expr), values)) for n, d in node.dims.items()},
+                "measures": {n: replace(m, expr=with_values(as_expr(m.expr), values)) for n, m in node.measures.items()},
+                "filters": tuple(with_values(f, values) for f in node.filters),
+            }
+            if isinstance(node, Join):
+                changed |= {"left": put(node.left), "right": put(node.right)}
+            return replace(node, **changed)
+
+        return SemanticTable(put(self.node), self._order)
+
     # joins
 
     def join_one(self, other: SemanticTable, on: Any, how: str = "left") -> SemanticTable:

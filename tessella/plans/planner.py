@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CompilationError, QueryError, UnknownFieldError
-from ..expr.nodes import Agg, Attr, Bound, Call, Expr, Field, Lit, MeasureRef, Named, Over, Raw, Total, WinFunc, as_expr, rebuild, walk
+from ..expr.nodes import Agg, Attr, Bound, Call, Expr, Field, Lit, MeasureRef, Named, Over, Param, Raw, Total, WinFunc, as_expr, rebuild, walk
 from ..functions.aggregate import reduction, windowed
 from ..functions.scalar import compile_call, lit
 from .tree import Leaf, Tree, has_reduction, is_calculated, owners, quoted
@@ -55,6 +55,8 @@ def scalar(e: Any, leaf_column=None) -> Column:
         return compile_call(e.func, e.args, scalar)
     if isinstance(e, tuple):
         return F.array(*map(scalar, e))
+    if isinstance(e, Param):
+        return lit(e.default)
     if isinstance(e, (Agg, WinFunc, Over, Total, MeasureRef)):
         raise CompilationError("a reduction or window isn't allowed among row-level expressions")
     raise CompilationError(f"unbound expression {e!r}")
@@ -499,8 +501,8 @@ def aggregate(tree: Tree, keys: dict[str, Expr], wanted: dict[str, Any], filters
         if isinstance(e, Total):
             inner = post(e.arg, True)
             return inner.cast("double") if integral(e.arg) else inner
-        if isinstance(e, Lit):
-            return lit(e.value)
+        if isinstance(e, (Lit, Param)):
+            return lit(e.value if isinstance(e, Lit) else e.default)
         if isinstance(e, Raw):
             return e.column
         if isinstance(e, Named):

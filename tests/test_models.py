@@ -283,6 +283,19 @@ def test_scalar_functions(spark):
         assert got == want, (e, got, want)
 
 
+def test_functions_of_the_package(spark, orders):
+    import tessella as t
+
+    by_day = orders.group_by("day").aggregate("amount_sum")
+    out = by_day.mutate(k=t.row_number().over(order_by="day"), d=t.dense_rank().over(order_by=_.amount_sum.desc()), q=t.ntile(2).over(order_by="day"), g=t.greatest(_.day, 2), c=t.coalesce(None, _.day))
+    assert rows(out) == [(1, 30, 0, 2, 0, 2, 1), (2, 70, 1, 1, 0, 2, 2), (3, 300, 2, 0, 1, 3, 3)]
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 31), 1)], "t timestamp_ntz, x int")
+    m = to_semantic_table(df).with_dimensions(later=_.t + t.interval(days=1, hours=2), over=_.x > t.param("least", 0)).with_measures(n=_.count())
+    assert rows(m.group_by("later").aggregate()) == [(dt.datetime(2024, 2, 1, 2),)]
+    assert rows(m.group_by("over").aggregate("n")) == [(True, 1)] and rows(m.with_params(least=5).group_by("over").aggregate("n")) == [(False, 1)]
+    assert rows(m.filter(t.or_(_.x == 1, _.x == 9)).aggregate("n")) == [(1,)]
+
+
 def test_streaming_batches(spark, tmp_path):
     from tessella.streaming.sources import for_each_batch, stream
 
