@@ -534,6 +534,60 @@ def scalar_strings(m):
     return m.customer.with_dimensions(**dims).group_by("c_custkey", *dims).aggregate()
 
 
+@query(
+    f"""SELECT CAST(EXTRACT(quarter FROM o_orderdate) AS INTEGER) AS q, CAST(EXTRACT(isodow FROM o_orderdate) - 1 AS INTEGER) AS dow, CAST(EXTRACT(week FROM o_orderdate) AS INTEGER) AS wk, STRFTIME(o_orderdate, '%Y-%m') AS ym,
+    STRFTIME(o_orderdate, '%d') AS day, {_COUNT} AS n FROM orders GROUP BY 1, 2, 3, 4, 5"""
+)
+def scalar_dates(m):
+    dims = dict(q=_.o_orderdate.quarter(), dow=_.o_orderdate.day_of_week(), wk=_.o_orderdate.week_of_year(), ym=_.o_orderdate.strftime("%Y-%m"), day=_.o_orderdate.date().strftime("%d"))
+    return m.orders.with_dimensions(**dims).group_by(*dims).aggregate("n")
+
+
+@query(
+    "SELECT p_partkey, ROUND(p_size / NULLIF(p_size - 25, 0), 2) AS ratio, CAST(FLOOR(p_retailprice / 100) AS BIGINT) AS hundreds, p_size % 7 AS rest, CAST(ROUND(SQRT(p_size), 2) AS DOUBLE) AS root, "
+    "GREATEST(p_size, 20) AS most, LEAST(p_size, 20) AS least, p_size BETWEEN 5 AND 15 AS mid FROM part"
+)
+def scalar_math(m):
+    dims = dict(ratio=_.p_size / (_.p_size - 25), hundreds=_.p_retailprice // 100, rest=_.p_size % 7, root=_.p_size.sqrt().round(2), most=_.p_size.greatest(20), least=_.p_size.least(20), mid=_.p_size.between(5, 15))
+    return m.part.with_dimensions(**dims).group_by("p_partkey", *dims).aggregate()
+
+
+@query("SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS digits, regexp_replace(c_name, '0+', '0', 'g') AS short, regexp_matches(c_mktsegment, '^[A-H]') AS early, right(c_name, 3) AS tail, lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS code FROM customer")
+def scalar_regex(m):
+    dims = dict(digits=_.c_name.re_extract("([0-9]+)$", 1), short=_.c_name.re_replace("0+", "0"), early=_.c_mktsegment.re_search("^[A-H]"), tail=_.c_name.right(3), code=_.c_nationkey.cast("string").lpad(4, "0"))
+    return m.customer.with_dimensions(**dims).group_by("c_custkey", *dims).aggregate()
+
+
+@query("SELECT l_returnflag AS flag, bool_or(l_quantity > 49) AS some, bool_and(l_quantity > 0) AS every, MODE(l_linestatus) AS usual, arg_min(l_orderkey, l_extendedprice) AS cheapest, array_to_string(list_sort(list(DISTINCT l_linestatus)), ',') AS states FROM lineitem GROUP BY 1")
+def other_reductions(m):
+    return m.lineitem.group_by("flag").aggregate(
+        some=(_.l_quantity > 49).any(), every=(_.l_quantity > 0).all(), usual=_.l_linestatus.mode(), cheapest=_.l_orderkey.argmin(_.l_extendedprice), states=_.l_linestatus.collect()
+    ).to_spark().withColumn("states", F.array_join(F.array_sort(F.array_distinct("states")), ","))
+
+
+@query(
+    """WITH a AS (SELECT l_suppkey, l_returnflag, CAST(COUNT(*) AS BIGINT) AS n, SUM(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
+    SELECT a.l_suppkey, a.l_returnflag, a.n AS lines, ROUND(a.q, 2) AS qty, ROUND(a.q / b.q, 2) AS part FROM a JOIN (SELECT l_suppkey, SUM(q) AS q FROM a GROUP BY 1) b ON a.l_suppkey = b.l_suppkey"""
+)
+def share_within_parent(m):
+    return m.lineitem.group_by("l_suppkey", "l_returnflag").aggregate("lines", "qty", part=lambda t: t.qty / t.l_quantity.sum().over(window(group_by=t.l_suppkey)))
+
+
+@query(
+    f"""SELECT o_orderpriority AS priority, {_COUNT} AS n, CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS filled, ROUND(100.0 * SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / COUNT(*), 2) AS pct FROM orders GROUP BY 1"""
+)
+def conditional_share(m):
+    return m.orders.group_by("priority").aggregate("n", filled=ifelse(_.status == "F", 1, 0).sum(), pct=lambda t: 100 * ifelse(t.status == "F", 1, 0).sum() / t.n)
+
+
+@query("SELECT o_orderstatus AS status, ROUND(PERCENT_RANK() OVER (ORDER BY revenue), 2) AS pr, ROUND(CUME_DIST() OVER (ORDER BY revenue), 2) AS cd, CAST(NTILE(2) OVER (ORDER BY revenue) - 1 AS INTEGER) AS half FROM (SELECT o_orderstatus, SUM(o_totalprice) AS revenue FROM orders GROUP BY 1)")
+def window_distribution(m):
+    from . import cume_dist, ntile, percent_rank
+
+    out = m.orders.group_by("status").aggregate("revenue").mutate(pr=percent_rank().over(order_by="revenue"), cd=cume_dist().over(order_by="revenue"), half=ntile(2).over(order_by="revenue"))
+    return out.to_spark().select("status", "pr", "cd", "half")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
