@@ -28,6 +28,7 @@ from .common import col, cut_lineage, shared_path
 LEAST = 100
 FILE_BYTES = 64 << 20
 MOST_READERS = 10_000
+MOST_BROADCAST = 100_000
 READ = "record_id string, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to string, block binary"
 _READ_ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("block", pa.binary())])
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -47,6 +48,8 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", uri_col: str = "
         .select(F.col("payload_digest").alias("d"), "original")
     )
     repeated = cut_lineage(repeated)  # headers alone: the payloads are not read a third time
+    if repeated.count() <= MOST_BROADCAST:
+        repeated = F.broadcast(repeated)  # counted; payloads stay where they are. With more digests, records are shuffled to them
     found = records.join(repeated, F.col("payload_digest") == F.col("d"), "left").drop("d")
     return found.withColumn("original", F.when(F.col("id") != F.col("original"), F.col("original")))
 

@@ -189,7 +189,9 @@ def test_quality_rules_keep_clean_documents_and_reject_bad_ones():
 # 4: WARC
 
 
-def test_warc_round_trip_and_revisits(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_warc_round_trip_and_revisits(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", broadcast)
     big, small = "x" * 150, "y" * 20
     rows = [(1, "http://a/ b", big), (2, "u", small), (3, None, big), (4, "u", small), (5, "u", None), (6, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 9), (7, "u", big), (8, "u", "é" * 60)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, block int")
