@@ -285,12 +285,6 @@ class Scope:
     def nunique(self) -> Expr:
         raise AttributeError("nunique() is a method of a field")
 
-    def row_number(self) -> Expr:
-        return WinFunc("row_number")
-
-    def rank(self) -> Expr:
-        return WinFunc("rank")
-
 
 SCOPE = Scope()
 _ = SCOPE

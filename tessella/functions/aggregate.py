@@ -10,14 +10,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import CompilationError
-from ..expr.nodes import Agg, Window, WinFunc
+from ..expr.nodes import Agg, Bound, Call, Window, WinFunc
 
 #: Reductions that can be added up from partial results, and how.
 ADDITIVE = {"sum": "sum", "count": "sum", "min": "min", "max": "max", "any": "any", "all": "all"}
 
 
-def reduction(e: Agg, column: Callable[[Any], Column], guard: Column | None = None) -> Column:
-    """The aggregate column of a reduction; rows for which guard is false count as absent."""
+_TRUTHS = {"==", "!=", "<", "<=", ">", ">=", "&", "|", "^", "not", "and_", "or_", "isnull", "notnull", "isin", "notin", "between", "contains", "startswith", "endswith", "like", "ilike", "re_search", "identical_to"}
+
+
+def is_truth(e: Any, typed: Callable[[Any], bool] | None = None) -> bool:
+    """Whether an expression is a truth value; typed tells it of columns."""
+    if isinstance(e, Call):
+        return e.func in _TRUTHS
+    return bool(typed and isinstance(e, Bound) and typed(e))
+
+
+def reduction(e: Agg, column: Callable[[Any], Column], guard: Column | None = None, typed: Callable[[Any], bool] | None = None) -> Column:
+    """The aggregate column of a reduction; rows for which guard is false count as absent. Truth values add up as 0 and 1."""
     conditions = [c for c in (guard, None if e.where is None else column(e.where)) if c is not None]
     condition = conditions[0] & conditions[1] if len(conditions) == 2 else conditions[0] if conditions else None
 
@@ -28,7 +38,10 @@ def reduction(e: Agg, column: Callable[[Any], Column], guard: Column | None = No
         if e.kind != "count":
             raise CompilationError(f"{e.kind}() needs a field")
         return F.count(kept(F.lit(1)))
-    x = kept(column(e.arg))
+    arg = column(e.arg)
+    if e.kind in ("sum", "mean", "std", "var", "median", "quantile") and is_truth(e.arg, typed):
+        arg = arg.cast("int")
+    x = kept(arg)
     plain = {
         "count": F.count, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "nunique": F.count_distinct, "approx_nunique": F.approx_count_distinct, "median": F.median,
         "mode": F.mode, "any": F.bool_or, "all": F.bool_and, "collect": F.collect_list,

@@ -61,15 +61,10 @@ def strftime(pattern: str) -> str:
 
 
 def truncate(c: Column, grain: str) -> Column:
-    """The start of the time grain, of the input's own type."""
+    """The start of the time grain, as wall-clock time; queries cast it back to the type of their dimension."""
     if grain not in GRAINS:
         raise CompilationError(f"unknown time grain {grain!r}")
-    return TypedTrunc(c, GRAINS[grain])
-
-
-def TypedTrunc(c: Column, grain: str) -> Column:  # noqa: N802
-    # date_trunc gives a session-zone timestamp; text keeps wall-clock time and each branch its input's type
-    return F.date_trunc(grain, c).cast("timestamp_ntz")
+    return F.date_trunc(GRAINS[grain], c).cast("timestamp_ntz")
 
 
 def _between(c: Column, a: Column, b: Column) -> Column:

@@ -16,8 +16,8 @@ from .errors import CompilationError, DefinitionError, NonAdditiveTotalError, Qu
 from .expr.nodes import Agg, Attr, Bound, Call, Expr, Field, Lit, MeasureRef, Named, Over, Raw, SortKey, Total, WinFunc, as_expr, rebuild, walk
 from .functions.aggregate import reduction, sort_column, windowed
 from .functions.scalar import compile_call, lit
-from .plans.planner import Plan, Planner, aggregate, scalar
-from .plans.tree import Dimension, Join, Leaf, Measure, Node, Tree, has_reduction, is_calculated, leaves_of, quoted
+from .plans.planner import Planner, aggregate, mark, scalar
+from .plans.tree import Dimension, Join, Leaf, Measure, Node, Tree, is_calculated, leaves_of, quoted
 
 BLOCKED = {
     "union", "intersect", "difference", "distinct", "asof_join", "semi_join", "anti_join", "inner_join", "left_join", "outer_join", "right_join", "any_inner_join", "any_left_join", "window_by", "pivot_longer", "pivot_wider",
@@ -403,7 +403,8 @@ class SemanticTable(Exported):
             leaf = tree.leaves[0]
             plain = df.select(*[quoted(f"__0__{c}").alias(c) for c in leaf.df.columns])
             return SemanticTable(replace(leaf, df=plain, filters=()))
-        taken = df.select(*[quoted(c) for c in df.columns if c.rstrip("_") != c or not c.endswith("__")])
+        marks = {mark(i) for i in range(len(tree.leaves))}
+        taken = df.select(*[quoted(c) for c in df.columns if c not in marks])
         free = lambda e: rebuild(e, lambda x: Field(f"__{x.leaf}__{x.column}") if isinstance(x, Bound) else None)
         dims = {n: replace(d, expr=free(tree.dimension(n))) for n, (_, d) in tree.dimension_names().items()}
         measures = {n: replace(m, expr=free(tree.bind_measure(as_expr(m.expr), leaf, n, m.prefer_measures))) for n, (leaf, m) in tree.measure_names().items()}
@@ -425,8 +426,8 @@ class SemanticTable(Exported):
             raise QueryError("unnest before joining")
         name = _field_name(column)
         df = self.node.df
-        for f in self.node.filters:
-            df = Planner(self.tree)._filtered(Planner(self.tree).leaf_frame(0), []).select(*[quoted(f"__0__{c}").alias(c) for c in df.columns])
+        if self.node.filters:
+            df = Planner(self.tree).leaf_frame(0).select(*[quoted(f"__0__{c}").alias(c) for c in df.columns])
         return SemanticTable(replace(self.node, df=unnested(df, name), filters=()))
 
     def index(self, selector: Any = None, by: str | None = None, sample: int | None = None) -> Result:

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CompilationError, QueryError, UnknownFieldError
-from ..expr.nodes import Agg, Attr, Bound, Call, Expr, Field, Lit, MeasureRef, Named, Over, Param, Raw, Total, WinFunc, as_expr, rebuild, walk
+from ..expr.nodes import Agg, Bound, Call, Expr, Field, Lit, MeasureRef, Named, Over, Param, Raw, Total, WinFunc, as_expr, rebuild, walk
 from ..functions.aggregate import reduction, windowed
 from ..functions.scalar import compile_call, lit
-from .tree import Leaf, Tree, has_reduction, is_calculated, owners, quoted
+from .tree import Tree, has_reduction, is_calculated, owners, quoted
 
 
 #: Reductions whose partial results add up.
@@ -86,6 +86,9 @@ class Planner:
     def __init__(self, tree: Tree):
         self.tree = tree
 
+    def truth(self, b: Bound) -> bool:
+        return isinstance(self.tree.leaves[b.leaf].df.schema[b.column].dataType, T.BooleanType)
+
     # sources and joins
 
     def leaf_frame(self, i: int, row: bool = False) -> DataFrame:
@@ -216,7 +219,7 @@ class Planner:
                     for kind in ("sum", "count") if a.kind == "mean" else (a.kind,):
                         part = Agg(kind, a.arg, a.where)
                         partial.setdefault(repr(part), (f"__part_{len(partial)}", part))
-        first = df.select("*", *[scalar(e).alias(k) for k, e in own.items()]).groupBy(*[quoted(k) for k in own], *[quoted(c) for c in on if c not in own]).agg(*[reduction(a, scalar).alias(n) for n, a in partial.values()])
+        first = df.select("*", *[scalar(e).alias(k) for k, e in own.items()]).groupBy(*[quoted(k) for k in own], *[quoted(c) for c in on if c not in own]).agg(*[reduction(a, scalar, None, self.truth).alias(n) for n, a in partial.values()])
         for i in sorted(late):
             first = first.join(self.leaf_frame(i), scalar(tree.edges[i].predicate), "left")
         first = first.select("*", *[scalar(e).alias(k) for k, e in keys.items() if k not in own])
@@ -268,7 +271,7 @@ class Planner:
     def _reduced(self, base: Base, guard: Column | None) -> Column:
         def column(e: Any) -> Column:
             if isinstance(e, Agg):
-                return reduction(e, inside, guard)
+                return reduction(e, inside, guard, self.truth)
             if isinstance(e, Call):
                 return compile_call(e.func, e.args, column)
             if isinstance(e, Named):

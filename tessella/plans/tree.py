@@ -5,14 +5,13 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import CompilationError, DefinitionError, QueryError, UnknownFieldError
-from ..expr.nodes import Agg, Attr, Bound, Call, Expr, Field, Lit, MeasureRef, Over, Raw, Total, WinFunc, as_expr, rebuild, walk
+from ..errors import DefinitionError, QueryError, UnknownFieldError
+from ..expr.nodes import Agg, Attr, Bound, Call, Expr, Field, Lit, MeasureRef, Over, Total, WinFunc, as_expr, rebuild, walk
 
 
 def quoted(name: str) -> Column:
@@ -200,10 +199,6 @@ class Tree:
             raise UnknownFieldError(path[0], [c for i in among for c in self.columns(i)], "join column")
         return None
 
-    @cached_property
-    def _columns(self) -> list[list[str]]:
-        return [x.df.columns for x in self.leaves]
-
     def columns(self, leaf: int) -> list[str]:
         return self.leaves[leaf].df.columns
 
@@ -396,13 +391,5 @@ def is_calculated(e: Expr) -> bool:
     return any(isinstance(x, (MeasureRef, Total, Over, WinFunc)) for x in walk(e))
 
 
-def opaque(e: Expr) -> bool:
-    return any(isinstance(x, Raw) for x in walk(e))
-
-
 def has_reduction(e: Expr) -> bool:
     return any(isinstance(x, Agg) for x in walk(e))
-
-
-def missing(message: str) -> CompilationError:
-    return CompilationError(message)

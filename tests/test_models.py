@@ -296,6 +296,24 @@ def test_functions_of_the_package(spark, orders):
     assert rows(m.filter(t.or_(_.x == 1, _.x == 9)).aggregate("n")) == [(1,)]
 
 
+def test_truths_add_up(spark):
+    df = spark.createDataFrame([(1, True), (5, False), (9, None)], "x int, b boolean")
+    m = to_semantic_table(df).with_measures(over=(_.x > 4).sum(), share=(_.x > 4).mean(), b=_.b.sum(), some=_.b.any(), every=_.b.all())
+    assert rows(m.aggregate("over", "b", "some", "every")) == [(2, 1, True, False)]
+    assert rows(m.aggregate(s=lambda t: t.share * 3)) == [(2.0,)]
+
+
+def test_bucketing_with_other(spark):
+    import tessella as t
+
+    df = spark.createDataFrame([(f"S{i % 5}", f"c{i}", i) for i in range(20)], "state string, code string, elevation int")
+    m = to_semantic_table(df, "airports").with_dimensions(state=_.state, code=_.code, elevation=_.elevation).with_measures(mean=_.elevation.mean())
+    out = m.group_by("state").aggregate("mean", nest={"data": lambda t: t.group_by(["code", "elevation"])})
+    out = out.mutate(rank=lambda x: t.row_number().over(t.window(order_by=t.desc(x.mean))))
+    out = out.mutate(bucket=lambda x: t.ifelse(x.rank > 1, "OTHER", x.state)).group_by("bucket").aggregate(airports=_.data.count(), mean=_.data.elevation.mean())
+    assert rows(out) == [("OTHER", 12, 8.5), ("S3", 4, 10.5), ("S4", 4, 11.5)]
+
+
 def test_streaming_batches(spark, tmp_path):
     from tessella.streaming.sources import for_each_batch, stream
 
