@@ -375,6 +375,11 @@ def literal(x: Any) -> Expr:
     return Lit(x)
 
 
+def raw(column: Column) -> Expr:
+    """A Spark column, such as a UDF's, as a row-level expression of its own table."""
+    return Raw(column)
+
+
 def desc(x: Any) -> SortKey:
     return SortKey(Field(x) if isinstance(x, str) else x, False)
 

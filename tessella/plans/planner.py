@@ -85,18 +85,35 @@ class Plan:
 class Planner:
     def __init__(self, tree: Tree):
         self.tree = tree
+        #: Columns that a query reads, by leaf; None takes all.
+        self.used: dict[int, set[str]] | None = None
+
+    def read_only(self, *expressions: Any) -> None:
+        """Leaves give only what these expressions, the join predicates and the entity keys read."""
+        tree = self.tree
+        used: dict[int, set[str]] = {i: set() for i in range(len(tree.leaves))}
+        entities = [tree._in_leaf(as_expr(x.dims[n].expr), i, (n,)) for i, x in enumerate(tree.leaves) for n in tree.entities(i)]
+        for e in [*expressions, *entities, *(edge.predicate for edge in tree.edges.values())]:
+            for b in walk(e):
+                if isinstance(b, Bound):
+                    used[b.leaf].add(b.column)
+        self.used = used
 
     def truth(self, b: Bound) -> bool:
-        return isinstance(self.tree.leaves[b.leaf].df.schema[b.column].dataType, T.BooleanType)
+        schema = self.tree.leaves[b.leaf].df.schema
+        return b.column in schema.names and isinstance(schema[b.column].dataType, T.BooleanType)
 
     # sources and joins
 
     def leaf_frame(self, i: int, row: bool = False) -> DataFrame:
         """A leaf with its own filters, columns renamed; a mark tells its rows from the nulls of an outer join."""
         leaf = self.tree.leaves[i]
-        df = leaf.df.select(*[quoted(c).alias(physical(i, c)) for c in leaf.df.columns])
-        for f in leaf.filters:
-            df = df.filter(scalar(self.tree._in_leaf(f, i, ())))
+        filters = [self.tree._in_leaf(f, i, ()) for f in leaf.filters]
+        keep = None if self.used is None else self.used[i] | {b.column for f in filters for b in walk(f) if isinstance(b, Bound)}
+        own = [quoted(c).alias(physical(i, c)) for c in leaf.df.columns if keep is None or c in keep]
+        df = leaf.df.select(*own, *[c.alias(physical(i, n)) for n, c in self.tree.raws.get(i, {}).items() if keep is None or n in keep])
+        for f in filters:
+            df = df.filter(scalar(f))
         identity: Column = F.lit(1)
         if row:
             keys = [scalar(self.tree._in_leaf(as_expr(leaf.dims[n].expr), i, (n,))) for n in self.tree.entities(i)]
@@ -298,7 +315,7 @@ class Planner:
         while isinstance(e, Call) and e.func == "struct_field":
             path.insert(0, e.args[1].value)
             e = e.args[0]
-        if not isinstance(e, Bound):
+        if not isinstance(e, Bound) or e.column not in self.tree.columns(e.leaf):
             return None
         kind = self.tree.leaves[leaf].df.schema[e.column].dataType
         arrays, inner, at = [e.column], [], kind
@@ -489,6 +506,8 @@ def aggregate(tree: Tree, keys: dict[str, Expr], wanted: dict[str, Any], filters
         if name in bases and name in calculated and isinstance(calculated[name], MeasureRef) and calculated[name].measure == name:
             del calculated[name]
 
+    arrays = [Bound(b.leaf, b.array[0]) for b in bases.values() if b.array]
+    planner.read_only(*keys.values(), *filters, *(b.expr for b in bases.values()), *arrays)
     df = combined(planner, keys, list(bases.values()), filters)
     if totals:
         sums = combined(planner, {}, [b for b in bases.values() if b.name in totals], filters)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DefinitionError, QueryError, UnknownFieldError
-from ..expr.nodes import Agg, Attr, Bound, Call, Expr, Field, Lit, MeasureRef, Over, Total, WinFunc, as_expr, rebuild, walk
+from ..expr.nodes import Agg, Attr, Bound, Call, Expr, Field, Lit, MeasureRef, Over, Raw, Total, WinFunc, as_expr, rebuild, walk
 
 
 def quoted(name: str) -> Column:
@@ -148,6 +148,7 @@ class Tree:
         self.dims: dict[str, Dimension] = {}
         self.measures: dict[str, Measure] = {}
         self.filters: list[Expr] = []
+        self.raws: dict[int, dict[str, Column]] = {}
         self._add(node)
         names = [x.name for x in self.leaves if x.name]
         if len(names) != len(set(names)):
@@ -202,6 +203,20 @@ class Tree:
     def columns(self, leaf: int) -> list[str]:
         return self.leaves[leaf].df.columns
 
+    def lifted(self, leaf: int | None, x: Raw) -> Bound:
+        """A Spark column of the user's, evaluated on its own table under a name of its own."""
+        if leaf is None:
+            if self.joined:
+                raise QueryError("a Spark column belongs to a single model; define it there")
+            leaf = 0
+        known = self.raws.setdefault(leaf, {})
+        for name, c in known.items():
+            if c is x.column:
+                return Bound(leaf, name)
+        name = f"__raw{len(known)}"
+        known[name] = x.column
+        return Bound(leaf, name)
+
     # names
 
     def qualified(self, leaf: int, name: str) -> str:
@@ -285,6 +300,8 @@ class Tree:
         dims, columns = self.leaves[leaf].dims, set(self.columns(leaf))
 
         def f(x: Expr) -> Expr | None:
+            if isinstance(x, Raw):
+                return self.lifted(leaf, x)
             path = self._path(x)
             if path is None:
                 return None
@@ -305,6 +322,8 @@ class Tree:
         """Binds an expression of the whole model, such as a filter: dimensions first, then model.field, then columns."""
 
         def f(x: Expr) -> Expr | None:
+            if isinstance(x, Raw):
+                return self.lifted(None, x)
             path = self._path(x)
             if path is None:
                 return None
@@ -341,6 +360,8 @@ class Tree:
                     return Total(full)
                 warnings.warn(f"all({x.arg!r}) names a column; use all(t.{x.arg}.sum())", DeprecationWarning, stacklevel=2)
                 return Total(Agg("sum", f(Field(x.arg))))
+            if isinstance(x, Raw):
+                return self.lifted(leaf, x)
             path = self._path(x)
             if path is None:
                 return None

@@ -296,6 +296,20 @@ def test_functions_of_the_package(spark, orders):
     assert rows(m.filter(t.or_(_.x == 1, _.x == 9)).aggregate("n")) == [(1,)]
 
 
+def test_spark_columns_and_udfs(spark):
+    from pyspark.sql import functions as F
+
+    import tessella as t
+
+    df = spark.createDataFrame([("a b", 1), ("c", 2), ("d e f", 3)], "s string, v int")
+    words = F.udf(lambda s: len(s.split()), "int")
+    m = to_semantic_table(df, "m").with_dimensions(words=t.raw(words("s")), v=_.v).with_measures(total=_.v.sum(), longest=t.raw(F.length("s")).max(), many=lambda x: (x.words > 1).sum())
+    assert rows(m.group_by("words").aggregate("total", "longest")) == [(1, 2, 1), (2, 1, 3), (3, 3, 5)]
+    assert rows(m.filter(_.words > 1).aggregate("total", "many")) == [(4, 2)]
+    other = to_semantic_table(spark.createDataFrame([(1, "x"), (2, "y")], "k int, n string"), "o").with_dimensions(n=_.n)
+    assert rows(m.join_one(other, lambda a, b: a.v == b.k).group_by("o.n").aggregate("m.longest")) == [("x", 3), ("y", 1), (None, 5)]
+
+
 def test_truths_add_up(spark):
     df = spark.createDataFrame([(1, True), (5, False), (9, None)], "x int, b boolean")
     m = to_semantic_table(df).with_measures(over=(_.x > 4).sum(), share=(_.x > 4).mean(), b=_.b.sum(), some=_.b.any(), every=_.b.all())
