@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ SQL: dict[str, str] = {}
 def query(sql: str | None = None) -> Callable:
     def register(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            got = f(Models(spark, sf_dir))
+            got = f(models(spark, sf_dir))
             return plain(got.to_spark() if isinstance(got, (Result, SemanticTable)) else got)
 
         QUERIES[f.__name__] = run
@@ -36,15 +37,18 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 class Models:
-    """The models over the test tables."""
+    """The models over the test tables, defined once a session and folder, as a user of the layer would."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        if name not in self.tables:
+            self.tables[name] = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        return self.tables[name]
 
-    @property
+    @cached_property
     def orders(self) -> SemanticTable:
         return (
             to_semantic_table(self.table("orders"), "orders", "customer orders")
@@ -60,7 +64,7 @@ class Models:
             .with_measures(per_order=lambda t: t.revenue / t.n, share=lambda t: t.revenue / t.all(t.revenue), over_mean=lambda t: t.avg_price - t.all(t.avg_price))
         )
 
-    @property
+    @cached_property
     def lineitem(self) -> SemanticTable:
         return (
             to_semantic_table(self.table("lineitem"), "lineitem")
@@ -69,7 +73,7 @@ class Models:
             .with_measures(gross=lambda t: (t.l_extendedprice * (1 - t.l_discount)).sum(), gross_per_unit=lambda t: t.gross / t.qty)
         )
 
-    @property
+    @cached_property
     def customer(self) -> SemanticTable:
         return (
             to_semantic_table(self.table("customer"), "customer")
@@ -77,23 +81,23 @@ class Models:
             .with_measures(customers=_.count(), balance=_.c_acctbal.sum())
         )
 
-    @property
+    @cached_property
     def nation(self) -> SemanticTable:
         return to_semantic_table(self.table("nation"), "nation").with_dimensions(nationkey=entity_dimension(_.n_nationkey), name=_.n_name)
 
-    @property
+    @cached_property
     def region(self) -> SemanticTable:
         return to_semantic_table(self.table("region"), "region").with_dimensions(name=_.r_name)
 
-    @property
+    @cached_property
     def supplier(self) -> SemanticTable:
         return to_semantic_table(self.table("supplier"), "supplier").with_dimensions(suppkey=entity_dimension(_.s_suppkey)).with_measures(suppliers=_.count(), supplier_balance=_.s_acctbal.sum())
 
-    @property
+    @cached_property
     def part(self) -> SemanticTable:
         return to_semantic_table(self.table("part"), "part").with_dimensions(partkey=entity_dimension(_.p_partkey), brand=_.p_brand, kind=_.p_type, psize=_.p_size).with_measures(parts=_.count())
 
-    @property
+    @cached_property
     def events(self) -> SemanticTable:
         return (
             to_semantic_table(self.table("events"), "events")
@@ -101,19 +105,24 @@ class Models:
             .with_measures(events=_.count(), total=_.value.sum(), users=_.user_id.nunique())
         )
 
-    @property
+    @cached_property
     def embeddings(self) -> SemanticTable:
         return to_semantic_table(self.table("embeddings"), "emb").with_dimensions(label=_.label).with_measures(vectors=_.count(), components=_.embedding.count(), total=_.embedding.sum(), least=_.embedding.min())
 
-    @property
+    @cached_property
     def order_lines(self) -> SemanticTable:
         return self.orders.join_many(self.lineitem, lambda o, l: o.o_orderkey == l.l_orderkey)
 
-    @property
+    @cached_property
     def order_customers(self) -> SemanticTable:
         return self.orders.join_one(to_semantic_table(self.table("customer"), "customer").with_dimensions(segment=_.c_mktsegment), lambda o, c: o.o_custkey == c.c_custkey)
 
 
+@lru_cache(maxsize=8)
+def models(spark: SparkSession, sf_dir: str) -> Models:
+    return Models(spark, sf_dir)
+
+
 _COUNT = "CAST(COUNT(*) AS BIGINT)"
 
 
