@@ -306,14 +306,15 @@ def labelled_pages(pages: int = 350, seed: int = 7) -> list[tuple[str, list[str]
         return wrap(rng.choice(("div", "section", "p", "div")), ["notice", "cookie-banner", "newsletter", "consent", "alert alert-info", "subscribe-box", "popup", "paywall"], rng.choice((sentences(1, 3), f"<p>{sentences(1, 2)}</p><button>{words(1, 2)}</button>")))
 
     def form() -> str:
-        return f'<form action="/{word()}"><label>{words(1, 3)}</label><input name="q"><p>{sentence()}</p><select><option>{word()}<option>{word()}</select><button>{words(1, 2)}</button></form>'
+        parts = [f"<label>{words(1, 3)}</label><input name=q>", f"<p>{sentence()}</p><input>", f"<select><option>{word()}<option>{word()}</select>", f"<p>{sentences(1, 2)}</p><textarea>{words(0, 3)}</textarea>"]
+        return f'<form action="/{word()}">{"".join(rng.sample(parts, rng.randint(1, 3)))}<button>{words(1, 2)}</button></form>'
 
     def comments() -> str:
         each = lambda: rng.choice((f'<div class="comment"><b>{word()}</b><p>{sentences(1, 4)}</p></div>', f"<li><p>{sentences(1, 5)}</p></li>", f'<article class="comment"><h4>{word()}</h4><p>{sentences(1, 3)}</p></article>', f"<p>{sentences(1, 4)}</p>"))
         return wrap(rng.choice(("section", "div", "ol")), ["comments", "comment-list", "reader-comments", "discussion", "replies"], (f"<h3>{words(1, 2)}</h3>" if chance(0.6) else "") + "".join(each() for _ in range(rng.randint(1, 5))))
 
     def junk() -> str:
-        return rng.choice((menu, advert, side, notice, form, comments))()
+        return rng.choice((menu, advert, side, notice, form, form, comments))()
 
     out = []
     for _ in range(pages):
@@ -327,22 +328,22 @@ def labelled_pages(pages: int = 350, seed: int = 7) -> list[tuple[str, list[str]
         body = []
         if chance(0.85):
             h1 = f"<h1>{keep(title)}</h1>"
-            body.append(f"<header>{h1}</header>" if chance(0.1) else h1)
+            body.append(f"<header>{h1}</header>" if chance(0.2) else wrap("header", ["entry-header", "post-header", "article-header"], h1) if chance(0.1) else h1)
         for _ in range(rng.randint(1, 9)):
             kind = rng.random()
-            if kind < 0.66:
-                text = sentences(1, 7)
+            if kind < 0.62:
+                text = sentences(1, 7) if chance(0.9) else words(1, 4).capitalize()
                 bold = chance(0.2)
                 body.append(f"<p>{'<b>' if bold else ''}{keep(text)}{rng.choice(('</p>', '</p>', '</b></p>' if bold else '</p>', '', '<br>'))}")
-            elif kind < 0.74:
+            elif kind < 0.69:
                 body.append(f"<h2>{keep(words(1, 7).capitalize())}</h2>")
-            elif kind < 0.82:
+            elif kind < 0.76:
                 body.append("<ul>" + "".join(f"<li>{keep(sentence() if chance(0.6) else words(1, 6))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif kind < 0.87:
+            elif kind < 0.81:
                 body.append(f"<blockquote>{keep(sentences(1, 3))}</blockquote>")
-            elif kind < 0.91:
+            elif kind < 0.85:
                 body.append("<table>" + "".join(f"<tr><td>{keep(words(1, 4))}<td>{keep(words(1, 4))}" for _ in range(rng.randint(1, 3))) + "</table>")
-            elif kind < 0.95:
+            elif kind < 0.89:
                 a, b = sentence(), sentence()
                 main.append(" ".join(f"{a} {b}".split()))
                 body.append(f'<div>{a} <a href="/{word()}">{b}</a></div>')
