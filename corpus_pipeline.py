@@ -21,9 +21,9 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of documents that came so far, scores as good."""
+    """Documents that the classifier scores as good; it learns from labels of the whole table, since the rules left few bad documents."""
     bounded_batches(spark)
-    return quality_mil.quality_filter(docs, table(spark, sf_dir, "labels"))
+    return quality_mil.quality_filter(docs, quality_mil.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

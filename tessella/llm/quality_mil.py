@@ -8,7 +8,7 @@ The model is fitted on at most ``TRAIN_ROWS`` labelled documents (chosen by a ha
 passages each; both are parameters and bound the driver's memory. Scoring has no such limit.
 
 Defined results: null and empty texts are one empty passage and get a score as others do; labels without a quality or
-document teach nothing; a document with several labels counts with the smallest; without any labels every score is 0.5;
+document teach nothing; a document with several labels counts with the smallest; without any labels every score is 0.5 and a filter keeps all;
 repeated rows get equal scores. Labels, language, source and id are never inputs of a score.
 """
 
@@ -123,6 +123,7 @@ class Mil:
     weights: dict[str, np.ndarray]
     mean: np.ndarray
     scale: np.ndarray
+    trained: bool = True
 
     def score(self, x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return _forward(self.weights, (x - self.mean) / self.scale, offsets)["p"]
@@ -169,7 +170,7 @@ def fit(x: np.ndarray, offsets: np.ndarray, y: np.ndarray, hidden: int = 24, gat
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(d), np.ones(d))
     if not len(y):
         w["c"][:] = 0
-        return Mil(w, mean, scale)
+        return Mil(w, mean, scale, trained=False)
     x = (x - mean) / scale
     m, s, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     sizes = np.diff(offsets)
@@ -223,6 +224,6 @@ def score(text: Column, model: Mil) -> Column:
     return scored(text)
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score threshold or more, with the columns of docs."""
-    return docs.filter(score(col(text_col).cast("string"), train(docs, labels, id_col, text_col)) >= threshold)
+def quality_filter(docs: DataFrame, model: Mil, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score threshold or more, with the columns of docs; all rows if no label taught the model."""
+    return docs.filter(score(col(text_col).cast("string"), model) >= threshold) if model.trained else docs

@@ -386,6 +386,9 @@ def test_mil_learns_and_scores_every_text(spark):
     odd = docs(spark, ODD).select(quality_mil.score(F.col("text"), model).alias("s")).collect()
     assert len(odd) == len(ODD) and all(0 <= r.s <= 1 for r in odd)
     none = quality_mil.train(docs_, labels.limit(0))
+    assert quality_mil.quality_filter(docs(spark, ["a", None]), none).count() == 2
+    kept = quality_mil.quality_filter(docs_, model)
+    assert kept.columns == docs_.columns and kept.count() == sum(r.s >= quality_mil.THRESHOLD for r in out)
     assert {r.s for r in docs(spark, ["a", None]).select(quality_mil.score(F.col("text"), none).alias("s")).collect()} == {0.5}
 
 
@@ -512,6 +515,21 @@ def registered_path(spark):
     return shared_path(spark, "test")
 
 
+def test_pipeline_stages_on_empty_and_odd_documents(spark):
+    import corpus_pipeline
+
+    first = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, None, "en", None, None)], first.schema)
+    for docs_ in (first.limit(0), odd):
+        path = registered_path(spark)
+        docs_.write.parquet(path)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, spark.read.parquet(path), SF)
+            rows = out.collect()
+            assert name == "packing" or out.columns == first.columns
+            assert len(rows) <= 4 and (docs_ is odd or not rows), name
+
+
 def test_queries_are_one_of_each():
     names = list(registered.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
