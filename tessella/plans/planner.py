@@ -117,7 +117,9 @@ class Planner:
         identity: Column = F.lit(1)
         if row:
             keys = [scalar(self.tree._in_leaf(as_expr(leaf.dims[n].expr), i, (n,))) for n in self.tree.entities(i)]
-            identity = F.struct(*[k.alias(f"k{n}") for n, k in enumerate(keys)]) if keys else F.monotonically_increasing_id()
+            number = F.monotonically_increasing_id()
+            unknown = reduce(lambda a, b: a | b, [k.isNull() for k in keys]) if keys else None
+            identity = F.struct(*[k.alias(f"k{n}") for n, k in enumerate(keys)], F.when(unknown, number).alias("n")) if keys else number
         return df.withColumn(mark(i), identity)
 
     def needed(self, leaves: Iterable[int]) -> set[int]:

@@ -140,6 +140,12 @@ def test_large_dimensions_are_joined_after_aggregation(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_rows_without_their_entity_key_count_each(spark):
+    orders = model(spark, "o", "oid int, amount int", [(1, 10), (None, 20), (None, 30)]).with_dimensions(oid=entity_dimension(_.oid)).with_measures(total=_.amount.sum(), n=_.count())
+    items = model(spark, "i", "oid int, sku string", [(1, "a"), (1, "b")]).with_dimensions(sku=_.sku)
+    assert rows(orders.join_many(items, "oid").group_by("i.sku").aggregate("total", "n")) == [("a", 10, 1), ("b", 10, 1), (None, 50, 2)]
+
+
 def test_measures_of_a_one_side_count_each_row_once(spark):
     orders = model(spark, "orders", "oid int, cid int", [(1, 1), (2, 1), (3, 2)]).with_dimensions(oid=_.oid).with_measures(n=_.count())
     customers = model(spark, "customers", "cid int, balance int", [(1, 10), (2, 20), (3, 40)]).with_measures(balance=_.balance.sum())

@@ -339,6 +339,21 @@ def test_streaming_batches(spark, tmp_path):
     assert sorted(got) == [("a", 4), ("b", 2)]
 
 
+def test_streaming_windows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessella.streaming.sources import stream, windowed_counts
+
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    spark.createDataFrame([("a", at(0, 1)), ("a", at(0, 9)), ("b", at(0, 12)), ("a", at(3, 0))], "k string, ts timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = stream(spark, str(tmp_path / "in"), "k string, ts timestamp_ntz")
+    out = windowed_counts(source, "ts", "10 minutes", ["k"], {"n": F.count("*")}, late="30 minutes")
+    q = out.writeStream.outputMode("append").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    got = {(r.window_start.hour * 60 + r.window_start.minute, r.k, r.n) for r in spark.table("windows").collect()}
+    assert got == {(0, "a", 2), (10, "b", 1)}  # the last window is still open
+
+
 def test_chart_specification(flights):
     bar = flights.group_by("carrier").aggregate("total").chart()
     assert bar["mark"] == "bar" and len(bar["data"]["values"]) == 2
