@@ -6,7 +6,7 @@ depth that follows density: it starts where an even spread leaves ``LEAF`` signa
 until texts at the design distance meet in some trie with the target recall, and goes deeper only below prefixes that
 hold more than ``DENSE`` signatures. Within a leaf all pairs are verified on full signatures; a pair counts in the first trie in which
 it meets, so links are counted exactly once and pairs are never stored: a leaf emits link counts and the edges of a
-spanning forest. Equal texts, then equal signatures, are collapsed before, so a hot group of copies is one row.
+spanning forest. Leaves that are dense at the greatest depth too are compared in blocks of slices, so that no task holds one whole. Equal texts, then equal signatures, are collapsed before, so a hot group of copies is one row.
 
 Defined results: a null text is an empty text, and empty texts are copies of each other; a text without a word has itself as its only word;
 repeated rows are copies; an empty table gives no rows; null ids belong to classes but name none; extra columns stay out of the
@@ -141,30 +141,44 @@ def _leaf_column(depth: int, dense: dict[int, dict[int, np.ndarray]]) -> Column:
     return leaf("sig")
 
 
-def _dense_prefixes(points: DataFrame, depth: int) -> dict[int, dict[int, np.ndarray]]:
-    """Prefixes by depth and trie that hold more than DENSE signatures; at most MOST_PREFIXES of them at each depth."""
+def _dense_prefixes(points: DataFrame, depth: int) -> tuple[dict[int, dict[int, np.ndarray]], list[tuple[int, int, int]]]:
+    """Prefixes by depth and trie that hold more than DENSE signatures, at most MOST_PREFIXES of them at each depth.
+
+    Beside them, the leaves (trie, leaf, slices) that are as large at the greatest depth and are compared in blocks.
+    """
     dense: dict[int, dict[int, np.ndarray]] = {}
     limit, level = DENSE, depth
-    while level < DEEPEST:
+    while True:
         counts = points.select(F.posexplode(_leaf_column(depth, dense)).alias("t", "leaf")).groupBy("t", "leaf").count().filter((F.col("count") > limit) & (F.col("leaf").bitwiseAND(63) == level))
-        found = counts.select("t", "leaf").limit(MOST_PREFIXES + 1).collect()
+        found = counts.limit(MOST_PREFIXES + 1).collect()
         if len(found) > MOST_PREFIXES:
             limit *= 2
             continue
         if not found:
-            break
+            return dense, []
+        if level >= DEEPEST:
+            return dense, [(t, leaf, -(-n // limit)) for t, leaf, n in found]
         by: dict[int, list[int]] = {}
-        for t, leaf in found:
+        for t, leaf, _ in found:
             by.setdefault(t, []).append((leaf % (1 << 64)) >> (64 - level))
         dense[level] = {t: np.array(sorted(p), np.uint64) for t, p in by.items()}
         level = min(level + DEEPER, DEEPEST)
-    return dense
 
 
-def _links(depth: int, dense: dict[int, dict[int, np.ndarray]], distance: int):
-    """mapInArrow over rows (t, leaf, node, n_texts, sig) sorted by t and leaf: link counts (node, null, n) and forest edges (node, other, 0)."""
+def _in_blocks(entries: DataFrame, huge: list[tuple[int, int, int]]) -> DataFrame:
+    """entries with block and side: rows of a huge leaf meet those of each other slice in one block and their own slice in another."""
+    slices = entries.sparkSession.createDataFrame([(t, leaf, n) for t, leaf, n in huge], "t int, leaf long, slices long")
+    cut = entries.join(F.broadcast(slices), ["t", "leaf"], "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("slices", F.lit(1))))  # at most MOST_PREFIXES rows
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1)))
+    block = F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return cut.withColumns({"block": block, "side": side}).drop("slices", "own", "other")
+
+
+def _links(depth: int, dense: dict[int, dict[int, np.ndarray]], distance: int, blocks: bool):
+    """mapInArrow over rows (t, leaf, node, n_texts, sig and, with blocks, block and side) sorted by t, leaf and block: link counts (node, null, n) and forest edges (node, other, 0)."""
 
-    def found(t: np.ndarray, leaf: np.ndarray, node: np.ndarray, weight: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+    def found(t: np.ndarray, leaf: np.ndarray, block: np.ndarray, side: np.ndarray, node: np.ndarray, weight: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
         n = len(leaf)
         words, limit = np.ascontiguousarray(sig[:, :32]).view(np.uint64), np.minimum(sig[:, 32], distance).astype(np.int64)
         links, label = np.zeros(n, np.int64), np.arange(n)
@@ -172,9 +186,10 @@ def _links(depth: int, dense: dict[int, dict[int, np.ndarray]], distance: int):
         while len(begin):
             off += 1
             begin = begin[begin + off < n]
-            begin = begin[(leaf[begin] == leaf[begin + off]) & (t[begin] == t[begin + off])]
+            begin = begin[(leaf[begin] == leaf[begin + off]) & (block[begin] == block[begin + off]) & (t[begin] == t[begin + off])]
             for at in range(0, len(begin), 1 << 18):
                 i = begin[at : at + (1 << 18)]
+                i = i[(side[i] == 2) | (side[i] != side[i + off])]
                 j = i + off
                 far = np.zeros(len(i), np.int64)
                 for w in range(4):
@@ -210,7 +225,9 @@ def _links(depth: int, dense: dict[int, dict[int, np.ndarray]], distance: int):
 
         def arrays(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
             whole = pa.Table.from_batches(parts).combine_chunks()
-            return (*(whole.column(k).to_numpy() for k in range(4)), _sig_rows(whole.column(4)))
+            t, leaf, node, weight = (whole.column(k).to_numpy() for k in range(4))
+            block, side = (whole.column(k).to_numpy() for k in (5, 6)) if blocks else (np.zeros(len(t), np.int64), np.full(len(t), 2))
+            return t, leaf, block, side, node, weight, _sig_rows(whole.column(4))
 
         for batch in batches:
             if not batch.num_rows:
@@ -219,10 +236,11 @@ def _links(depth: int, dense: dict[int, dict[int, np.ndarray]], distance: int):
             rows += batch.num_rows
             if rows < 100_000:
                 continue
-            t, leaf, *rest = arrays(kept)
-            cut = int(np.flatnonzero((leaf != leaf[-1]) | (t != t[-1]))[-1]) + 1 if leaf[0] != leaf[-1] or t[0] != t[-1] else 0
+            t, leaf, block, *rest = arrays(kept)
+            before = np.flatnonzero((leaf != leaf[-1]) | (t != t[-1]) | (block != block[-1]))
+            cut = int(before[-1]) + 1 if len(before) else 0
             if cut:
-                yield found(t[:cut], leaf[:cut], *(x[:cut] for x in rest))
+                yield found(t[:cut], leaf[:cut], block[:cut], *(x[:cut] for x in rest))
                 kept = [pa.Table.from_batches(kept).slice(cut).combine_chunks().to_batches()[0]] if cut < rows else []
                 rows -= cut
         if rows:
@@ -250,9 +268,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     points = texts.groupBy("sig").agg(F.min("first_id").alias("first_id"), F.count("*").alias("n_texts"))
     points = written(points.withColumn("node", F.monotonically_increasing_id()), "points")
     depth = base_depth(points.count())
-    dense = _dense_prefixes(points, depth)
-    entries = points.select("node", "n_texts", "sig", F.posexplode(_leaf_column(depth, dense)).alias("t", "leaf")).select("t", "leaf", "node", "n_texts", "sig")
-    met = entries.repartition("t", "leaf").sortWithinPartitions("t", "leaf", "node").mapInArrow(_links(depth, dense, distance), "node long, other long, links long")
+    dense, huge = _dense_prefixes(points, depth)
+    entries = points.select("node", "n_texts", "sig", F.posexplode(_leaf_column(depth, dense)).alias("t", "leaf"))
+    entries, more = (_in_blocks(entries, huge), ["block"]) if huge else (entries, [])
+    entries = entries.select("t", "leaf", "node", "n_texts", "sig", *more, *(["side"] if huge else []))
+    met = entries.repartition("t", "leaf", *more).sortWithinPartitions("t", "leaf", *more, "node").mapInArrow(_links(depth, dense, distance, bool(huge)), "node long, other long, links long")
     met = written(met, "links")
     links = met.filter("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(met.filter("other is not null"), "node", "other")

@@ -468,6 +468,15 @@ def test_simhash_deep_leaves_lose_no_close_pair(spark, monkeypatch):
     assert simhash.near_duplicates(docs(spark, texts).limit(0)).collect() == []
 
 
+def test_simhash_huge_leaves_in_blocks_count_the_same(spark, monkeypatch):
+    texts = near_texts()
+    want = {r.doc_id: (r.class_id, r.n_links) for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    monkeypatch.setattr(simhash, "DENSE", 5)
+    monkeypatch.setattr(simhash, "DEEPEST", 6)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert got == want  # at depth 6 every link is met, whole or in blocks
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 101), (102, 101), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
