@@ -3,10 +3,10 @@
 Every whole text gets a 256-bit SimHash over its distinct words, longer words weighing more. The forest is a
 set of tries, each over the bits in another random order. A trie's leaf is the prefix that a signature has at a
 depth that follows density: it starts where an even spread leaves ``LEAF`` signatures a leaf, climbs to shorter prefixes
-until texts at the design distance meet in some trie with the target recall, and goes deeper only below prefixes that
-hold more than ``DENSE`` signatures. Within a leaf all pairs are verified on full signatures; a pair counts in the first trie in which
+until texts at the design distance meet in some trie with the target recall, and never goes deeper. Within a leaf all pairs are
+verified on full signatures; a pair counts in the first trie in which
 it meets, so links are counted exactly once and pairs are never stored: a leaf emits link counts and the edges of a
-spanning forest. Leaves that are dense at the greatest depth too are compared in blocks of slices, so that no task holds one whole. Equal texts, then equal signatures, are collapsed before, so a hot group of copies is one row.
+spanning forest. Leaves of more than ``DENSE`` signatures are compared in blocks of slices, so that no task holds one whole. Equal texts, then equal signatures, are collapsed before, so a hot group of copies is one row.
 
 Defined results: a null text is an empty text, and empty texts are copies of each other; a text without a word has itself as its only word;
 repeated rows are copies; an empty table gives no rows; null ids belong to classes but name none; extra columns stay out of the
@@ -35,11 +35,10 @@ FEW_WORDS = (8, 64)
 TRIES = 48
 LEAF = 32
 DENSE = 4096
-DEEPER = 6
 DEEPEST = 56
 DESIGN_DISTANCE = 32
 RECALL = 0.99
-#: More dense prefixes than this are never sent to workers: the limit DENSE doubles until they are fewer, and larger leaves are compared.
+#: More dense leaves than this are never sent to workers: the limit DENSE doubles until they are fewer, and larger slices are compared.
 MOST_PREFIXES = 100_000
 _WORD = re.compile(r"\w+")
 
@@ -102,26 +101,23 @@ def codes(sigs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prefix(code: np.ndarray, depth: int) -> np.ndarray:
+def leaves(code: np.ndarray, depth: int) -> np.ndarray:
+    """The leaf of each code: its prefix."""
     return code >> np.uint64(64 - depth)
 
 
-def leaves(code: np.ndarray, depth: int, dense: dict[int, dict[int, np.ndarray]]) -> np.ndarray:
-    """The leaf of each code: its prefix, left-aligned, with its depth in the low bits."""
-    depths = np.full(code.shape, depth, np.uint64)
-    for level in sorted(dense):
-        for t, hot in dense[level].items():
-            inside = (depths[:, t] == level) & np.isin(_prefix(code[:, t], level), hot)
-            depths[inside, t] = min(level + DEEPER, DEEPEST)
-    shift = np.uint64(64) - depths
-    return (code >> shift << shift) | depths
+def _masks(depth: int) -> np.ndarray:
+    """For each trie, the bits of a signature, as four words, that its leaves hold."""
+    bits = np.zeros((TRIES, BITS), np.uint8)
+    bits[np.arange(TRIES)[:, None], ORDERS[:, :depth]] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
 def base_depth(signatures_: int) -> int:
     """The starting depth: by density, climbed to the longest prefix that reaches the target recall at the design distance."""
     by_density = math.ceil(math.log2(max(2, signatures_) / LEAF)) if signatures_ > LEAF else 1
     agree = 1 - DESIGN_DISTANCE / BITS
-    depth = max(6, by_density)
+    depth = min(max(6, by_density), DEEPEST)
     while depth > 6 and 1 - (1 - agree**depth) ** TRIES < RECALL:
         depth -= 1
     return depth
@@ -131,38 +127,25 @@ def _sig_rows(array: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(array.to_pylist()), np.uint8).reshape(-1, 33)
 
 
-def _leaf_column(depth: int, dense: dict[int, dict[int, np.ndarray]]) -> Column:
+def _leaf_column(depth: int) -> Column:
     @F.arrow_udf("array<long>")
     def leaf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = leaves(codes(_sig_rows(batch)), depth, dense).view(np.int64) if len(batch) else np.empty((0, TRIES), np.int64)
+            found = leaves(codes(_sig_rows(batch)), depth).view(np.int64) if len(batch) else np.empty((0, TRIES), np.int64)
             yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * TRIES + 1, TRIES), pa.int32()), pa.array(found.ravel()))
 
     return leaf("sig")
 
 
-def _dense_prefixes(points: DataFrame, depth: int) -> tuple[dict[int, dict[int, np.ndarray]], list[tuple[int, int, int]]]:
-    """Prefixes by depth and trie that hold more than DENSE signatures, at most MOST_PREFIXES of them at each depth.
-
-    Beside them, the leaves (trie, leaf, slices) that are as large at the greatest depth and are compared in blocks.
-    """
-    dense: dict[int, dict[int, np.ndarray]] = {}
-    limit, level = DENSE, depth
+def _huge_leaves(points: DataFrame, depth: int) -> list[tuple[int, int, int]]:
+    """Leaves (trie, leaf, slices) that hold more than DENSE signatures and are compared in blocks, at most MOST_PREFIXES of them."""
+    sizes = points.select(F.posexplode(_leaf_column(depth)).alias("t", "leaf")).groupBy("t", "leaf").count()
+    limit = DENSE
     while True:
-        counts = points.select(F.posexplode(_leaf_column(depth, dense)).alias("t", "leaf")).groupBy("t", "leaf").count().filter((F.col("count") > limit) & (F.col("leaf").bitwiseAND(63) == level))
-        found = counts.limit(MOST_PREFIXES + 1).collect()
-        if len(found) > MOST_PREFIXES:
-            limit *= 2
-            continue
-        if not found:
-            return dense, []
-        if level >= DEEPEST:
-            return dense, [(t, leaf, -(-n // limit)) for t, leaf, n in found]
-        by: dict[int, list[int]] = {}
-        for t, leaf, _ in found:
-            by.setdefault(t, []).append((leaf % (1 << 64)) >> (64 - level))
-        dense[level] = {t: np.array(sorted(p), np.uint64) for t, p in by.items()}
-        level = min(level + DEEPER, DEEPEST)
+        found = sizes.filter(F.col("count") > limit).limit(MOST_PREFIXES + 1).collect()
+        if len(found) <= MOST_PREFIXES:
+            return [(t, leaf, -(-n // limit)) for t, leaf, n in found]
+        limit *= 2
 
 
 def _in_blocks(entries: DataFrame, huge: list[tuple[int, int, int]]) -> DataFrame:
@@ -175,44 +158,72 @@ def _in_blocks(entries: DataFrame, huge: list[tuple[int, int, int]]) -> DataFram
     return cut.withColumns({"block": block, "side": side}).drop("slices", "own", "other")
 
 
-def _links(depth: int, dense: dict[int, dict[int, np.ndarray]], distance: int, blocks: bool):
-    """mapInArrow over rows (t, leaf, node, n_texts, sig and, with blocks, block and side) sorted by t, leaf and block: link counts (node, null, n) and forest edges (node, other, 0)."""
+def _near_pairs(words: np.ndarray, limit: np.ndarray, a: range, b: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows i of a and j of b, i < j, whose signatures (words, a row for each of the four) are within both limits, a tile at a time."""
+    most = limit[a.start : b.stop].max()
+    for i0 in range(a.start, a.stop, 64):
+        i1 = min(i0 + 64, a.stop)
+        for j0 in range(max(b.start, i0), b.stop, 2048):
+            j1 = min(j0 + 2048, b.stop)
+            far = np.bitwise_count(words[0, i0:i1, None] ^ words[0, None, j0:j1])
+            for w in range(1, 4):
+                far += np.bitwise_count(words[w, i0:i1, None] ^ words[w, None, j0:j1])
+            i, j = np.divmod(np.flatnonzero(far <= most), j1 - j0)  # 256 wraps to 0 here, so that these are counted again
+            i, j = i + i0, j + j0
+            i, j = i[i < j], j[i < j]
+            if len(i):
+                near = np.bitwise_count(words[:, i] ^ words[:, j]).sum(axis=0, dtype=np.int64) <= np.minimum(limit[i], limit[j])
+                yield i[near], j[near]
+
+
+def _links(depth: int, distance: int, blocks: bool):
+    """mapInArrow over rows (t, leaf, node, n_texts, sig and, with blocks, block and side) sorted by t, leaf, block and side: link counts (node, null, n) and forest edges (node, other, 0)."""
+    masks = _masks(depth)
 
     def found(t: np.ndarray, leaf: np.ndarray, block: np.ndarray, side: np.ndarray, node: np.ndarray, weight: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
         n = len(leaf)
-        words, limit = np.ascontiguousarray(sig[:, :32]).view(np.uint64), np.minimum(sig[:, 32], distance).astype(np.int64)
+        words, limit = np.ascontiguousarray(np.ascontiguousarray(sig[:, :32]).view(np.uint64).T), np.minimum(sig[:, 32], distance).astype(np.int64)
         links, label = np.zeros(n, np.int64), np.arange(n)
-        begin, off = np.arange(n), 0
-        while len(begin):
-            off += 1
-            begin = begin[begin + off < n]
-            begin = begin[(leaf[begin] == leaf[begin + off]) & (block[begin] == block[begin + off]) & (t[begin] == t[begin + off])]
-            for at in range(0, len(begin), 1 << 18):
-                i = begin[at : at + (1 << 18)]
-                i = i[(side[i] == 2) | (side[i] != side[i + off])]
-                j = i + off
-                far = np.zeros(len(i), np.int64)
-                for w in range(4):
-                    far += np.bitwise_count(words[i, w] ^ words[j, w])
-                near = far <= np.minimum(limit[i], limit[j])
-                i, j = i[near], j[near]
-                if not len(i):
-                    continue
-                a, b = leaves(codes(sig[i]), depth, dense), leaves(codes(sig[j]), depth, dense)
-                first = np.argmax(a == b, axis=1) == t[i]  # the first trie in which the two meet counts the link
-                i, j = i[first], j[first]
-                np.add.at(links, i, weight[j])
-                np.add.at(links, j, weight[i])
+
+        def link(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal label
+            differ, trie, first = words[:, i] ^ words[:, j], t[i], np.ones(len(i), bool)
+            for u in range(trie.max()):  # the first trie in which the two meet counts the link
+                first &= (trie <= u) | ((differ & masks[u][:, None]) != 0).any(axis=0)
+            i, j = i[first], j[first]
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            while True:
+                x, y = label[i], label[j]
+                if (x == y).all():
+                    break
+                np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
                 while True:
-                    x, y = label[i], label[j]
-                    if (x == y).all():
+                    up = label[label]
+                    if (up == label).all():
                         break
-                    np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-                    while True:
-                        up = label[label]
-                        if (up == label).all():
-                            break
-                        label = up
+                    label = up
+
+        begin = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (t[1:] != t[:-1]) | (block[1:] != block[:-1]))))
+        end = np.append(begin[1:], n)
+        pending: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+        for g0, g1 in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
+            if side[g0] == 2:
+                a, b = range(g0, g1), range(g0, g1)
+            else:
+                cut = g0 + int(np.searchsorted(side[g0:g1], 1))
+                a, b = range(g0, cut), range(cut, g1)
+            if not a or not b:
+                continue
+            for pairs in _near_pairs(words, limit, a, b):
+                pending.append(pairs)
+                waiting += len(pairs[0])
+                if waiting >= 1 << 16:
+                    link(*map(np.concatenate, zip(*pending)))
+                    pending, waiting = [], 0
+        if waiting:
+            link(*map(np.concatenate, zip(*pending)))
         some, linked = np.flatnonzero(links), np.flatnonzero(label != np.arange(n))
         nodes = np.concatenate((node[some], node[linked]))
         others = pa.array([None] * len(some), pa.int64()), pa.array(node[label[linked]], pa.int64())
@@ -268,11 +279,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     points = texts.groupBy("sig").agg(F.min("first_id").alias("first_id"), F.count("*").alias("n_texts"))
     points = written(points.withColumn("node", F.monotonically_increasing_id()), "points")
     depth = base_depth(points.count())
-    dense, huge = _dense_prefixes(points, depth)
-    entries = points.select("node", "n_texts", "sig", F.posexplode(_leaf_column(depth, dense)).alias("t", "leaf"))
-    entries, more = (_in_blocks(entries, huge), ["block"]) if huge else (entries, [])
-    entries = entries.select("t", "leaf", "node", "n_texts", "sig", *more, *(["side"] if huge else []))
-    met = entries.repartition("t", "leaf", *more).sortWithinPartitions("t", "leaf", *more, "node").mapInArrow(_links(depth, dense, distance, bool(huge)), "node long, other long, links long")
+    huge = _huge_leaves(points, depth)
+    entries = points.select("node", "n_texts", "sig", F.posexplode(_leaf_column(depth)).alias("t", "leaf"))
+    entries, more, sides = (_in_blocks(entries, huge), ["block"], ["side"]) if huge else (entries, [], [])
+    entries = entries.select("t", "leaf", "node", "n_texts", "sig", *more, *sides)
+    met = entries.repartition("t", "leaf", *more).sortWithinPartitions("t", "leaf", *more, *sides, "node").mapInArrow(_links(depth, distance, bool(huge)), "node long, other long, links long")
     met = written(met, "links")
     links = met.filter("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(met.filter("other is not null"), "node", "other")

@@ -477,6 +477,20 @@ def test_simhash_huge_leaves_in_blocks_count_the_same(spark, monkeypatch):
     assert got == want  # at depth 6 every link is met, whole or in blocks
 
 
+def test_simhash_dense_leaves_of_different_copies_lose_no_link(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(4000)]
+    page = rng.sample(words, 120)
+    texts = [" ".join([*page[:at], *rng.sample(words, 12), *page[at + 12 :]]) for at in rng.choices(range(108), k=60)]  # a tenth of each is its own
+    raw = np.frombuffer(b"".join(simhash.signatures(texts)), np.uint8).reshape(-1, 33)
+    sigs = np.ascontiguousarray(raw[:, :32]).view(np.uint64)
+    near = np.bitwise_count(sigs[:, None] ^ sigs[None]).sum(axis=2, dtype=int) <= np.minimum(raw[:, None, 32], raw[None, :, 32])
+    monkeypatch.setattr(simhash, "DENSE", 5)
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert {r.class_id for r in got.values()} == {0}
+    assert [got[d].n_links for d in range(60)] == (near.sum(axis=1) - 1).tolist()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 101), (102, 101), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
