@@ -1,11 +1,10 @@
 """SimHash near-duplicates through an LSH forest.
 
 Every whole text gets a 256-bit SimHash over its distinct words, longer words weighing more. The forest is a
-set of tries, each over the bits in another random order. A trie's leaf is the prefix that a signature has at a
-depth that follows density: it starts where an even spread leaves ``LEAF`` signatures a leaf, climbs to shorter prefixes
-until texts at the design distance meet in some trie with the target recall, and never goes deeper. Within a leaf all pairs are
-verified on full signatures; a pair counts in the first trie in which
-it meets, so links are counted exactly once and pairs are never stored: a leaf emits link counts and the edges of a
+set of tries, each over the bits in another random order. A trie's leaf is the prefix that a signature has at the greatest depth at which texts at
+the largest distance of a link still meet in some trie with the target recall. It depends on that distance alone, so that a pair is
+as surely found in a large table as in a small one; work grows with the square of the number of different texts. Within a leaf all
+pairs are verified on full signatures; a pair counts in the first trie in which it meets, so links are counted exactly once and pairs are never stored: a leaf emits link counts and the edges of a
 spanning forest. Leaves of more than ``DENSE`` signatures are compared in blocks of slices, so that no task holds one whole. Equal texts, then equal signatures, are collapsed before, so a hot group of copies is one row.
 
 Defined results: a null text is an empty text, and empty texts are copies of each other; a text without a word has itself as its only word;
@@ -33,10 +32,8 @@ DISTANCE = 72
 SHORT_DISTANCE = 36
 FEW_WORDS = (8, 64)
 TRIES = 48
-LEAF = 32
 DENSE = 4096
 DEEPEST = 56
-DESIGN_DISTANCE = 32
 RECALL = 0.99
 #: More dense leaves than this are never sent to workers: the limit DENSE doubles until they are fewer, and larger slices are compared.
 MOST_PREFIXES = 100_000
@@ -113,13 +110,12 @@ def _masks(depth: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def base_depth(signatures_: int) -> int:
-    """The starting depth: by density, climbed to the longest prefix that reaches the target recall at the design distance."""
-    by_density = math.ceil(math.log2(max(2, signatures_) / LEAF)) if signatures_ > LEAF else 1
-    agree = 1 - DESIGN_DISTANCE / BITS
-    depth = min(max(6, by_density), DEEPEST)
-    while depth > 6 and 1 - (1 - agree**depth) ** TRIES < RECALL:
-        depth -= 1
+def base_depth(distance: int) -> int:
+    """The depth of all leaves: the longest prefix at which texts at this distance meet in some trie with the target recall."""
+    agree = 1 - distance / BITS
+    depth = 0
+    while depth < DEEPEST and 1 - (1 - agree ** (depth + 1)) ** TRIES >= RECALL:
+        depth += 1
     return depth
 
 
@@ -278,7 +274,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = signed.groupBy("sig", "key").agg(F.min("doc_id").alias("first_id"))
     points = texts.groupBy("sig").agg(F.min("first_id").alias("first_id"), F.count("*").alias("n_texts"))
     points = written(points.withColumn("node", F.monotonically_increasing_id()), "points")
-    depth = base_depth(points.count())
+    depth = base_depth(min(max(distance, 0), DISTANCE))
     huge = _huge_leaves(points, depth)
     entries = points.select("node", "n_texts", "sig", F.posexplode(_leaf_column(depth)).alias("t", "leaf"))
     entries, more, sides = (_in_blocks(entries, huge), ["block"], ["side"]) if huge else (entries, [], [])
