@@ -2,7 +2,7 @@
 
 A text is the first layer. Every layer is scanned for secrets; then each way of unwrapping it (percent-encoding, Unicode
 escapes and character references, base64, and what decoded bytes hold compressed) gives further layers, until the
-worklist is empty. A layer whose content was seen before in its text is not taken again, which ends cycles. Each
+worklist is empty. A layer of the same content from the same spans of its text is not taken again, which ends cycles. Each
 layer keeps, for every character, the span of the original text it comes from, so a find in any layer is a span of the original.
 
 Defined results: a null text is an empty text and has no finds; a find at the same span and of the same kind counts
@@ -204,7 +204,7 @@ def scan(text: str | None) -> list[tuple[str, int, int, bool, str]]:
     """All finds (kind, start, end, base, path) of a whole text, by start, then kind; path tells the layers unwrapped."""
     first = Layer(text or "", None, None, "")
     found: dict[tuple[str, int, int], tuple[bool, str]] = {}
-    seen, work = {first.text}, [first]
+    seen, work = {(first.text, None, None)}, [first]
     while work:
         layer = work.pop()
         for kind, a, b in finds(layer.text):
@@ -212,8 +212,9 @@ def scan(text: str | None) -> list[tuple[str, int, int, bool, str]]:
             found.setdefault((kind, s, e), (layer is first, layer.path))
         for unwrap in UNWRAP:
             for child in unwrap(layer):
-                if child.text not in seen:
-                    seen.add(child.text)
+                key = (child.text, tuple(child.starts), tuple(child.ends))
+                if key not in seen:
+                    seen.add(key)
                     work.append(child)
     return sorted(((k, s, e, base, path) for (k, s, e), (base, path) in found.items()), key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
