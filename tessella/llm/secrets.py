@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is the first layer. Every layer is scanned for secrets; then each way of unwrapping it (percent-encoding, Unicode
-escapes and character references, base64, and what decoded bytes hold compressed) gives further layers, until the
+escapes and character references, base64 of any alignment and over line ends, and what decoded bytes hold compressed) gives further layers, until the
 worklist is empty. A layer of the same content from the same spans of its text is not taken again, which ends cycles. Each
 layer keeps, for every character, the span of the original text it comes from, so a find in any layer is a span of the original.
 
@@ -13,13 +13,13 @@ once; texts are scanned whole; repeated rows give the same finds each. A compres
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,7 +37,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Bytes written as text: escaped ones and those that need no escape.
+_ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/!'()*+-])+")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}")
+#: Base64 over line ends, which may be spelled as escapes.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)++")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]++")
+_BREAK = re.compile(r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x00-\xff]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: No find and no text that unwraps to one is shorter.
+SHORTEST = 12
 _WORDS = ("passw", "secret", "token", "api")
 
 
@@ -90,18 +99,14 @@ def _substituted(layer: Layer, pieces: list[tuple[int, int, str, list[tuple[int,
     return Layer("".join(text), starts, ends, f"{layer.path}/{name}")
 
 
-def _decoded_runs(raw: bytes, step: int, begin: int) -> tuple[str, list[tuple[int, int]]] | None:
-    """UTF-8 text of bytes that take step characters each from begin, with the span of each character."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    spans, b = [], 0
+def _decoded(raw: bytes) -> tuple[str, list[int]]:
+    """The text of bytes, with the offset of each character and the end; a byte that is not UTF-8 is a lone surrogate."""
+    text = raw.decode("utf-8", "surrogateescape")
+    offsets, b = [0], 0
     for c in text:
-        n = len(c.encode("utf-8"))
-        spans.append((begin + step * b, begin + step * (b + n)))
-        b += n
-    return text, spans
+        b += 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode("utf-8"))
+        offsets.append(b)
+    return text, offsets
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
@@ -109,10 +114,15 @@ def _percent(layer: Layer) -> Iterator[Layer]:
         return
     pieces = []
     for m in _PERCENT.finditer(layer.text):
-        if found := _decoded_runs(bytes.fromhex(m[0].replace("%", "")), 3, m.start()):
-            pieces.append((m.start(), m.end(), *found))
-    if pieces:
-        yield _substituted(layer, pieces, "url")
+        text, offsets = _decoded(bytes.fromhex(m[0].replace("%", "")))
+        pieces.append((m.start(), m.end(), text, [(m.start() + 3 * x, m.start() + 3 * y) for x, y in zip(offsets, offsets[1:])]))
+    if not pieces:
+        return
+    yield _substituted(layer, pieces, "url")
+    for m in _ESCAPED.finditer(layer.text):
+        if "%" in m[0]:
+            for spelled in {m[0], m[0].replace("+", " ")}:
+                yield from _packed(layer, unquote_to_bytes(spelled), m.start(), m.end(), f"{layer.path}/url")
 
 
 def _unicode(layer: Layer) -> Iterator[Layer]:
@@ -141,60 +151,104 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield _substituted(layer, pieces, "unicode")
 
 
-def _unpacked(raw: bytes) -> tuple[bytes, str] | None:
-    """What compressed bytes hold, if they are gzip, zlib, bzip2, xz or Zstandard."""
+def _opened(raw: memoryview) -> tuple[str, Callable[[], object]]:
+    """The name of the compression that starts here and what makes its decompressor."""
+    if raw[0] == 0x1F:
+        return "gzip", lambda: zlib.decompressobj(31)
+    if raw[0] == 0x78:
+        return "zlib", lambda: zlib.decompressobj(15)
+    if raw[0] == 0x42:
+        return "bzip2", bz2.BZ2Decompressor
+    if raw[0] == 0xFD:
+        return "xz", lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    import zstandard
+
+    return "zstd", lambda: zstandard.ZstdDecompressor().decompressobj()
+
+
+def _unpacked(raw: memoryview) -> tuple[bytes, str] | None:
+    """What compressed bytes hold, all members one after the other, if they are gzip, zlib, bzip2, xz or Zstandard."""
+    out, left, name = [], MOST_UNPACKED, ""
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-            return None if len(out := d.decompress(raw, MOST_UNPACKED)) >= MOST_UNPACKED or not out else (out, "gzip" if raw[0] == 0x1F else "zlib")
-        if raw[:3] == b"BZh":
-            return None if len(out := bz2.BZ2Decompressor().decompress(raw, MOST_UNPACKED)) >= MOST_UNPACKED else (out, "bzip2")
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return None if len(out := lzma.LZMADecompressor().decompress(raw, MOST_UNPACKED)) >= MOST_UNPACKED else (out, "xz")
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return None if len(out := zstandard.ZstdDecompressor().decompressobj().decompress(raw)) >= MOST_UNPACKED else (out, "zstd")
+        name, make = _opened(raw)
+        magic = bytes(raw[:2])
+        while bytes(raw[:2]) == magic:
+            d = make()
+            part = d.decompress(raw, left) if name != "zstd" else d.decompress(raw)
+            out.append(part)
+            left -= len(part)
+            if left <= 0:
+                return None
+            if not d.eof:
+                break
+            raw = memoryview(d.unused_data)
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, ImportError, RuntimeError, MemoryError):
-        return None
+        pass  # what follows the members read so far is no member
     except Exception as e:  # zstandard's own error has no base class of these
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
-    return None
+        if type(e).__name__ != "ZstdError":
+            raise
+    whole = b"".join(out)
+    return (whole, name) if whole else None
+
+
+def _packed(layer: Layer, raw: bytes, begin: int, end: int, path: str) -> Iterator[Layer]:
+    """Layers of what raw, which stands at begin to end of layer, holds compressed at any place and depth."""
+    work, seen = [(raw, path)], {raw}
+    while work:
+        raw, path = work.pop()
+        for m in _MAGIC.finditer(raw):
+            if raw[m.start()] == 0x78 and (raw[m.start()] << 8 | raw[m.start() + 1]) % 31:
+                continue
+            unpacked = _unpacked(memoryview(raw)[m.start() :])
+            if not unpacked or unpacked[0] in seen:
+                continue
+            out, name = unpacked
+            seen.add(out)
+            work.append((out, f"{path}/{name}"))
+            text = out.decode("utf-8", "surrogateescape")
+            if _holds(text):
+                s, e = layer.span(begin, end)
+                yield Layer(text, [s] * len(text), [e] * len(text), f"{path}/{name}")
+
+
+def _holds(text: str) -> bool:
+    """Whether a decoded text has a find or may be unwrapped further."""
+    return len(text) >= SHORTEST and (next(finds(text), None) is not None or any(r.search(text) for r in (_BASE64, _WRAPPED, _PERCENT, _ESCAPE)))
+
+
+def _base64_runs(text: str) -> Iterator[tuple[str, Sequence[int]]]:
+    """Runs of base64 characters with the place of each, within lines and over line ends."""
+    for m in _BASE64.finditer(text):
+        yield m[0], range(m.start(), m.end())
+    for m in _WRAPPED.finditer(text):
+        parts, at = [], m.start()
+        while at < m.end():
+            run = _RUN.match(text, at, m.end())
+            parts.append(run)
+            gap = _BREAK.match(text, run.end(), m.end())
+            at = gap.end() if gap else m.end()
+        if any(len(p[0]) >= 12 for p in parts):
+            yield "".join(p[0] for p in parts), [i for p in parts for i in range(*p.span())]
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1 or body.isalpha() and (body.islower() or body[1:].islower() or body.isupper()):
-            continue  # no base64 text of such a length; a word
-        try:
-            raw = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        path, whole = f"{layer.path}/base64", False
-        while unpacked := _unpacked(raw):
-            raw, name = unpacked
-            path, whole = f"{path}/{name}", True
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not text or sum(c.isprintable() or c.isspace() for c in text) < 0.9 * len(text):
-            continue
-        if whole:
-            s, e = layer.span(m.start(), m.end())
-            yield Layer(text, [s] * len(text), [e] * len(text), path)
-            continue
-        starts, ends, b = [], [], 0
-        for c in text:
-            n = len(c.encode("utf-8"))
-            s, e = layer.span(m.start() + b * 4 // 3, min(m.end(), m.start() + -(-(b + n) * 4 // 3)))
-            starts.append(s)
-            ends.append(e)
-            b += n
-        yield Layer(text, starts, ends, path)
+    path = f"{layer.path}/base64"
+    for body, places in _base64_runs(layer.text):
+        if body.isalpha() and (body.islower() or body[1:].islower() or body.isupper()):
+            continue  # a word
+        plain = body.translate({45: 43, 95: 47})
+        for first in range(4):  # other text may be glued to its front
+            chars = plain[first:]
+            if len(chars) % 4 == 1:
+                chars = chars[:-1]
+            raw = base64.b64decode(chars + "=" * (-len(chars) % 4))
+            if _MAGIC.search(raw):
+                yield from _packed(layer, raw, places[first], places[first + len(chars) - 1] + 1, path)
+            if not _holds(raw.decode("utf-8", "surrogateescape")):
+                continue
+            text, offsets = _decoded(raw)
+            spans = [layer.span(places[first + x * 4 // 3], places[min(len(chars), -(-y * 4 // 3)) + first - 1] + 1) for x, y in zip(offsets, offsets[1:])]
+            yield Layer(text, [s for s, _ in spans], [e for _, e in spans], path)
 
 
 UNWRAP = (_percent, _unicode, _base64)
