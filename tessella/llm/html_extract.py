@@ -28,7 +28,12 @@ from .common import col
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
-_RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "audio", "video", "head", "title", "noembed", "noframes", "xmp"}
+_RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "audio", "video", "title", "noembed", "noframes", "xmp"}
+#: Those whose content is never text, closed or not; any other that has no end tag is taken as an ordinary element.
+_NEVER_TEXT = {"script", "style", "template"}
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.ASCII | re.IGNORECASE) for name in _RAW}
+#: Elements that a head may hold; any other, and text, ends it where its end tag was omitted.
+_IN_HEAD = {"title", "base", "basefont", "bgsound", "link", "meta", "style", "script", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _CLOSES = {
@@ -104,18 +109,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
             links -= t == "a"
         del stack[to:]
 
-    at, skip = 0, ""
-    lower = ""
+    at, in_head = 0, False
+    unclosed: set[str] = set()
     for m in iter(lambda: _TOKEN.search(page, at), None):
-        if skip:
-            lower = lower or page.lower()
-            end = lower.find(f"</{skip}", at)
-            if end < 0:
-                at = len(page)
-                break
-            close = page.find(">", end)
-            at, skip = (close + 1 if close >= 0 else len(page)), ""
-            continue
+        if in_head and not page[at : m.start()].isspace() and at < m.start():
+            in_head = False
         put(page[at : m.start()])
         at = m.end()
         name = m[2]
@@ -124,6 +122,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 put(m[0][9:].removesuffix("]]>"))
             continue
         name = name.lower()
+        in_head = name == "head" and not m[1] or in_head and name in _IN_HEAD
         if m[1]:
             if name in _INLINE:
                 k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name or stack[k][0] not in _INLINE), -1)
@@ -139,11 +138,22 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
+        if name == "head":
+            flush()
+            continue
         if name in _RAW:
             if name not in _INLINE:
                 flush()
-            skip = "" if m[3].endswith("/") and name in ("svg", "math") else name
-            continue
+            if m[3].endswith("/") and name in ("svg", "math"):
+                continue
+            end = None if name in unclosed else _END[name].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(name)
+            if name in _NEVER_TEXT:
+                at = len(page)
+                break
         if name not in _INLINE:
             flush()
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in _INLINE), -1)
@@ -161,8 +171,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         stack.append((name, _families(m[3]) if m[3] else ()))
         links += name == "a"
-    if not skip:
-        put(page[at:])
+    put(page[at:])
     flush()
     return out
 

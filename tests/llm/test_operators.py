@@ -315,6 +315,20 @@ def test_html_blocks_and_extraction():
     assert html_extract.extract(page, model) == "Head & tail One two three, it goes on here. Second bold part of the text."
 
 
+def test_html_omitted_and_unclosed_ends_lose_no_text():
+    read = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    meta = "<meta charset=utf-8><title>t</title><style>x{}</style>"
+    assert read(f"<html><head>{meta}<body><p>one</p><header>two</header><p>three") == ["one", "two", "three"]
+    assert read(f"<html><head>{meta}<p>one</p><p>two") == ["one", "two"]
+    assert read(f"<html><head>{meta}</head ><p>one<header>two</header>") == ["one", "two"]
+    assert read(f"<head>{meta}one<p>two") == ["one", "two"]
+    assert [b.path for b in html_extract.leaf_blocks(f"<head>{meta}<p>one")] == [("p",)]
+    for name in ("noscript", "svg", "iframe", "object"):
+        assert read(f"<p>one</p><{name}><p>two</p><p>three") == ["one", "two", "three"]
+    assert read("<p>one</p><script>x</scripted>y</SCRIPT ><p>two<style>z") == ["one", "two"]
+    assert read("<p>" + "\u0130" * 50 + " one</p><script>1</script><p>two</p><p>three</p>")[1:] == ["two", "three"]
+
+
 def test_viterbi_is_the_best_of_all_labellings():
     model = html_extract.default_model()
     fs, _ = html_extract.block_labels(*html_extract.labelled_pages(1, seed=5)[0])
