@@ -5,10 +5,10 @@ small network; gated attention learns, from labels of whole documents alone, how
 score is that of the attention-weighted passage representation. Every passage of every text is encoded and scored.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled documents (chosen by a hash of the id) with at most ``TRAIN_PASSAGES``
-passages each; both are parameters and bound the driver's memory. Scoring has no such limit.
+passages each, spread over the whole text; both are parameters and bound the driver's memory. Scoring has no such limit.
 
 Defined results: null and empty texts are one empty passage and get a score as others do; labels without a quality or
-document teach nothing; a document with several labels counts with the smallest; without any labels every score is 0.5 and a filter keeps all;
+document teach nothing; a document with several labels counts with the smallest; an id of several rows teaches once, with the smallest text; without any labels every score is 0.5 and a filter keeps all;
 repeated rows get equal scores. Labels, language, source and id are never inputs of a score.
 """
 
@@ -194,20 +194,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _spread(n: int, most: int) -> np.ndarray:
+    """The numbers of all n passages or, of more than most, of those whose number has the smallest hashes."""
+    if n <= most:
+        return np.arange(n)
+    mixed = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.sort(np.argpartition(mixed, most)[:most])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, passages: int = TRAIN_PASSAGES) -> Mil:
     """A model fitted on a bounded sample of the labelled documents that are not held out."""
     known = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull() & ~held_out(col(id_col))).groupBy(col(id_col).alias("id")).agg(F.min(col(label_col)).alias("y"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(rows).collect()
     chosen = docs.sparkSession.createDataFrame(sample, "id long, y int")
-    bags = docs.select(col(id_col).alias("doc"), col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "y", "text")  # at most TRAIN_ROWS labels
+    bags = docs.select(col(id_col).alias("doc"), col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id")).groupBy("id", "y").agg(F.min("text").alias("text"))  # at most TRAIN_ROWS labels
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, offsets = featurize(batch.column(2))
-            bag = [x[a : min(b, a + passages)].ravel() for a, b in zip(offsets[:-1], offsets[1:])]
+            bag = [x[a + _spread(b - a, passages)].ravel() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bag, pa.list_(pa.float32()))], names=["id", "y", "x"])
 
-    found = sorted((i, y, x) for i, y, x in bags.mapInArrow(features, "id long, y int, x array<float>").limit(2 * rows).collect())
+    found = sorted((i, y, x) for i, y, x in bags.mapInArrow(features, "id long, y int, x array<float>").collect())
     parts = [np.array(x, np.float32).reshape(-1, FEATURES) for _, _, x in found]
     x = np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32)
     return fit(x, np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), np.array([y for _, y, _ in found], np.float64))

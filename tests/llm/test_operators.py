@@ -444,6 +444,24 @@ def test_mil_learns_and_scores_every_text(spark):
     assert {r.s for r in docs(spark, ["a", None]).select(quality_mil.score(F.col("text"), none).alias("s")).collect()} == {0.5}
 
 
+def test_mil_learns_from_late_passages_and_from_each_id_once(spark):
+    rng = random.Random(4)
+    plain = lambda n: " ".join(rng.choices(["some", "plain", "words", "of", "text", "here"], k=n))
+    bad = lambda n: " ".join(rng.choices(["$$#!", "%%&", "||*", "9981"], k=n))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    late = [plain(4 * quality_mil.PASSAGE) + " " + (plain if i % 2 else bad)(36 * quality_mil.PASSAGE) for i in range(200)]
+    model = quality_mil.train(docs(spark, late), labels, passages=4)
+    p = [r.p for r in docs(spark, late).orderBy("doc_id").select(quality_mil.score(F.col("text"), model).alias("p")).collect()]
+    assert all((x >= 0.5) == bool(i % 2) for i, x in enumerate(p))
+
+    kept = [r.doc_id for r in labels.filter(~quality_mil.held_out(F.col("doc_id"))).collect()]
+    short = [(plain if i % 2 else bad)(50) for i in range(200)]
+    crowd = docs(spark, [short[kept[0]]] * 5000 + short, [kept[0]] * 5000 + list(range(200)))
+    model = quality_mil.train(crowd, labels)
+    alone = quality_mil.train(docs(spark, short), labels)
+    assert all(np.allclose(model.weights[k], alone.weights[k]) for k in model.weights)
+
+
 def test_mil_gradient_is_the_slope():
     rng = np.random.default_rng(0)
     x, offsets, y = rng.normal(size=(7, 5)), np.array([0, 2, 3, 7]), np.array([1.0, 0.0, 1.0])
