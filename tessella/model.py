@@ -31,7 +31,7 @@ def as_dimension(spec: Any) -> Dimension:
     if isinstance(spec, Dimension):
         return spec
     if isinstance(spec, Mapping):
-        known = {"expr", "description", "is_entity", "is_time_dimension", "is_event_timestamp", "smallest_time_grain", "derived_dimensions", "metadata"}
+        known = {"expr", "description", "is_entity", "is_time_dimension", "is_event_timestamp", "smallest_time_grain", "derived_dimensions", "metadata", "is_unique"}
         if "expr" not in spec:
             raise DefinitionError("a dimension needs an expr")
         extra = {k: v for k, v in spec.items() if k not in known}
@@ -57,8 +57,9 @@ def time_dimension(expr: Any, smallest_time_grain: str | None = None, descriptio
     return Dimension(expr, description, is_time_dimension=smallest_time_grain is not None, is_event_timestamp=True, smallest_time_grain=smallest_time_grain, derived_dimensions=tuple(derived_dimensions))
 
 
-def entity_dimension(expr: Any, description: str | None = None) -> Dimension:
-    return Dimension(expr, description, is_entity=True)
+def entity_dimension(expr: Any, description: str | None = None, unique: bool = False) -> Dimension:
+    """A key of what the rows are about. It may repeat; unique=True promises that it doesn't, which saves work in joins."""
+    return Dimension(expr, description, is_entity=True, is_unique=unique)
 
 
 def grain(name: str) -> str:

@@ -3,9 +3,12 @@
 Each base measure is aggregated at the rows of its own source, so that joins never multiply it:
 
 * over the root alone, or over joins that keep its rows single, it is one aggregation of the joined rows;
-* a source that is joined through its ancestors meets a *bridge*, the distinct combinations of group keys and join keys, instead of the
-  ancestors' rows;
-* else the distinct pairs of group and source row are aggregated.
+* else its rows meet *bridges* instead of the other sources' rows: for each part of the model that the source connects, the distinct
+  combinations of that part's group keys and join keys, so that a row meets each group once;
+* where predicates or keys mix sources in other ways, the distinct combinations of group keys and the source's own columns that
+  they read are the bridge.
+
+No row needs an identity for that: entity dimensions are descriptions, and only a dimension declared ``unique`` is trusted as a key.
 
 Joined sources that nothing asks for are left out. Results of several sources meet on the group keys, null-safely; totals are a
 one-row frame beside them. No action runs here: Catalyst sees one declarative plan.
@@ -31,6 +34,36 @@ from .tree import Tree, has_reduction, is_calculated, owners, quoted
 
 #: Reductions whose partial results add up.
 PARTIAL = {"sum", "count", "min", "max", "mean"}
+#: Reductions to which it is all one how often a row counts.
+IDEMPOTENT = {"nunique", "approx_nunique", "min", "max", "any", "all"}
+#: Functions that give null if an argument is null.
+STRICT = {"==", "!=", "<", "<=", ">", ">=", "+", "-", "*", "/", "%", "neg", "not", "like", "ilike", "contains", "startswith", "endswith", "upper", "lower", "between", "cast"}
+
+
+def blank(e: Any, leaves: set[int]) -> bool:
+    """Whether an expression is surely null where all columns of these leaves are."""
+    if isinstance(e, Bound):
+        return e.leaf in leaves
+    if isinstance(e, Call) and e.func in STRICT:
+        return any(blank(a, leaves) for a in e.args)
+    return isinstance(e, Call) and e.func in ("isin", "notin") and blank(e.args[0], leaves)
+
+
+def rejects(e: Any, leaves: set[int]) -> bool:
+    """Whether a filter surely drops rows in which all columns of these leaves are null."""
+    if isinstance(e, Call) and e.func in ("&", "|"):
+        return (any if e.func == "&" else all)(rejects(a, leaves) for a in e.args)
+    return blank(e, leaves)
+
+
+def equalities(predicate: Any, child: int) -> bool:
+    """Whether a join predicate only compares expressions of the child with those of other leaves, by equality."""
+    if isinstance(predicate, Call) and predicate.func == "&":
+        return all(equalities(a, child) for a in predicate.args)
+    if not (isinstance(predicate, Call) and predicate.func == "=="):
+        return False
+    a, b = map(owners, predicate.args)
+    return (a == {child} and bool(b) and child not in b) or (b == {child} and bool(a) and child not in a)
 
 
 def physical(leaf: int, column: str) -> str:
@@ -89,11 +122,10 @@ class Planner:
         self.used: dict[int, set[str]] | None = None
 
     def read_only(self, *expressions: Any) -> None:
-        """Leaves give only what these expressions, the join predicates and the entity keys read."""
+        """Leaves give only what these expressions and the join predicates read."""
         tree = self.tree
         used: dict[int, set[str]] = {i: set() for i in range(len(tree.leaves))}
-        entities = [tree._in_leaf(as_expr(x.dims[n].expr), i, (n,)) for i, x in enumerate(tree.leaves) for n in tree.entities(i)]
-        for e in [*expressions, *entities, *(edge.predicate for edge in tree.edges.values())]:
+        for e in [*expressions, *(edge.predicate for edge in tree.edges.values())]:
             for b in walk(e):
                 if isinstance(b, Bound):
                     used[b.leaf].add(b.column)
@@ -105,7 +137,7 @@ class Planner:
 
     # sources and joins
 
-    def leaf_frame(self, i: int, row: bool = False) -> DataFrame:
+    def leaf_frame(self, i: int) -> DataFrame:
         """A leaf with its own filters, columns renamed; a mark tells its rows from the nulls of an outer join."""
         leaf = self.tree.leaves[i]
         filters = [self.tree._in_leaf(f, i, ()) for f in leaf.filters]
@@ -114,13 +146,7 @@ class Planner:
         df = leaf.df.select(*own, *[c.alias(physical(i, n)) for n, c in self.tree.raws.get(i, {}).items() if keep is None or n in keep])
         for f in filters:
             df = df.filter(scalar(f))
-        identity: Column = F.lit(1)
-        if row:
-            keys = [scalar(self.tree._in_leaf(as_expr(leaf.dims[n].expr), i, (n,))) for n in self.tree.entities(i)]
-            number = F.monotonically_increasing_id()
-            unknown = reduce(lambda a, b: a | b, [k.isNull() for k in keys]) if keys else None
-            identity = F.struct(*[k.alias(f"k{n}") for n, k in enumerate(keys)], F.when(unknown, number).alias("n")) if keys else number
-        return df.withColumn(mark(i), identity)
+        return df.withColumn(mark(i), F.lit(1))
 
     def needed(self, leaves: Iterable[int]) -> set[int]:
         out = {0}
@@ -128,11 +154,11 @@ class Planner:
             out |= self.tree.above(i)
         return out
 
-    def joined(self, leaves: set[int], rows: Iterable[int] = ()) -> DataFrame:
-        """The join of the leaves in declared order; leaves must hold every ancestor."""
+    def joined(self, leaves: set[int], instead: dict[int, DataFrame] | None = None) -> DataFrame:
+        """The join of the leaves in declared order; but for the first, leaves must hold every parent. instead: other frames for some of them."""
         df = None
         for i in sorted(leaves):
-            part = self.leaf_frame(i, i in rows)
+            part = instead[i] if instead and i in instead else self.leaf_frame(i)
             if df is None:
                 df = part
                 continue
@@ -141,7 +167,7 @@ class Planner:
         return df
 
     def single(self, leaf: int, leaves: set[int]) -> bool:
-        """Whether the joined rows of leaves hold each row of leaf at most once, by declared cardinality and entity keys."""
+        """Whether the joined rows of leaves hold each row of leaf at most once, by declared cardinality and unique keys."""
         above = self.tree.above(leaf)
         for i in leaves - {0}:
             edge = self.tree.edges[i]
@@ -153,15 +179,12 @@ class Planner:
         return True
 
     def unique(self, parent: int, child: int) -> bool:
-        """Whether the parent's join columns hold its declared entity key, so that a child row meets one parent row."""
-        keys = self.tree.entities(parent)
-        if not keys:
-            return False
+        """Whether the parent's join columns hold a key that was declared unique, so that a child row meets one parent row."""
         predicate = self.tree.edges[child].predicate
-        if predicate is None or not all(c.func in ("&", "==") for c in walk(predicate) if isinstance(c, Call)):
+        if predicate is None or not equalities(predicate, child):
             return False
         used = {repr(b) for b in walk(predicate) if isinstance(b, Bound) and b.leaf == parent}
-        return all(repr(self.tree._in_leaf(as_expr(self.tree.leaves[parent].dims[k].expr), parent, (k,))) in used for k in keys)
+        return any(repr(self.tree._in_leaf(as_expr(self.tree.leaves[parent].dims[k].expr), parent, (k,))) in used for k in self.tree.unique_keys(parent))
 
     # aggregation
 
@@ -174,7 +197,6 @@ class Planner:
             df = self._filtered(self.joined(leaves), filters)
             return self._grouped(df.select("*", *[scalar(e).alias(k) for k, e in keys.items()]), keys, bases, None)
         leaves = self.needed(asked | {leaf})
-        above = tree.above(leaf)
         guard = None if leaf == 0 else quoted(mark(leaf)).isNotNull()
         own = [f for f in filters if owners(f) == {leaf}]
         rest = [f for f in filters if owners(f) != {leaf}]
@@ -183,14 +205,11 @@ class Planner:
                 return self._deferred(leaves - late, late, keys, bases, filters)
             df = self._filtered(self.joined(leaves), filters)
             df = df.select("*", *[scalar(e).alias(k) for k, e in keys.items()])
-        elif leaf and leaves <= above and not any(leaf in owners(f) for f in rest) and not any(len(owners(e) | {leaf}) > 1 and leaf in owners(e) for e in keys.values()) and tree.edges[leaf].predicate is not None:
-            df = self._bridged(leaf, leaves, keys, own, rest)
         else:
-            columns = sorted({physical(b.leaf, b.column) for m in bases for b in walk(m.expr) if isinstance(b, Bound)} | ({physical(leaf, array[0])} if array else set()))
-            df = self._filtered(self.joined(leaves, {leaf}), filters)
-            df = df.select(*[scalar(e).alias(k) for k, e in keys.items()], quoted(mark(leaf)), *[quoted(c) for c in columns])
-            df = df.dropDuplicates([*keys, mark(leaf)])
-            guard = quoted(mark(leaf)).isNotNull()
+            repeatable = all(a.kind in IDEMPOTENT for m in bases for a in walk(m.expr) if isinstance(a, Agg))
+            df = self._bridged(leaf, leaves, keys, own, rest, repeatable)
+            if df is None:
+                df = self._linked(leaf, leaves, keys, own, rest)
         if array:
             df, guard = self._exploded(df, leaf, array, [*keys])
         return self._grouped(df, keys, bases, guard)
@@ -198,7 +217,7 @@ class Planner:
     def deferrable(self, leaf: int, leaves: set[int], keys: dict[str, Expr], bases: list[Base], filters: list[Expr]) -> set[int]:
         """Large dimension tables that only give group keys: the facts are aggregated by their join key first.
 
-        The join key must be the table's declared entity, and every reduction one that adds up. A table that Spark would broadcast stays where it is.
+        Joins must be plain equalities, and every reduction one that adds up. A table that Spark would broadcast stays where it is.
         """
         tree = self.tree
         if leaf or not all(a.kind in PARTIAL and not a.params for b in bases for a in walk(b.expr) if isinstance(a, Agg)):
@@ -210,15 +229,10 @@ class Planner:
             plain = parts and all(c.func == "&" or c.func == "==" and all(isinstance(a, Bound) for a in c.args) for c in parts)
             alone = edge.parents == {0} and edge.cardinality == "one" and not any(i in tree.edges[j].parents for j in leaves - {0})
             whole = all(owners(e) == {i} or i not in owners(e) for e in keys.values()) and not any(i in owners(f) for f in filters)
-            if plain and alone and whole and self.covers(i, edge.predicate) and not self.small(i):
+            if plain and alone and whole and not self.small(i):
                 out.add(i)
         return out
 
-    def covers(self, leaf: int, predicate: Expr) -> bool:
-        """Whether a join predicate compares the whole declared entity key of a leaf and nothing else of it."""
-        keys = {repr(self.tree._in_leaf(as_expr(self.tree.leaves[leaf].dims[k].expr), leaf, (k,))) for k in self.tree.entities(leaf)}
-        return bool(keys) and keys == {repr(b) for b in walk(predicate) if isinstance(b, Bound) and b.leaf == leaf}
-
     def small(self, leaf: int) -> bool:
         """Whether a leaf's estimated size is within Spark's broadcast limit; it takes no job to tell."""
         df = self.tree.leaves[leaf].df
@@ -257,15 +271,71 @@ class Planner:
         counted = lambda b: F.coalesce(again(b.expr), F.lit(0)) if isinstance(b.expr, Agg) and b.expr.kind == "count" else again(b.expr)
         return first.groupBy(*[quoted(k) for k in keys]).agg(*[counted(b).alias(b.name) for b in bases])
 
-    def _bridged(self, leaf: int, leaves: set[int], keys: dict[str, Expr], own: list[Expr], rest: list[Expr]) -> DataFrame:
-        """Rows of a leaf against the distinct group keys and join keys of its ancestors."""
-        edge = self.tree.edges[leaf]
-        outer = {k: e for k, e in keys.items() if owners(e) != {leaf}}
-        far = sorted({physical(b.leaf, b.column) for b in walk(edge.predicate) if isinstance(b, Bound) and b.leaf != leaf})
-        bridge = self._filtered(self.joined(leaves - {leaf}), rest)
-        bridge = bridge.select(*[scalar(e).alias(k) for k, e in outer.items()], *[quoted(c) for c in far]).distinct()
-        part = self._filtered(self.leaf_frame(leaf), own)
-        df = bridge.join(part, scalar(edge.predicate), "inner" if own else "left")
+    def _parts(self, leaf: int, leaves: set[int]) -> list[set[int]]:
+        """What leaves fall into without one of them, each part in order of its first leaf."""
+        parts: list[set[int]] = []
+        for i in sorted(leaves - {leaf}):
+            near = (self.tree.edges[i].parents & leaves) - {leaf} if i else set()
+            hit = [p for p in parts if p & near]
+            parts = [p for p in parts if not p & near] + [{i}.union(*hit)]
+        return sorted(parts, key=min)
+
+    def _bridged(self, leaf: int, leaves: set[int], keys: dict[str, Expr], own: list[Expr], rest: list[Expr], repeatable: bool) -> DataFrame | None:
+        """Rows of a leaf against a bridge for each part of the model around it; None if a predicate, key or filter doesn't allow it.
+
+        A bridge holds the distinct group keys and join keys of its part. Joins by equality fix the join keys, so a row meets each combination of
+        group keys once. repeatable: a row may count more often, so the only bridge below needn't be distinct.
+        """
+        tree = self.tree
+        parts = self._parts(leaf, leaves)
+        tops = {n: min(p) for n, p in enumerate(parts) if 0 not in p}
+        fits = all(leaf not in tree.edges[i].parents or i in tops.values() and tree.edges[i].parents == {leaf} for i in leaves - {0, leaf})
+        fits = fits and all(tree.edges[i].predicate is None or equalities(tree.edges[i].predicate, i) for i in [*tops.values(), *([leaf] if leaf else [])])
+        fits = fits and all(not owners(e) or owners(e) == {leaf} or any(owners(e) <= p for p in parts) for e in (*keys.values(), *rest))
+        fits = fits and (leaf == 0 or all(rejects(f, {leaf}) for f in own))
+        fits = fits and all(rejects(f, p) for n, p in enumerate(parts) if n in tops for f in rest if owners(f) and owners(f) <= p)
+        if not fits:
+            return None
+
+        def inside(part: set[int]) -> tuple[DataFrame, list[Column], list[Expr]]:
+            held = [f for f in rest if owners(f) and owners(f) <= part]
+            return self._filtered(self.joined(part), held), [scalar(e).alias(k) for k, e in keys.items() if owners(e) and owners(e) <= part], held
+
+        def link(i: int, part: set[int]) -> list[Column]:
+            return [quoted(c) for c in sorted({physical(b.leaf, b.column) for b in walk(tree.edges[i].predicate) if isinstance(b, Bound) and b.leaf in part})]
+
+        df = self._filtered(self.leaf_frame(leaf), own)
+        if leaf:
+            up = next(p for p in parts if 0 in p)
+            bridge, found, _ = inside(up)
+            bridge = bridge.select(*(found + link(leaf, up) or [F.lit(1).alias("__any")])).distinct()
+            predicate = tree.edges[leaf].predicate
+            df = bridge.crossJoin(df) if predicate is None else bridge.join(df, scalar(predicate), "inner" if own else "left")
+        for n, top in tops.items():
+            bridge, found, held = inside(parts[n])
+            predicate = tree.edges[top].predicate
+            if predicate is not None and not found:
+                df = df.join(bridge.select(*link(top, parts[n])), scalar(predicate), "left_semi") if held else df
+                continue
+            bridge = bridge.select(*found, *link(top, parts[n])) if predicate is not None or found else bridge.select(F.lit(1).alias("__any"))
+            bridge = bridge if repeatable and len(tops) == 1 else bridge.distinct()
+            df = df.crossJoin(bridge) if predicate is None else df.join(bridge, scalar(predicate), "inner" if held else "left")
+        df = self._filtered(df, [f for f in rest if not owners(f)])
+        return df.select("*", *[scalar(e).alias(k) for k, e in keys.items() if not owners(e) or owners(e) == {leaf}])
+
+    def _linked(self, leaf: int, leaves: set[int], keys: dict[str, Expr], own: list[Expr], rest: list[Expr]) -> DataFrame:
+        """Rows of a leaf against the distinct combinations of group keys and those of its own columns that predicates, mixed keys and filters read."""
+        tree = self.tree
+        edges = [tree.edges[i].predicate for i in leaves - {0}]
+        mixed = [e for e in (*keys.values(), *rest) if leaf in owners(e) and owners(e) != {leaf}]
+        columns = sorted({physical(leaf, b.column) for e in (*edges, *mixed, *(own if leaf else [])) for b in walk(e) if isinstance(b, Bound) and b.leaf == leaf})
+        rows = self._filtered(self.leaf_frame(leaf), own)
+        few = (self.leaf_frame(leaf) if leaf else rows).select(*map(quoted, columns), quoted(mark(leaf))).distinct()
+        df = self._filtered(self.joined(leaves, {leaf: few}), [*rest, *(own if leaf else [])])
+        outer = {k: e for k, e in keys.items() if owners(e) - {leaf}}
+        bridge = df.select(*[scalar(e).alias(k) for k, e in outer.items()], quoted(mark(leaf)).alias("__met"), *[quoted(c).alias(f"__met{n}") for n, c in enumerate(columns)]).distinct()
+        on = reduce(lambda a, b: a & b, [quoted(f"__met{n}").eqNullSafe(quoted(c)) for n, c in enumerate(columns)], quoted("__met").isNotNull())
+        df = bridge.join(rows, on, "left" if leaf else "inner")
         return df.select("*", *[scalar(e).alias(k) for k, e in keys.items() if k not in outer])
 
     def _exploded(self, df: DataFrame, leaf: int, array: tuple[str, ...], keep: list[str]) -> tuple[DataFrame, Column]:

@@ -29,10 +29,12 @@ class Dimension:
     smallest_time_grain: str | None = None
     derived_dimensions: tuple[str, ...] = ()
     metadata: dict[str, Any] = field(default_factory=dict)
+    #: Whether no two rows have the same value; the planner relies on it, and on nothing else but declared cardinality.
+    is_unique: bool = False
 
     def to_json(self) -> dict[str, Any]:
         out: dict[str, Any] = {"description": self.description}
-        for k in ("is_entity", "is_event_timestamp", "is_time_dimension"):
+        for k in ("is_entity", "is_event_timestamp", "is_time_dimension", "is_unique"):
             if getattr(self, k):
                 out[k] = True
         if self.is_time_dimension:
@@ -401,6 +403,9 @@ class Tree:
     def entities(self, leaf: int) -> list[str]:
         return [n for n, d in self.leaves[leaf].dims.items() if d.is_entity]
 
+    def unique_keys(self, leaf: int) -> list[str]:
+        return [n for n, d in self.leaves[leaf].dims.items() if d.is_unique]
+
 
 def owners(e: Any) -> set[int]:
     """The leaves that an expression reads."""

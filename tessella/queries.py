@@ -53,7 +53,7 @@ class Models:
         return (
             to_semantic_table(self.table("orders"), "orders", "customer orders")
             .with_dimensions(
-                orderkey=entity_dimension(_.o_orderkey),
+                orderkey=entity_dimension(_.o_orderkey, unique=True),
                 status=_.o_orderstatus,
                 priority=_.o_orderpriority,
                 ordered={"expr": _.o_orderdate, "is_time_dimension": True, "smallest_time_grain": "TIME_GRAIN_DAY", "derived_dimensions": ["year", "month"]},
@@ -77,13 +77,13 @@ class Models:
     def customer(self) -> SemanticTable:
         return (
             to_semantic_table(self.table("customer"), "customer")
-            .with_dimensions(custkey=entity_dimension(_.c_custkey), segment=_.c_mktsegment)
+            .with_dimensions(custkey=entity_dimension(_.c_custkey, unique=True), segment=_.c_mktsegment)
             .with_measures(customers=_.count(), balance=_.c_acctbal.sum())
         )
 
     @cached_property
     def nation(self) -> SemanticTable:
-        return to_semantic_table(self.table("nation"), "nation").with_dimensions(nationkey=entity_dimension(_.n_nationkey), name=_.n_name)
+        return to_semantic_table(self.table("nation"), "nation").with_dimensions(nationkey=entity_dimension(_.n_nationkey, unique=True), name=_.n_name)
 
     @cached_property
     def region(self) -> SemanticTable:
@@ -91,11 +91,11 @@ class Models:
 
     @cached_property
     def supplier(self) -> SemanticTable:
-        return to_semantic_table(self.table("supplier"), "supplier").with_dimensions(suppkey=entity_dimension(_.s_suppkey)).with_measures(suppliers=_.count(), supplier_balance=_.s_acctbal.sum())
+        return to_semantic_table(self.table("supplier"), "supplier").with_dimensions(suppkey=entity_dimension(_.s_suppkey, unique=True)).with_measures(suppliers=_.count(), supplier_balance=_.s_acctbal.sum())
 
     @cached_property
     def part(self) -> SemanticTable:
-        return to_semantic_table(self.table("part"), "part").with_dimensions(partkey=entity_dimension(_.p_partkey), brand=_.p_brand, kind=_.p_type, psize=_.p_size).with_measures(parts=_.count())
+        return to_semantic_table(self.table("part"), "part").with_dimensions(partkey=entity_dimension(_.p_partkey, unique=True), brand=_.p_brand, kind=_.p_type, psize=_.p_size).with_measures(parts=_.count())
 
     @cached_property
     def events(self) -> SemanticTable:
