@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master, as in tests, does without: it gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tessella-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -31,6 +36,39 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of tables that written() made and drop() hasn't removed.
+_WRITTEN: set[str] = set()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, and safe from lost executors. drop() or release() removes it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    _WRITTEN.add(path)
+    table = df.sparkSession.read.parquet(path)
+    table._tessella_path = path
+    return table
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.discard(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of written() that no later step reads."""
+    for t in tables:
+        if path := getattr(t, "_tessella_path", None):
+            _remove(t.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that results of this session still read; for when those have been used."""
+    for path in sorted(_WRITTEN):
+        _remove(spark, path)
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -1,9 +1,10 @@
 """SimHash near-duplicates through an LSH forest.
 
 Every whole text gets a 256-bit SimHash over its distinct words, longer words weighing more. The forest is a
-set of tries, each over the bits in another random order. A trie's leaf is the prefix that a signature has at the greatest depth at which texts at
-the largest distance of a link still meet in some trie with the target recall. It depends on that distance alone, so that a pair is
-as surely found in a large table as in a small one; work grows with the square of the number of different texts. Within a leaf all
+set of tries, each over the bits in another random order. The depth of their leaves adapts to the density, that is to the number of different
+texts: from the long prefix that would isolate texts, the tries climb to that shorter one at which so many tries find a pair at the largest
+distance of a link with the target recall, for the least work of sending entries and comparing those that share a leaf (``plan_forest``). A
+larger table gets longer prefixes and more tries, up to ``MOST_TRIES``; beyond that leaves grow, and recall stays. Within a leaf all
 pairs are verified on full signatures; a pair counts in the first trie in which it meets, so links are counted exactly once and pairs are never stored: a leaf emits link counts and the edges of a
 spanning forest. Leaves of more than ``DENSE`` signatures are compared in blocks of slices, so that no task holds one whole. Equal texts, then equal signatures, are collapsed before, so a hot group of copies is one row.
 
@@ -23,27 +24,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, shared_path
+from .common import col, drop, shared_path, written
 from .components import connected_components
 
 BITS = 256
 #: Largest distance of a link for texts of FEW_WORDS[1] different words and more; for FEW_WORDS[0] and fewer it is SHORT_DISTANCE.
-DISTANCE = 72
+DISTANCE = 52
 SHORT_DISTANCE = 36
 FEW_WORDS = (8, 64)
-TRIES = 48
-DENSE = 4096
-DEEPEST = 56
-RECALL = 0.99
+LEAST_TRIES, MOST_TRIES = 16, 128
+DEEPEST = 16
+RECALL = 0.98
+#: Sending an entry costs about as much as comparing so many pairs.
+ENTRY_PAIRS = 2000
+DENSE = 32_768
 #: More dense leaves than this are never sent to workers: the limit DENSE doubles until they are fewer, and larger slices are compared.
 MOST_PREFIXES = 100_000
+#: Copies of one text are joined to their class by broadcast if they are more than 1 / HOT of all rows; there are fewer than HOT such texts.
+HOT = 10_000
 _WORD = re.compile(r"\w+")
 
 
 def _orders() -> np.ndarray:
-    """For each trie, the 64 bits that its codes hold, in order."""
+    """For each trie, the bits of its longest prefix, in order."""
     rng = np.random.default_rng(20240607)
-    return np.stack([rng.permutation(BITS)[:64] for _ in range(TRIES)])
+    return np.stack([rng.permutation(BITS)[:DEEPEST] for _ in range(MOST_TRIES)])
 
 
 ORDERS = _orders()
@@ -89,65 +94,63 @@ def signature(text: Column) -> Column:
     return sign(text)
 
 
-def codes(sigs: np.ndarray) -> np.ndarray:
-    """Per signature (rows of 33 bytes, the last no bits of it) and trie the first 64 permuted bits as one unsigned number."""
+def leaves(sigs: np.ndarray, depth: int, tries: int) -> np.ndarray:
+    """Per signature (rows of 33 bytes, the last no bits of it) and trie the leaf: depth permuted bits as a number."""
     bits = np.unpackbits(np.ascontiguousarray(sigs[:, :32]), axis=1)
-    out = np.empty((len(sigs), TRIES), np.uint64)
-    for t in range(TRIES):
-        out[:, t] = np.ascontiguousarray(np.packbits(bits[:, ORDERS[t]], axis=1)).view(">u8")[:, 0]
+    out = np.zeros((len(sigs), tries), np.uint16)
+    for order in ORDERS[:tries, :depth].T:
+        out = (out << np.uint16(1)) | bits[:, order]
     return out
 
 
-def leaves(code: np.ndarray, depth: int) -> np.ndarray:
-    """The leaf of each code: its prefix."""
-    return code >> np.uint64(64 - depth)
+def plan_forest(texts: int, distance: int) -> tuple[int, int]:
+    """Depth and number of tries: those with the target recall at this distance that cost least for so many texts evenly spread.
 
-
-def _masks(depth: int) -> np.ndarray:
-    """For each trie, the bits of a signature, as four words, that its leaves hold."""
-    bits = np.zeros((TRIES, BITS), np.uint8)
-    bits[np.arange(TRIES)[:, None], ORDERS[:, :depth]] = 1
-    return np.packbits(bits, axis=1).view(np.uint64)
-
-
-def base_depth(distance: int) -> int:
-    """The depth of all leaves: the longest prefix at which texts at this distance meet in some trie with the target recall."""
+    A pair at the distance agrees in each of depth bits with probability 1 - distance / BITS, and must do so in one trie at least.
+    """
     agree = 1 - distance / BITS
-    depth = 0
-    while depth < DEEPEST and 1 - (1 - agree ** (depth + 1)) ** TRIES >= RECALL:
-        depth += 1
-    return depth
+    best = None
+    for depth in range(1, DEEPEST + 1):
+        miss = 1 - agree**depth
+        tries = max(LEAST_TRIES, math.ceil(math.log(1 - RECALL) / math.log(miss)) if miss > 0 else 1)
+        cost = tries * (ENTRY_PAIRS + texts / 2 ** (depth + 1))
+        if tries <= MOST_TRIES and (best is None or cost < best[0]):
+            best = cost, depth, tries
+    return best[1:]
 
 
 def _sig_rows(array: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(array.to_pylist()), np.uint8).reshape(-1, 33)
 
 
-def _leaf_column(depth: int) -> Column:
-    @F.arrow_udf("array<long>")
-    def leaf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _keys(depth: int, tries: int) -> Column:
+    """The leaves of a signature in all tries, as numbers trie << 16 | leaf."""
+    trie = np.arange(tries, dtype=np.int32) << 16
+
+    @F.arrow_udf("array<int>")
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = leaves(codes(_sig_rows(batch)), depth).view(np.int64) if len(batch) else np.empty((0, TRIES), np.int64)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * TRIES + 1, TRIES), pa.int32()), pa.array(found.ravel()))
+            found = leaves(_sig_rows(batch), depth, tries).astype(np.int32) | trie if len(batch) else np.empty((0, tries), np.int32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * tries + 1, tries), pa.int32()), pa.array(found.ravel()))
 
-    return leaf("sig")
+    return keys("sig")
 
 
-def _huge_leaves(points: DataFrame, depth: int) -> list[tuple[int, int, int]]:
-    """Leaves (trie, leaf, slices) that hold more than DENSE signatures and are compared in blocks, at most MOST_PREFIXES of them."""
-    sizes = points.select(F.posexplode(_leaf_column(depth)).alias("t", "leaf")).groupBy("t", "leaf").count()
+def _huge_leaves(points: DataFrame, keys: Column) -> list[tuple[int, int]]:
+    """Leaves (key, slices) that hold more than DENSE signatures and are compared in blocks, at most MOST_PREFIXES of them."""
+    sizes = points.select(F.explode(keys).alias("key")).groupBy("key").count()
     limit = DENSE
     while True:
         found = sizes.filter(F.col("count") > limit).limit(MOST_PREFIXES + 1).collect()
         if len(found) <= MOST_PREFIXES:
-            return [(t, leaf, -(-n // limit)) for t, leaf, n in found]
+            return [(key, -(-n // limit)) for key, n in found]
         limit *= 2
 
 
-def _in_blocks(entries: DataFrame, huge: list[tuple[int, int, int]]) -> DataFrame:
+def _in_blocks(entries: DataFrame, huge: list[tuple[int, int]]) -> DataFrame:
     """entries with block and side: rows of a huge leaf meet those of each other slice in one block and their own slice in another."""
-    slices = entries.sparkSession.createDataFrame([(t, leaf, n) for t, leaf, n in huge], "t int, leaf long, slices long")
-    cut = entries.join(F.broadcast(slices), ["t", "leaf"], "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("slices", F.lit(1))))  # at most MOST_PREFIXES rows
+    slices = entries.sparkSession.createDataFrame(huge, "key int, slices long")
+    cut = entries.join(F.broadcast(slices), "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("slices", F.lit(1))))  # at most MOST_PREFIXES rows
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1)))
     block = F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -172,20 +175,19 @@ def _near_pairs(words: np.ndarray, limit: np.ndarray, a: range, b: range) -> Ite
                 yield i[near], j[near]
 
 
-def _links(depth: int, distance: int, blocks: bool):
-    """mapInArrow over rows (t, leaf, node, n_texts, sig and, with blocks, block and side) sorted by t, leaf, block and side: link counts (node, null, n) and forest edges (node, other, 0)."""
-    masks = _masks(depth)
+def _links(depth: int, tries: int, distance: int, blocks: bool):
+    """mapInArrow over rows (key, node, n_texts, sig and, with blocks, block and side) sorted by key, block and side: link counts (node, null, n) and forest edges (node, other, 0)."""
 
-    def found(t: np.ndarray, leaf: np.ndarray, block: np.ndarray, side: np.ndarray, node: np.ndarray, weight: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        n = len(leaf)
+    def found(key: np.ndarray, block: np.ndarray, side: np.ndarray, node: np.ndarray, weight: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        n = len(key)
         words, limit = np.ascontiguousarray(np.ascontiguousarray(sig[:, :32]).view(np.uint64).T), np.minimum(sig[:, 32], distance).astype(np.int64)
         links, label = np.zeros(n, np.int64), np.arange(n)
 
         def link(i: np.ndarray, j: np.ndarray) -> None:
             nonlocal label
-            differ, trie, first = words[:, i] ^ words[:, j], t[i], np.ones(len(i), bool)
-            for u in range(trie.max()):  # the first trie in which the two meet counts the link
-                first &= (trie <= u) | ((differ & masks[u][:, None]) != 0).any(axis=0)
+            rows, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+            leaf = leaves(sig[rows], depth, tries)
+            first = (leaf[at[: len(i)]] == leaf[at[len(i) :]]).argmax(axis=1) == key[i] >> 16  # the first trie in which the two meet counts the link
             i, j = i[first], j[first]
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
@@ -200,7 +202,7 @@ def _links(depth: int, distance: int, blocks: bool):
                         break
                     label = up
 
-        begin = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (t[1:] != t[:-1]) | (block[1:] != block[:-1]))))
+        begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
         end = np.append(begin[1:], n)
         pending: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
@@ -232,9 +234,9 @@ def _links(depth: int, distance: int, blocks: bool):
 
         def arrays(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
             whole = pa.Table.from_batches(parts).combine_chunks()
-            t, leaf, node, weight = (whole.column(k).to_numpy() for k in range(4))
-            block, side = (whole.column(k).to_numpy() for k in (5, 6)) if blocks else (np.zeros(len(t), np.int64), np.full(len(t), 2))
-            return t, leaf, block, side, node, weight, _sig_rows(whole.column(4))
+            key, node, weight = (whole.column(k).to_numpy() for k in range(3))
+            block, side = (whole.column(k).to_numpy() for k in (4, 5)) if blocks else (np.zeros(len(key), np.int64), np.full(len(key), 2))
+            return key, block, side, node, weight, _sig_rows(whole.column(3))
 
         for batch in batches:
             if not batch.num_rows:
@@ -243,11 +245,11 @@ def _links(depth: int, distance: int, blocks: bool):
             rows += batch.num_rows
             if rows < 100_000:
                 continue
-            t, leaf, block, *rest = arrays(kept)
-            before = np.flatnonzero((leaf != leaf[-1]) | (t != t[-1]) | (block != block[-1]))
+            key, block, *rest = arrays(kept)
+            before = np.flatnonzero((key != key[-1]) | (block != block[-1]))
             cut = int(before[-1]) + 1 if len(before) else 0
             if cut:
-                yield found(t[:cut], leaf[:cut], block[:cut], *(x[:cut] for x in rest))
+                yield found(key[:cut], block[:cut], *(x[:cut] for x in rest))
                 kept = [pa.Table.from_batches(kept).slice(cut).combine_chunks().to_batches()[0]] if cut < rows else []
                 rows -= cut
         if rows:
@@ -263,35 +265,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the distance of the row's text (those that the forest meets).
     """
     spark = df.sparkSession
-
-    def written(frame: DataFrame, name: str) -> DataFrame:
-        path = shared_path(spark, name)
-        frame.write.parquet(path)
-        return spark.read.parquet(path)
-
-    signed = df.select(col(id_col).alias("doc_id"), signature(col(text_col).cast("string")).alias("s")).select("doc_id", "s.sig", "s.key")
-    signed = written(signed, "signatures")
-    texts = signed.groupBy("sig", "key").agg(F.min("doc_id").alias("first_id"))
-    points = texts.groupBy("sig").agg(F.min("first_id").alias("first_id"), F.count("*").alias("n_texts"))
-    points = written(points.withColumn("node", F.monotonically_increasing_id()), "points")
-    depth = base_depth(min(max(distance, 0), DISTANCE))
-    huge = _huge_leaves(points, depth)
-    entries = points.select("node", "n_texts", "sig", F.posexplode(_leaf_column(depth)).alias("t", "leaf"))
+    distance = min(max(distance, 0), DISTANCE)
+    signed = written(df.select(col(id_col).alias("doc_id"), signature(col(text_col).cast("string")).alias("s")).select("doc_id", "s.sig", "s.key"), "signatures")
+    texts = signed.groupBy("sig", "key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"))
+    points = texts.groupBy("sig").agg(F.min("first_id").alias("first_id"), F.count("*").alias("n_texts"), F.sum("n_rows").alias("n_rows"))
+    points = written(points.withColumn("node", F.monotonically_increasing_id()), "points")  # written at once, so that the numbers stay
+    different, rows = points.agg(F.count("*"), F.sum("n_rows")).head()
+    depth, tries = plan_forest(different, distance)
+    keys = _keys(depth, tries)
+    huge = _huge_leaves(points, keys)
+    entries = points.select(F.explode(keys).alias("key"), "node", "n_texts", "sig")
     entries, more, sides = (_in_blocks(entries, huge), ["block"], ["side"]) if huge else (entries, [], [])
-    entries = entries.select("t", "leaf", "node", "n_texts", "sig", *more, *sides)
-    met = entries.repartition("t", "leaf", *more).sortWithinPartitions("t", "leaf", *more, *sides, "node").mapInArrow(_links(depth, distance, bool(huge)), "node long, other long, links long")
+    entries = entries.select("key", "node", "n_texts", "sig", *more, *sides)
+    met = entries.repartition("key", *more).sortWithinPartitions("key", *more, *sides).mapInArrow(_links(depth, tries, distance, bool(huge)), "node long, other long, links long")
     met = written(met, "links")
     links = met.filter("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(met.filter("other is not null"), "node", "other")
     placed = points.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = placed.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    nodes = placed.join(classes, "root").join(links, "node", "left").select("sig", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
-    return signed.join(nodes, "sig").select("doc_id", "class_id", "n_links")
+    nodes = placed.join(classes, "root").join(links, "node", "left").select("sig", "n_rows", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
+    nodes = written(nodes, "classes")
+    drop(points, met, roots)
+    many = F.col("n_rows") * HOT > F.lit(rows or 0)
+    hot, rest = nodes.filter(many).drop("n_rows"), nodes.filter(~many).drop("n_rows")  # hot: fewer than HOT rows
+    out = signed.join(F.broadcast(hot), "sig").unionByName(signed.join(F.broadcast(hot.select("sig")), "sig", "left_anti").join(rest, "sig"))
+    return out.select("doc_id", "class_id", "n_links")
 
 
 def deduplicate(df: DataFrame, text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row of each class, with the columns of df. df must be a scan or another source with a stable row order."""
+    """One row of each class, with the columns of df. Rows are numbered in a written table, so that the numbers stay."""
     row = "__row_of_deduplicate"
-    numbered = df.withColumn(row, F.monotonically_increasing_id())
+    numbered = written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
     keep = near_duplicates(numbered, row, text_col, distance).filter("doc_id = class_id").select(F.col("doc_id").alias(row))
     return numbered.join(keep, row, "left_semi").select(*[col(c) for c in df.columns])

@@ -499,15 +499,21 @@ def near_texts():
     return out + out[:30] + ["", None, "", "!!!", "!!!"]
 
 
-def test_simhash_links_and_classes_equal_brute_force(spark):
+def near_pairs(texts):
+    """Whether each two texts link, by all pairs."""
+    raw = np.frombuffer(b"".join(simhash.signatures(texts)), np.uint8).reshape(-1, 33)
+    sigs, limit = np.ascontiguousarray(raw[:, :32]).view(np.uint64), raw[:, 32].astype(int)
+    far = sum(np.bitwise_count(sigs[:, None, k] ^ sigs[None, :, k]).astype(int) for k in range(4))
+    return far <= np.minimum(limit[:, None], limit[None, :])
+
+
+def test_simhash_links_and_classes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "plan_forest", lambda n, d: (1, 40))  # misses nothing
     texts = near_texts()
     got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts)).collect()}
     assert len(got) == len(texts)
     distinct = sorted({t or "" for t in texts})
-    raw = np.frombuffer(b"".join(simhash.signatures(distinct)), np.uint8).reshape(-1, 33)
-    sigs, limit = np.ascontiguousarray(raw[:, :32]).view(np.uint64), raw[:, 32].astype(int)
-    far = sum(np.bitwise_count(sigs[:, None, k] ^ sigs[None, :, k]).astype(int) for k in range(4))
-    near = far <= np.minimum(limit[:, None], limit[None, :])
+    near = near_pairs(distinct)
     at = {t: i for i, t in enumerate(distinct)}
     parent = list(range(len(distinct)))
 
@@ -529,12 +535,11 @@ def test_simhash_links_and_classes_equal_brute_force(spark):
     assert len(kept) == len(least)
 
 
-def test_simhash_deep_leaves_lose_no_close_pair(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "DENSE", 8)
+def test_simhash_families_and_empty_table(spark):
     texts = near_texts()
     classes = {r.doc_id: r.class_id for r in simhash.near_duplicates(docs(spark, texts)).collect()}
     families = [[i, *range(120 + 3 * i, 123 + 3 * i)] for i in range(40)]
-    assert sum(len({classes[d] for d in f}) == 1 for f in families) >= 39
+    assert all(len({classes[d] for d in f}) == 1 for f in families)
     assert simhash.near_duplicates(docs(spark, texts).limit(0)).collect() == []
 
 
@@ -542,38 +547,68 @@ def test_simhash_huge_leaves_in_blocks_count_the_same(spark, monkeypatch):
     texts = near_texts()
     want = {r.doc_id: (r.class_id, r.n_links) for r in simhash.near_duplicates(docs(spark, texts)).collect()}
     monkeypatch.setattr(simhash, "DENSE", 5)
-    monkeypatch.setattr(simhash, "DEEPEST", 6)
     got = {r.doc_id: (r.class_id, r.n_links) for r in simhash.near_duplicates(docs(spark, texts)).collect()}
-    assert got == want  # at depth 6 every link is met, whole or in blocks
+    assert got == want
 
 
-def test_simhash_dense_leaves_of_different_copies_lose_no_link(spark, monkeypatch):
-    rng = random.Random(5)
+def cluster(n, own, seed=5):
+    """Copies of one page of 120 words, each with own words of its own at a place of its own."""
+    rng = random.Random(seed)
     words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(4000)]
     page = rng.sample(words, 120)
-    texts = [" ".join([*page[:at], *rng.sample(words, 12), *page[at + 12 :]]) for at in rng.choices(range(108), k=60)]  # a tenth of each is its own
-    raw = np.frombuffer(b"".join(simhash.signatures(texts)), np.uint8).reshape(-1, 33)
-    sigs = np.ascontiguousarray(raw[:, :32]).view(np.uint64)
-    near = np.bitwise_count(sigs[:, None] ^ sigs[None]).sum(axis=2, dtype=int) <= np.minimum(raw[:, None, 32], raw[None, :, 32])
-    monkeypatch.setattr(simhash, "DENSE", 5)
+    return [" ".join([*page[:at], *rng.sample(words, own), *page[at + own :]]) for at in rng.choices(range(120 - own), k=n)]
+
+
+def test_simhash_dense_leaves_of_different_copies_lose_no_link(spark, monkeypatch):
+    texts = list(dict.fromkeys(cluster(1500, 12)))
+    near = near_pairs(texts)
+    monkeypatch.setattr(simhash, "DENSE", 100)
     got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts)).collect()}
     assert {r.class_id for r in got.values()} == {0}
-    assert near.sum() - 60 >= sum(r.n_links for r in got.values()) >= simhash.RECALL * (near.sum() - 60)
+    assert near.sum() - len(texts) >= sum(r.n_links for r in got.values()) >= simhash.RECALL * (near.sum() - len(texts))
+
+
+@pytest.mark.parametrize("size", [1000, 50_000, 260_000, 10_000_000])
+def test_simhash_recall_does_not_fall_with_size(size):
+    depth, tries = simhash.plan_forest(size, simhash.DISTANCE)
+    assert 1 <= depth <= simhash.DEEPEST and simhash.LEAST_TRIES <= tries <= simhash.MOST_TRIES
+    rng = np.random.default_rng(size)
+    left = rng.integers(0, 256, (4000, 33), dtype=np.uint8)
+    right = left.copy()
+    flips = np.zeros((4000, 256), np.uint8)
+    for row in flips:
+        row[rng.choice(256, simhash.DISTANCE, replace=False)] = 1
+    right[:, :32] ^= np.packbits(flips, axis=1)
+    met = (simhash.leaves(left, depth, tries) == simhash.leaves(right, depth, tries)).any(axis=1)
+    assert met.mean() >= simhash.RECALL - 0.01  # of pairs at the largest distance; nearer ones meet more surely
+
+
+@pytest.mark.parametrize("size", [30_000, 260_000])
+def test_simhash_recall_within_a_cluster_of_near_copies(size):
+    sigs = np.frombuffer(b"".join(simhash.signatures(cluster(4000, 24))), np.uint8).reshape(-1, 33)
+    words = np.ascontiguousarray(sigs[:, :32]).view(np.uint64)
+    rng = np.random.default_rng(2)
+    i, j = rng.integers(0, len(sigs), (2, 200_000))
+    far = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=int)
+    near = np.flatnonzero((i != j) & (far > 24) & (far <= np.minimum(sigs[i, 32], sigs[j, 32])))
+    assert len(near) > 1000
+    leaf = simhash.leaves(sigs, *simhash.plan_forest(size, simhash.DISTANCE))
+    assert (leaf[i[near]] == leaf[j[near]]).any(axis=1).mean() >= simhash.RECALL
 
 
 def test_simhash_finds_the_weakest_links_among_many_texts(spark):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(8000)]
     first = [rng.sample(words, 100) for _ in range(1500)]
-    second = [[*rng.sample(words, 30), *b[30:]] for b in first]
+    second = [[*rng.sample(words, 20), *b[20:]] for b in first]
     texts = [" ".join(b) for b in first + second]
     sigs = np.frombuffer(b"".join(simhash.signatures(texts)), np.uint8).reshape(-1, 33)[:, :32]
     far = np.bitwise_count(sigs[:1500] ^ sigs[1500:]).sum(axis=1, dtype=int)
-    weak = np.flatnonzero((far > 64) & (far <= simhash.DISTANCE)).tolist()
+    weak = np.flatnonzero((far > simhash.DISTANCE - 8) & (far <= simhash.DISTANCE)).tolist()
     assert len(weak) > 200
     many = [texts[i] for i in weak] + [texts[1500 + i] for i in weak] + [" ".join(rng.sample(words, 70)) for _ in range(20_000)]
     found = {r.doc_id: r.n_links for r in simhash.near_duplicates(docs(spark, many)).collect()}
-    assert sum(found[d] >= 1 for d in range(len(weak))) >= 0.98 * len(weak)
+    assert sum(found[d] >= 1 for d in range(len(weak))) >= 0.97 * len(weak)
 
 
 def test_components(spark):
