@@ -28,7 +28,7 @@ from .common import col
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
-_RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "audio", "video", "title", "noembed", "noframes", "xmp"}
+_RAW = {"script", "style", "template", "iframe", "title", "desc", "noembed", "noframes", "annotation", "annotation-xml", "xmp"}
 #: Those whose content is never text, closed or not; any other that has no end tag is taken as an ordinary element.
 _NEVER_TEXT = {"script", "style", "template"}
 _END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.ASCII | re.IGNORECASE) for name in _RAW}
@@ -36,6 +36,8 @@ _END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.ASCII | re.I
 _IN_HEAD = {"title", "base", "basefont", "bgsound", "link", "meta", "style", "script", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Elements of formulas and drawings: their text stands in the line.
+_INLINE |= set("math mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics svg g text tspan textpath path rect circle line".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -142,12 +144,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
             flush()
             continue
         if name in _RAW:
-            if name not in _INLINE:
+            if name in ("xmp", "iframe", "noframes"):
                 flush()
-            if m[3].endswith("/") and name in ("svg", "math"):
-                continue
             end = None if name in unclosed else _END[name].search(page, at)
             if end:
+                if name == "xmp":  # shown as it stands
+                    parts.append(page[at : end.start()])
+                    flush()
                 at = end.end()
                 continue
             unclosed.add(name)
@@ -322,8 +325,11 @@ def labelled_pages(pages: int = 350, seed: int = 7) -> list[tuple[str, list[str]
         each = lambda: rng.choice((f'<div class="comment"><b>{word()}</b><p>{sentences(1, 4)}</p></div>', f"<li><p>{sentences(1, 5)}</p></li>", f'<article class="comment"><h4>{word()}</h4><p>{sentences(1, 3)}</p></article>', f"<p>{sentences(1, 4)}</p>"))
         return wrap(rng.choice(("section", "div", "ol")), ["comments", "comment-list", "reader-comments", "discussion", "replies"], (f"<h3>{words(1, 2)}</h3>" if chance(0.6) else "") + "".join(each() for _ in range(rng.randint(1, 5))))
 
+    def fallback() -> str:
+        return rng.choice((f"<video controls src=v><p>{sentence()}</p></video>", f"<audio controls>{sentence()}</audio>", f"<canvas>{words(1, 6)}</canvas>", f"<div class=video><video>{sentence()} {link()}</video></div>"))
+
     def junk() -> str:
-        return rng.choice((menu, advert, side, notice, form, form, comments))()
+        return rng.choice((menu, advert, side, notice, form, form, comments, fallback))()
 
     out = []
     for _ in range(pages):
@@ -352,6 +358,8 @@ def labelled_pages(pages: int = 350, seed: int = 7) -> list[tuple[str, list[str]
                 body.append(f"<blockquote>{keep(sentences(1, 3))}</blockquote>")
             elif kind < 0.85:
                 body.append("<table>" + "".join(f"<tr><td>{keep(words(1, 4))}<td>{keep(words(1, 4))}" for _ in range(rng.randint(1, 3))) + "</table>")
+            elif kind < 0.86:
+                body.append(f"<noscript><p>{keep(sentences(1, 4))}</p></noscript>")
             elif kind < 0.89:
                 a, b = sentence(), sentence()
                 main.append(" ".join(f"{a} {b}".split()))
@@ -370,6 +378,8 @@ def labelled_pages(pages: int = 350, seed: int = 7) -> list[tuple[str, list[str]
             inside = f"<main><article>{inside}</article></main>"
         before = [f for f, p in ((head, 0.4), (menu, 0.8), (notice, 0.25), (advert, 0.5), (form, 0.15), (side, 0.15)) if chance(p)]
         after = [f for f, p in ((advert, 0.25), (comments, 0.25), (side, 0.35), (form, 0.2), (notice, 0.2), (foot, 0.85)) if chance(p)]
+        if chance(0.1):
+            before.append(lambda: f"<noscript>{sentence()}</noscript>")
         if chance(0.1):
             before, after = [], []
         rng.shuffle(before)
@@ -414,4 +424,4 @@ def main_text(page: Column, model: Crf | None = None) -> Column:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Crf | None = None) -> DataFrame:
     """Rows (page_id, url, text) of all pages."""
-    return pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), main_text(col(html_col).cast("string"), model).alias("text"))
+    return pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), main_text(col(html_col).cast("string"), model).alias("text"))  # null ids and URLs stay null

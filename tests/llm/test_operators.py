@@ -403,6 +403,61 @@ def test_html_omitted_and_unclosed_ends_lose_no_text():
     assert read("<p>" + "\u0130" * 50 + " one</p><script>1</script><p>two</p><p>three</p>")[1:] == ["two", "three"]
 
 
+#: Pages of layouts that labelled_pages doesn't compose, with the article's text.
+PAGES = [
+    ("<html><head><title>t</title><body><article><p>The town opened its bridge on Monday.<p>Crowds came early.</article>", "The town opened its bridge on Monday. Crowds came early."),
+    ("<!doctype html><title>t</title><div id=page><div id=nav><a href=/>Home</a> <a href=/b>Blog</a></div><div id=content><h1>Rivers of the north</h1><p>They run long and cold, and few people live there.</p></div></div>", "Rivers of the north They run long and cold, and few people live there."),
+    ("<body><main><h1>Sum</h1><p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of them.</p></main><footer><p>&copy; 2020 Site</p></footer>", "Sum The formula x=2 holds for all of them."),
+    ("<body><article><h2>Cats</h2><noscript><p>They sleep for most of the day, and hunt at night.</p></noscript><p>They are kept as pets in many houses.</p></article>", "Cats They sleep for most of the day, and hunt at night. They are kept as pets in many houses."),
+    ("<body><nav><ol><li><a href=1>One</a><li><a href=2>Two</a></ol></nav><article><p>A paragraph of the story with enough words in it.</p><video controls>Your browser does not play video.</video><p>Another paragraph of the story.</p></article>", "A paragraph of the story with enough words in it. Another paragraph of the story."),
+    ("<body><article><header><h1>Bread</h1></header><p>Mix flour &amp; water, then wait for an hour.</p><ul><li>flour</li><li>water</li></ul><p>Bake it.</p></article><aside><h3>Related</h3><ul><li><a href=x>Cake</a></ul></aside>", "Bread Mix flour & water, then wait for an hour. flour water Bake it."),
+    ("<body><div class='cookie-consent'><p>We use cookies.</p><button>OK</button></div><main><article><h1>Weather</h1><p>Rain is likely in the west.</p></article></main>", "Weather Rain is likely in the west."),
+    ("<body><article><h1>A talk</h1><p>She said: <q>we go</q>.</p><section class=comments><h2>Comments</h2><p>First! Nice read, thanks to all.</p></section></article>", "A talk She said: we go."),
+    ("<body><header><a href=/>Site</a></header><div role=main class=story><p>It began in the spring of that year, as all know.</p><blockquote>It was cold.</blockquote></div><div class=footer>Contact us</div>", "It began in the spring of that year, as all know. It was cold."),
+    ("<body><form action=/s><input name=q><button>Search</button></form><article><p>Long ago there was a king who had three sons.</p></article><div class=ad-slot>Buy now!</div>", "Long ago there was a king who had three sons."),
+    ("<BODY><ARTICLE><H1>Upper</H1><P>Tags may be written in capitals, says the standard.</P></ARTICLE></BODY>", "Upper Tags may be written in capitals, says the standard."),
+    ("<body><article><p>One<br>two<br/>three words in a line.</p><table><tr><th>k<th>v<tr><td>a<td>1</table></article>", "One two three words in a line. k v a 1"),
+    ("<body><article><p>Text with a <a href=x>link in it</a> and <em>stress</em>, and more words.</p><script>var x = '<p>no</p>';</script><style>p{}</style><p>End of it.</p></article>", "Text with a link in it and stress, and more words. End of it."),
+    ("<body><article><!-- <p>hidden</p> --><h1>Seen</h1><p>What is not a comment is shown here.</p></article>", "Seen What is not a comment is shown here."),
+    ("<body><ul class=breadcrumb><li><a href=/>Home</a><li>News</ul><article><h1>Harvest</h1><p>The harvest was good, farmers say.</p></article><div class='share social'><a href=f>Share</a></div>", "Harvest The harvest was good, farmers say."),
+    ("<body><section><article><h1>Notes</h1><dl><dt>Term</dt><dd>Its meaning is told here in full.</dd></dl><p>More text follows.</p></article></section>", "Notes Term Its meaning is told here in full. More text follows."),
+    ("<html><body><article><p>Caf&eacute; &#8212; na&iuml;ve &#x2014; done, they said.</p></article></body></html>", "Caf\u00e9 \u2014 na\u00efve \u2014 done, they said."),
+    ("<body><article><figure><img src=a alt=b><figcaption>A view of the lake in winter.</figcaption></figure><p>The lake froze in January.</p></article>", "A view of the lake in winter. The lake froze in January."),
+    ("<body><article><p>Water is H<sub>2</sub>O, as everyone learns at school.</p><pre>x = 1</pre></article>", "Water is H2O, as everyone learns at school. x = 1"),
+    ("<body><div class=sidebar><h3>Popular</h3><p>Ten tips for you.</p></div><article><h1>Stars</h1><p>Most of them are too faint for our eyes.</p></article><div class='newsletter'><p>Subscribe now.</p></div>", "Stars Most of them are too faint for our eyes."),
+]
+
+
+def test_html_hand_written_pages():
+    model = html_extract.default_model()
+    wrong = [(got, want) for page, want in PAGES if (got := html_extract.extract(page, model)) != want]
+    assert len(wrong) <= 2, wrong
+
+
+def test_html_columns_of_odd_pages(spark):
+    page, text = PAGES[5]
+    rows = [(1, page, "u", 7), (1, page, "u", 7), (2, None, None, 7), (None, "", "v", 7), (3, "<p>" + "word " * 400_000, "w", 7)]
+    df = spark.createDataFrame(rows, "page_id long, html string, url string, text int")
+    got = html_extract.extract_pages(df)
+    assert got.columns == ["page_id", "url", "text"]
+    out = sorted(got.collect(), key=str)
+    assert [r.text for r in out if r.page_id == 1] == [text, text]
+    assert [r.text for r in out if r.page_id == 2] == [r.text for r in out if r.page_id is None] == [""]
+    blocks = html_extract.leaf_blocks(rows[4][1])
+    assert len(blocks) == 1 and len(blocks[0].text) == 5 * 400_000 - 1
+    assert html_extract.extract_pages(df.limit(0)).collect() == []
+
+
+def test_op6_query_equals_extraction_one_by_one(spark):
+    got = {r.page_id: r for r in registered.op6_html(spark, SF).collect()}
+    rows = duckdb.sql(f"SELECT page_id, url, html FROM '{SF}/pages.parquet'").fetchall()
+    model = html_extract.default_model()
+    assert len(got) == len(rows)
+    for page_id, url, page in rows:
+        text = html_extract.extract(page, model)
+        assert (got[page_id].url, got[page_id].text, got[page_id].n_chars) == (url, text, len(text))
+
+
 def test_viterbi_is_the_best_of_all_labellings():
     model = html_extract.default_model()
     fs, _ = html_extract.block_labels(*html_extract.labelled_pages(1, seed=5)[0])
