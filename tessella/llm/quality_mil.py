@@ -1,14 +1,17 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A text is a bag of passages of ``PASSAGE`` words. Each passage is encoded from counts of its characters and words by a
-small network; gated attention learns, from labels of whole documents alone, how much each passage counts; the
+A text is a bag of passages of ``PASSAGE`` words. Each passage is encoded by a small network from what its characters and words are: shares of
+kinds of characters, repetition, and hashed n-grams, namely how much more often its letter triples and its words occur in good documents than
+in bad ones and in random letters. Gated attention learns, from labels of whole documents alone, how much each passage counts; the
 score is that of the attention-weighted passage representation. Every passage of every text is encoded and scored.
 
-The model is fitted on at most ``TRAIN_ROWS`` labelled documents (chosen by a hash of the id) with at most ``TRAIN_PASSAGES``
-passages each, spread over the whole text; both are parameters and bound the driver's memory. Scoring has no such limit.
+The model is fitted on at most ``TRAIN_ROWS`` labelled documents (chosen by a hash of the id), each with all its passages; that number is a
+parameter and bounds the driver's memory. Scoring has no such limit. n-gram counts of either half of these documents serve the other half in
+training, so that none is judged by its own words; in scoring both count. Good documents with their letters drawn at random or exchanged, and
+the empty text, teach as bad ones, since labelled bad documents show only some ways of being bad.
 
 Defined results: null and empty texts are one empty passage and get a score as others do; labels without a quality or
-document teach nothing; a document with several labels counts with the smallest; an id of several rows teaches once, with the smallest text; without any labels every score is 0.5 and a filter keeps all;
+document teach nothing; a document with several labels counts with the smallest; an id, of any type, of several rows teaches once, with the smallest text; without any labels every score is 0.5 and a filter keeps all;
 repeated rows get equal scores. Labels, language, source and id are never inputs of a score.
 """
 
@@ -24,11 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import blocks, sliced
-from .common import col
+from .common import col, drop, written
 
 PASSAGE = 64
 TRAIN_ROWS = 4096
-TRAIN_PASSAGES = 512
 THRESHOLD = 0.7
 #: Classes of bytes: space, line end, lower, upper, digit, symbol, exclamation, other ASCII, lead byte, later byte.
 _CLASS = np.full(256, 7, np.uint8)
@@ -41,10 +43,91 @@ _CLASS[[ord(c) for c in "#*$%&|<>"]] = 5
 _CLASS[[33, 63]] = 6
 _CLASS[128:192] = 9
 _CLASS[192:] = 8
-FEATURES = 16
+FEATURES = 17
+GRAM_BITS = 14
+#: What n-grams are counted in: good and bad labelled documents, good ones with random letters, and those with their own letters exchanged.
+GOOD, BAD, RANDOM, MIXED = range(4)
+
+
+def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words without white space: the buckets of all their letter triples (of bytes, ends marked, in lower case), where each word's begin, and each word's own bucket."""
+    words = pc.utf8_lower(words.cast(pa.string()))
+    sizes = np.asarray(pc.binary_length(words), np.int64)
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: first[-1]]
+    spaced = np.full(len(raw) + 2 * len(sizes), 32, np.uint32)
+    spaced[np.arange(len(raw)) + 2 * np.repeat(np.arange(len(sizes)), sizes) + 1] = raw
+    at = np.arange(int(sizes.sum())) + 2 * np.repeat(np.arange(len(sizes)), sizes)
+    code = spaced[at] << 16 | spaced[at + 1] << 8 | spaced[at + 2]
+    mixed = code * np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x85EBCA77)
+    own = np.add.reduceat(mixed, first[:-1], dtype=np.uint32) * np.uint32(0xC2B2AE3D) if len(sizes) else np.zeros(0, np.uint32)
+    shift = np.uint32(32 - GRAM_BITS)
+    return (mixed >> shift).astype(np.int64), first[:-1], (own >> shift).astype(np.int64)
 
 
-def featurize(texts: pa.Array, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Grams:
+    """Log ratios by bucket: of triples in good documents to bad ones, to random letters and to exchanged ones, and of words in good documents to bad ones."""
+
+    tables: np.ndarray
+
+    @staticmethod
+    def of(triples: np.ndarray, words: np.ndarray) -> Grams:
+        """From counts by kind of document and bucket."""
+        share = lambda c: np.log((c + 1.0) / (c.sum() + len(c)))
+        ratios = [share(triples[GOOD]) - share(triples[k]) for k in (BAD, RANDOM, MIXED)] + [share(words[GOOD]) - share(words[BAD])]
+        return Grams(np.clip(np.stack(ratios), -2, 2).astype(np.float32))
+
+    def values(self, words: pa.Array) -> np.ndarray:
+        """A row of the four mean ratios for each word."""
+        if not len(words):
+            return np.zeros((0, 4))
+        triples, begin, own = grams(words)
+        n = np.diff(np.append(begin, len(triples)))
+        return np.stack([*(np.add.reduceat(t[triples], begin, dtype=np.float64) / n for t in self.tables[:3]), self.tables[3][own].astype(np.float64)], axis=1)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of all texts, the number of each word of all texts in order, and where each text's words begin and end."""
+    words = pc.ascii_split_whitespace(texts)
+    flat = words.flatten()
+    bounds = np.asarray(words.offsets).astype(np.int64)
+    bounds -= bounds[0] if len(bounds) else 0
+    real = np.asarray(pc.binary_length(flat), np.int64) > 0
+    bounds = np.concatenate(([0], np.cumsum(real)))[bounds]
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), bounds
+
+
+def gram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket occurs among the letter triples and among the words of all texts."""
+    known, ids, _ = _words(pc.fill_null(texts.cast(pa.string()), ""))
+    size = 1 << GRAM_BITS
+    if not len(ids):
+        return np.zeros(size), np.zeros(size)
+    triples, begin, own = grams(known)
+    times = np.bincount(ids, minlength=len(known)).astype(np.float64)
+    each = np.repeat(times, np.diff(np.append(begin, len(triples))))
+    return np.bincount(triples, each, size), np.bincount(own, times, size)
+
+
+def spoilt(text: str, kind: int) -> str:
+    """The text with each letter drawn at random (RANDOM) or exchanged with another of its letters (MIXED), capitals where they were; the same each time."""
+    import zlib
+
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    at = np.flatnonzero(((points | 32) - 97 < 26) | (points >= 0xC0))
+    rng = np.random.default_rng([zlib.crc32(text.encode("utf-8", "surrogatepass")), kind])
+    capital = points[at] - 65 < 26
+    low = points[at] + 32 * capital.astype(np.uint32)
+    low = rng.integers(97, 123, len(at)).astype(np.uint32) if kind == RANDOM else low[rng.permutation(len(at))]
+    points[at] = low - 32 * (capital & (low - 97 < 26)).astype(np.uint32)
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def featurize(texts: pa.Array, known: Grams | None = None, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of all texts, and where each text's passages begin and end (one offset more than texts)."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     if texts.offset or not len(texts):
@@ -55,14 +138,7 @@ def featurize(texts: pa.Array, passage: int = PASSAGE) -> tuple[np.ndarray, np.n
     kind = _CLASS[data]
     upper2 = np.zeros(len(data), bool)
     upper2[1:] = (data[:-1] == 0xC3) & (data[1:] < 0x9F)
-    words = pc.ascii_split_whitespace(texts)
-    flat = words.flatten()
-    bounds = np.asarray(words.offsets).astype(np.int64)
-    bounds -= bounds[0] if len(bounds) else 0
-    real = np.asarray(pc.binary_length(flat), np.int64) > 0
-    before = np.concatenate(([0], np.cumsum(real)))
-    bounds = before[bounds]
-    ids = flat.filter(pa.array(real)).dictionary_encode().indices.to_numpy().astype(np.int64)
+    different, ids, bounds = _words(texts)
     n_words = np.diff(bounds)
     n_passages = np.maximum(1, -(-n_words // passage))
     offsets = np.concatenate(([0], np.cumsum(n_passages)))
@@ -87,11 +163,11 @@ def featurize(texts: pa.Array, passage: int = PASSAGE) -> tuple[np.ndarray, np.n
         count = np.bincount(where, minlength=total)[rows].astype(np.float64)
         chars = np.maximum(1, sum(sums[c] for c in (2, 3, 4, 5, 6, 7, 8)))
         distinct = np.bincount(np.unique(where * (int(ids.max()) + 1) + ids) // (int(ids.max()) + 1), minlength=total)[rows]
-        by_text = np.bincount(np.unique(text_of * (int(ids.max()) + 1) + ids) // (int(ids.max()) + 1), minlength=len(n_words))[text_of[first]]
         same = np.zeros(len(ids), np.int64)
         same[1:] = (ids[1:] == ids[:-1]) & (text_of[1:] == text_of[:-1])
         same[2:] |= (ids[2:] == ids[:-2]) & (text_of[2:] == text_of[:-2])
-        text_words = n_words[text_of[first]].astype(np.float64)
+        ratios = known.values(different) if known else np.zeros((len(different), 4))
+        ratios = [np.bincount(where, r[ids], total)[rows] / count for r in ratios.T]
         x[rows] = np.stack(
             [
                 np.ones(len(rows)),
@@ -106,10 +182,8 @@ def featurize(texts: pa.Array, passage: int = PASSAGE) -> tuple[np.ndarray, np.n
                 np.minimum(2, sums[7] / count * 4),
                 np.minimum(2, sums[1] / count * 8),
                 distinct / count * 2,
-                np.minimum(1, by_text / text_words) * 2,
                 np.minimum(1, np.bincount(where, same, minlength=total)[rows] / count * 4),
-                sums[8] / chars * 2,
-                np.log1p(text_words) / 8,
+                *ratios,
             ],
             axis=1,
         )
@@ -124,6 +198,7 @@ class Mil:
     mean: np.ndarray
     scale: np.ndarray
     trained: bool = True
+    grams: Grams | None = None
 
     def score(self, x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return _forward(self.weights, (x - self.mean) / self.scale, offsets)["p"]
@@ -194,32 +269,58 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _spread(n: int, most: int) -> np.ndarray:
-    """The numbers of all n passages or, of more than most, of those whose number has the smallest hashes."""
-    if n <= most:
-        return np.arange(n)
-    mixed = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.sort(np.argpartition(mixed, most)[:most])
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, passages: int = TRAIN_PASSAGES) -> Mil:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Mil:
     """A model fitted on a bounded sample of the labelled documents that are not held out."""
-    known = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull() & ~held_out(col(id_col))).groupBy(col(id_col).alias("id")).agg(F.min(col(label_col)).alias("y"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(rows).collect()
-    chosen = docs.sparkSession.createDataFrame(sample, "id long, y int")
-    bags = docs.select(col(id_col).alias("doc"), col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id")).groupBy("id", "y").agg(F.min("text").alias("text"))  # at most TRAIN_ROWS labels
+    known = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull() & ~held_out(col(id_col))).groupBy(col(id_col).alias("id")).agg(F.min(col(label_col).cast("int")).alias("y"))
+    chosen = written(known.orderBy(F.xxhash64("id"), "id").limit(rows), "labels")
+    named = docs.select(col(id_col).alias("doc"), col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id"))  # at most TRAIN_ROWS labels
+    bags = named.groupBy("id", "y").agg(F.min("text").alias("text")).select(F.col("id").cast("string").alias("id"), "y", "text", F.pmod(F.xxhash64("id"), F.lit(12)).cast("int").alias("part"))
+    bags = written(bags, "bags")
+    spread = bags.repartition(8, "id")
+
+    def variants(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, int, str]]:
+        """(id, half, kind, y, text) of each document, and of a sixth of the good ones that are not short with letters spoilt in either way."""
+        for i, y, text, part in zip(*(c.to_pylist() for c in batch.columns)):
+            text = text or ""
+            yield i, part % 2, GOOD if y else BAD, y, text
+            if y and part // 2 == 0 and len(text) >= 300:
+                yield from ((i, part % 2, kind, 0, spoilt(text, kind)) for kind in (RANDOM, MIXED))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, 4, 2, 1 << GRAM_BITS))
+        for batch in batches:
+            groups: dict[tuple[int, int], list[str]] = {}
+            for _, half, kind, _, text in variants(batch):
+                groups.setdefault((half, kind), []).append(text)
+            for (half, kind), texts in groups.items():
+                found[half, kind] += np.stack(gram_counts(pa.array(texts, pa.string())))
+        yield pa.RecordBatch.from_arrays([pa.array([found.astype(np.float32).tobytes()], pa.binary())], names=["counts"])
+
+    counts = sum((np.frombuffer(c, np.float32).reshape(2, 4, 2, -1).astype(np.float64) for (c,) in spread.mapInArrow(counted, "counts binary").collect()), np.zeros((2, 4, 2, 1 << GRAM_BITS)))  # one row of fixed size a task
+    table = lambda c: Grams.of(c[:, 0], c[:, 1])
+    other = [table(counts[1]), table(counts[0])]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, offsets = featurize(batch.column(2))
-            bag = [x[a + _spread(b - a, passages)].ravel() for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bag, pa.list_(pa.float32()))], names=["id", "y", "x"])
-
-    found = sorted((i, y, x) for i, y, x in bags.mapInArrow(features, "id long, y int, x array<float>").collect())
-    parts = [np.array(x, np.float32).reshape(-1, FEATURES) for _, _, x in found]
+            for half in (0, 1):
+                some = [v for v in variants(batch) if v[1] == half]
+                if some:
+                    x, offsets = featurize(pa.array([v[4] for v in some], pa.string()), other[half])
+                    bag = pa.array([x[a:b].ravel() for a, b in zip(offsets[:-1], offsets[1:])], pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in some], pa.string()), pa.array([v[2] for v in some], pa.int32()), pa.array([v[3] for v in some], pa.int32()), bag], names=["id", "kind", "y", "x"])
+
+    found = sorted(((i, kind, y, x) for i, kind, y, x in spread.mapInArrow(features, "id string, kind int, y int, x array<float>").collect()), key=lambda r: r[:2])  # at most TRAIN_ROWS documents and two variants of each
+    drop(chosen, bags)
+    parts = [np.array(x, np.float32).reshape(-1, FEATURES) for _, _, _, x in found]
+    labels_ = [y for _, _, y, _ in found]
+    if found:
+        empty = max(4, len(found) // 50)
+        parts += [featurize(pa.array([""]))[0]] * empty
+        labels_ += [0] * empty
     x = np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32)
-    return fit(x, np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), np.array([y for _, y, _ in found], np.float64))
+    model = fit(x, np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), np.array(labels_, np.float64))
+    model.grams = table(counts.sum(axis=0))
+    return model
 
 
 def score(text: Column, model: Mil) -> Column:
@@ -228,7 +329,7 @@ def score(text: Column, model: Mil) -> Column:
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts, sizes in blocks(batches):
-            yield from sliced(pa.array(model.score(*featurize(texts)) if len(texts) else [], pa.float64()), sizes)
+            yield from sliced(pa.array(model.score(*featurize(texts, model.grams)) if len(texts) else [], pa.float64()), sizes)
 
     return scored(text)
 

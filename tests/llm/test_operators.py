@@ -579,7 +579,7 @@ def test_mil_learns_from_late_passages_and_from_each_id_once(spark):
     bad = lambda n: " ".join(rng.choices(["$$#!", "%%&", "||*", "9981"], k=n))
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     late = [plain(4 * quality_mil.PASSAGE) + " " + (plain if i % 2 else bad)(36 * quality_mil.PASSAGE) for i in range(200)]
-    model = quality_mil.train(docs(spark, late), labels, passages=4)
+    model = quality_mil.train(docs(spark, late), labels)
     p = [r.p for r in docs(spark, late).orderBy("doc_id").select(quality_mil.score(F.col("text"), model).alias("p")).collect()]
     assert all((x >= 0.5) == bool(i % 2) for i, x in enumerate(p))
 
@@ -591,6 +591,61 @@ def test_mil_learns_from_late_passages_and_from_each_id_once(spark):
     assert all(np.allclose(model.weights[k], alone.weights[k]) for k in model.weights)
 
 
+def test_mil_knows_words_from_letters_and_text_from_none(spark, texts):
+    sf = "/root/testdata/sf0.01"
+    docs_, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_mil.train(docs_, labels)
+    score = lambda ts: model.score(*quality_mil.featurize(pa.array(ts, pa.string()), model.grams))
+    good = [r.text for r in docs_.join(labels, "doc_id").filter("quality = 1 and length(text) > 300").orderBy("doc_id").limit(100).collect()]
+    assert (score(good) >= quality_mil.THRESHOLD).mean() >= 0.97
+    rng = random.Random(3)
+    for spoil in (
+        lambda t: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in t),
+        lambda t: " ".join("".join(rng.sample(w, len(w))) for w in t.split()),
+    ):
+        assert (score([spoil(t) for t in good]) < quality_mil.THRESHOLD).mean() >= 0.97
+    assert (score(["", None, " \n "]) < quality_mil.THRESHOLD).all()
+    texts_id = docs_.withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))
+    assert quality_mil.train(texts_id, labels.withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))).trained
+    assert len(quality_mil.train(docs_.limit(0), labels).weights["c"])
+
+
+def test_mil_features_and_pooling_equal_plain_loops(texts):
+    some = [t for t in texts[:60]] + ["", None]
+    counts = [quality_mil.gram_counts(pa.array([t], pa.string())) for t in some]
+    grams = quality_mil.Grams.of(*(np.stack([sum(c[k] for c in counts[j::4]) for j in range(4)]) for k in (0, 1)))
+    x, offsets = quality_mil.featurize(pa.array(some, pa.string()), grams)
+    model = quality_mil.fit(x, offsets, np.arange(len(some)) % 2.0, epochs=2)
+    got = model.score(x, offsets)
+    bucket = lambda n: n >> (32 - quality_mil.GRAM_BITS)
+    for i, t in enumerate(some):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        bags = [words[k : k + 64] for k in range(0, len(words), 64)] or [[]]
+        assert offsets[i + 1] - offsets[i] == len(bags)
+        for k, bag in enumerate(bags):
+            ratios = []
+            for w in bag:
+                raw, own, each = b" " + w.lower().encode() + b" ", 0, []
+                for a, b, c in zip(raw, raw[1:], raw[2:]):
+                    m = (a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF
+                    m = (m ^ m >> 15) * 0x85EBCA77 & 0xFFFFFFFF
+                    own += m
+                    each.append(bucket(m))
+                ratios.append([*(np.mean([float(grams.tables[j][g]) for g in each]) for j in range(3)), float(grams.tables[3][bucket(own * 0xC2B2AE3D & 0xFFFFFFFF)])])
+            row = x[offsets[i] + k]
+            if not bag:
+                assert not row.any()
+                continue
+            assert np.allclose(row[-4:], np.mean(ratios, axis=0), atol=1e-4), (i, k, t[:40])
+            assert row[1] == pytest.approx(np.log1p(len(bag)) / 4, rel=1e-5)
+            assert row[-6] == pytest.approx(2 * len(set(bag)) / len(bag), rel=1e-5)
+        h = [np.tanh((r - model.mean) / model.scale @ model.weights["w"] + model.weights["b"]) for r in x[offsets[i] : offsets[i + 1]].astype(float)]
+        e = [(np.tanh(v @ model.weights["v"]) / (1 + np.exp(-v @ model.weights["u"]))) @ model.weights["a"] for v in h]
+        alpha = np.exp(np.array(e) - max(e))
+        z = sum(a * v for a, v in zip(alpha / alpha.sum(), h))
+        assert got[i] == pytest.approx(float(1 / (1 + np.exp(-(z @ model.weights["c"] + model.weights["d"][0])))), abs=1e-5)
+
+
 def test_mil_gradient_is_the_slope():
     rng = np.random.default_rng(0)
     x, offsets, y = rng.normal(size=(7, 5)), np.array([0, 2, 3, 7]), np.array([1.0, 0.0, 1.0])
