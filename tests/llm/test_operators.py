@@ -537,19 +537,81 @@ def test_ann_recall_and_odd_vectors(spark):
 
 
 def test_forest_plan_and_ranges():
-    assert ann.plan_forest(np.zeros((0, 64), int), 10**6) == (1, 0, 0)
-    shared = np.zeros((100, 64), int)
-    shared[:, 3] = 20
-    assert ann.plan_forest(shared, 10**7) == (4, 20, 10)
-    assert ann.plan_forest(shared, 100) == (4, 20, 0)
+    assert ann.plan_forest(np.zeros((0, 32), int), np.zeros(0, int), np.zeros((0, 3, 49), int), 10**6, 100).trees == 8
     rng = np.random.default_rng(5)
     strings = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
     asked = np.concatenate((strings[:20], rng.integers(0, 1 << 63, 20).astype(np.uint64)))
-    begin, end = ann.ranges(strings, asked, 8, 2, 5)
-    for q, lo, hi in zip(asked, begin, end):
-        lcp = ann.common_prefix(np.full(len(strings), q), strings)
-        level = next((n for n in range(8, 2, -1) if (lcp >= n).sum() > 5), None)
-        assert hi - lo == (len(strings) if level is None else (lcp >= level).sum())
+    for level in (0, 1, 7, 40, 64):
+        begin, end = ann.ranges(strings, asked, np.full(len(asked), level))
+        for q, lo, hi in zip(asked, begin, end):
+            assert hi - lo == (ann.common_prefix(np.full(len(strings), q), strings) >= level).sum()
+    totals = np.array([[100, 50, 20, 3, 0], [100, 90, 80, 70, 60], [5, 4, 3, 2, 1]])
+    assert ann.stops(totals, 20).tolist() == [2, 4, 0]
+
+
+def test_forest_ascent_equals_one_query_at_a_time(spark):
+    """The candidates of each query are those of a plain synchronous ascent, and results are the nearest of them."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    plans = []
+    real = ann.plan_forest
+    ann.plan_forest = lambda *a: plans.append(real(*a)) or plans[-1]
+    try:
+        got = {}
+        for r in ann.search(df, F.col("vec_id") % 50 == 0, cell=200).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    finally:
+        ann.plan_forest = real
+    plan = plans[0]
+    assert plan.depth > 0
+    d = x.astype(float)
+    strings = ann.hash_strings(d, plan.trees, 1)
+    u = d / np.linalg.norm(d, axis=1, keepdims=True)
+    right = 0
+    for q in range(0, 3000, 50):
+        lcp = ann.common_prefix(strings[q][None], strings)
+        level = next((n for n in range(min(64, plan.most + 4), plan.depth - 1, -1) if (lcp >= n).sum() >= plan.wanted), None)
+        there = np.arange(3000) if level is None else np.flatnonzero((lcp >= level).any(axis=1))
+        there = there[there != q]
+        s = u[there] @ u[q]
+        assert [v for _, v in sorted(got[q])] == there[np.lexsort((there, -s))[:5]].tolist()
+        s = u @ u[q]
+        s[q] = -9
+        right += len(set(np.argsort(-s)[:5].tolist()) & {v for _, v in got[q]})
+    assert right >= 0.9 * 300
+
+
+def test_ann_ties_repeated_ids_and_copies(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 8)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[7].tolist()) for i in range(400)] + [(50, x[50].tolist())] * 3 + [(100, x[100].tolist()), (100, x[101].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, recall=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert all([k for k, _, _ in sorted(g)] == [1, 2, 3, 4, 5] and len({v for _, v, _ in g}) == 5 for g in got.values())
+    for q in range(1000, 1400, 50):  # copies of vector 7: the smallest other ids
+        assert [v for _, v, _ in sorted(got[q])] == [v for v in (7, 1000, 1001, 1002, 1003, 1004) if v != q][:5]
+    assert set(got) == {0, 50, 100, 150, 200, 250, *range(1000, 1400, 50)}
+
+
+def test_op8_query_equals_brute_force_where_it_finds(spark):
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.01/embeddings.parquet' ORDER BY vec_id").fetchall()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in registered.op8_ann(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hit = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[q]
+        s[q] = -9
+        assert len(got[ids[q]]) == 5
+        for v, score in got[ids[q]].items():
+            assert score == pytest.approx(s[np.flatnonzero(ids == v)[0]], abs=1e-12)
+        hit += len(set(ids[np.argsort(-s)[:5]].tolist()) & set(got[ids[q]]))
+    assert hit >= 0.9 * 5 * len(got)
 
 
 # 9: quality classifier
