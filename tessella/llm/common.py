@@ -25,12 +25,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; it survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table or for archives in the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -69,6 +63,18 @@ def release(spark: SparkSession) -> None:
         _remove(spark, path)
 
 
+#: Keys of more than 1 / HOT of all rows are joined by broadcast; there are fewer than HOT of them.
+HOT = 10_000
+
+
+def join_counted(rows: DataFrame, known: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """The inner join of rows with known, which has each key once with the count of its rows, without count. A hot key stays where its rows are."""
+    hot = F.col(count) * HOT > F.lit(total)
+    few, rest = known.filter(hot).drop(count), known.filter(~hot).drop(count)  # few: fewer than HOT rows
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(others.join(rest, key))
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

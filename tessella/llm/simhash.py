@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, drop, shared_path, written
+from .common import col, drop, join_counted, written
 from .components import connected_components
 
 BITS = 256
@@ -40,8 +40,6 @@ ENTRY_PAIRS = 2000
 DENSE = 32_768
 #: More dense leaves than this are never sent to workers: the limit DENSE doubles until they are fewer, and larger slices are compared.
 MOST_PREFIXES = 100_000
-#: Copies of one text are joined to their class by broadcast if they are more than 1 / HOT of all rows; there are fewer than HOT such texts.
-HOT = 10_000
 _WORD = re.compile(r"\w+")
 
 
@@ -286,10 +284,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = placed.join(classes, "root").join(links, "node", "left").select("sig", "n_rows", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
     nodes = written(nodes, "classes")
     drop(points, met, roots)
-    many = F.col("n_rows") * HOT > F.lit(rows or 0)
-    hot, rest = nodes.filter(many).drop("n_rows"), nodes.filter(~many).drop("n_rows")  # hot: fewer than HOT rows
-    out = signed.join(F.broadcast(hot), "sig").unionByName(signed.join(F.broadcast(hot.select("sig")), "sig", "left_anti").join(rest, "sig"))
-    return out.select("doc_id", "class_id", "n_links")
+    return join_counted(signed, nodes, "sig", "n_rows", rows or 0).select("doc_id", "class_id", "n_links")
 
 
 def deduplicate(df: DataFrame, text_col: str = "text", distance: int = DISTANCE) -> DataFrame:

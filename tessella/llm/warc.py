@@ -1,8 +1,8 @@
 """WARC archives with revisit resolution.
 
-``resolve_revisits`` shuffles headers only: the payload digests are grouped (partial sums first, so that a hot
+``resolve_revisits`` shuffles headers, (id, digest) without payload: the digests are grouped (partial sums first, so that a hot
 digest arrives as one row a task), the smallest id of each repeated digest becomes the original response, and
-the records are joined to it. ``write_archives`` writes each record as its own gzip member with fresh headers;
+the headers of the others, the revisits, are joined to it. Records then find their verdict by id, of which none is hot. ``write_archives`` writes each record as its own gzip member with fresh headers;
 a revisit carries no payload. Files are written under names of their own attempt and only those in the manifest
 count, so a lost or repeated task leaves no record twice. ``read_archives`` parses by Content-Length and joins nothing.
 
@@ -22,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, cut_lineage, shared_path
+from .common import col, drop, join_counted, shared_path, written
 
 LEAST = 100
 FILE_BYTES = 64 << 20
 MOST_READERS = 10_000
-MOST_BROADCAST = 100_000
 READ = "record_id string, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to string, block binary"
 _READ_ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("block", pa.binary())])
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -39,18 +38,12 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", uri_col: str = "
     records = pages.select(
         col(id_col).alias("id"), col(uri_col).cast("string").alias("uri"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest")
     )
-    repeated = (
-        records.filter(F.col("payload_bytes") >= least)
-        .groupBy("payload_digest")
-        .agg(F.min("id").alias("original"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select(F.col("payload_digest").alias("d"), "original")
-    )
-    repeated = cut_lineage(repeated)  # headers alone: the payloads are not read a third time
-    if repeated.count() <= MOST_BROADCAST:
-        repeated = F.broadcast(repeated)  # counted; payloads stay where they are. With more digests, records are shuffled to them
-    found = records.join(repeated, F.col("payload_digest") == F.col("d"), "left").drop("d")
-    return found.withColumn("original", F.when(F.col("id") != F.col("original"), F.col("original")))
+    heads = written(records.filter(F.col("payload_bytes") >= least).select("id", F.unhex("payload_digest").alias("digest")), "headers")
+    repeated = written(heads.groupBy("digest").agg(F.min("id").alias("original"), F.count("*").alias("n")).filter("n > 1"), "repeated")
+    revisits = join_counted(heads, repeated, "digest", "n", heads.count()).filter("id != original").select("id", "digest", "original").distinct()
+    verdicts = written(revisits.withColumnsRenamed({"id": "own", "digest": "d"}), "verdicts")
+    drop(heads, repeated)
+    return records.join(verdicts, (F.col("id") == F.col("own")) & (F.unhex("payload_digest") == F.col("d")), "left").drop("own", "d")
 
 
 def _member(head: list[tuple[str, str]], block: bytes) -> bytes:

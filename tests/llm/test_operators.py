@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, bpe, html_extract, packing, quality_mil, quality_rules, secrets, sharding, simhash, warc
+from tessella.llm import ann, bpe, common, html_extract, packing, quality_mil, quality_rules, secrets, sharding, simhash, warc
 from tessella.llm import queries as registered
 from tessella.llm.components import connected_components
 
@@ -179,6 +179,26 @@ def test_quality_counts_equal_brute_force(spark, texts):
     assert quality_rules.quality_filter(df.limit(0)).collect() == []
 
 
+def test_quality_cascade_counts_nothing_for_rejected_texts():
+    seen = []
+    rules = [quality_rules.Rule("a", lambda p: "a" in p.text), quality_rules.Rule("b", lambda p: seen.append(p.text) or p.n_words > 2)]
+    assert quality_rules.survivors(list(map(quality_rules.Page, ["a", "b c d", "b", "xa"])), rules) == ["a", "b", None, "a"]
+    assert seen == ["b c d", "b"]
+    slow = quality_rules.Rule("slow", lambda p: sum(range(3000)) > 0 and p.text.endswith("1"))
+    quick = quality_rules.Rule("quick", lambda p: p.text.endswith("1"))
+    order, found = quality_rules.order_rules([f"text {i}" for i in range(200)], (slow, quick), ())
+    assert [r.name for r in order] == ["quick", "slow"] and found[0].rejected == 0.1 and found[1].rejected == 0  # of what quick leaves
+
+
+def test_upper_case_is_that_of_the_category():
+    import sys
+    import unicodedata
+
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper() != (unicodedata.category(c) == "Lu")]
+    assert odd and all(quality_rules._NO_LETTER.fullmatch(c) for c in odd)
+    assert quality_rules._NO_LETTER.findall("AÉ\u2167\u24b6x") == ["\u2167", "\u24b6"]
+
+
 def test_quality_rules_keep_clean_documents_and_reject_bad_ones():
     rows = duckdb.sql("SELECT text, quality FROM '/root/testdata/sf0.01/documents.parquet' JOIN '/root/testdata/sf0.01/labels.parquet' USING (doc_id)").fetchall()
     kept = [not quality_rules.base_failed(p) and not any(r.rejects(p) for r in quality_rules.RULES) for p in quality_rules.counts([t for t, _ in rows])]
@@ -190,9 +210,9 @@ def test_quality_rules_keep_clean_documents_and_reject_bad_ones():
 # 4: WARC
 
 
-@pytest.mark.parametrize("broadcast", [0, 1000])
-def test_warc_round_trip_and_revisits(spark, tmp_path, monkeypatch, broadcast):
-    monkeypatch.setattr(warc, "MOST_BROADCAST", broadcast)
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_warc_round_trip_and_revisits(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     big, small = "x" * 150, "y" * 20
     rows = [(1, "http://a/ b", big), (2, "u", small), (3, None, big), (4, "u", small), (5, "u", None), (6, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 9), (7, "u", big), (8, "u", "é" * 60)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, block int")
