@@ -1,9 +1,12 @@
 """Quality rules as a short-circuit cascade whose order follows measured rejection per cost.
 
-Every rule is a predicate over cheap counts of a whole text. ``plan_cascade`` runs all rules over a bounded
-sample, measures each rule's cost and how much it rejects, and orders them by rejection per cost. ``judge`` applies them in that
-order to every text and leaves a text at its first rejection. The verdict is the conjunction of all rules, so
-the order changes the cost, never the result.
+Every rule is a predicate over counts of a whole text, and a count is taken when the first rule asks for it. ``plan_cascade`` runs the rules over a
+bounded random sample: it measures what each costs and how much it rejects, takes the one with the most rejection per cost, and goes on with the
+texts and counts that this one leaves. ``survivors`` applies the rules in that order to every text, a batch at a time, and looks at no text after its
+first rejection. The verdict is the conjunction of all rules, so the order changes the cost, never the result.
+
+``quality_filter`` puts all rules into the cascade, the base rules among them. ``judge`` has to give the base counts of every text, so there the base
+rules come first and the others follow in the cascade's order.
 
 Defined results: a null text has no words and fails the base rules, as an empty text does; repeated rows get
 the same verdict each; rows keep all their other columns whatever their names.
@@ -11,9 +14,11 @@ the same verdict each; rows keep all their other columns whatever their names.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -23,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import col
 
+#: Rows that the order is measured on, drawn at random, and the longest among them in bytes: with 512 of 64 KB, at most 32 MB go to the driver.
 SAMPLE_ROWS = 512
+SAMPLE_BYTES = 1 << 16
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -57,36 +64,83 @@ def repeated_words(words: list[list[bytes]]) -> list[int]:
     return (marks[ends] - marks[ends - sizes]).tolist()
 
 
-@dataclass(frozen=True)
 class Page:
-    """What the rules see of one text."""
+    """What the rules see of one text; each count is taken once, when it is first asked for."""
+
+    def __init__(self, text: str | None):
+        self.text = text or ""
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.text.encode("utf-8", "surrogatepass").split()
+
+    @cached_property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text) - sum(map(self.text.count, SPACE))
 
-    text: str
-    n_words: int
-    word_chars: int
-    n_symbols: int
-    n_dup_lines: int
-    n_repeat_words: int
+    @cached_property
+    def n_symbols(self) -> int:
+        return sum(map(self.text.count, SYMBOLS))
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        lines = [x for x in self.text.split("\n") if x and x.strip(SPACE)]
+        return len(lines) - len(set(lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated_words([self.words])[0]
+
+    def copy(self) -> Page:
+        out = Page(self.text)
+        out.__dict__.update(self.__dict__)
+        return out
+
+
+def count_repeats(pages: list[Page]) -> None:
+    """n_repeat_words of many pages at once, which is faster than one by one."""
+    todo = [p for p in pages if "n_repeat_words" not in p.__dict__]
+    for p, n in zip(todo, repeated_words([p.words for p in todo])):
+        p.__dict__["n_repeat_words"] = n
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A named rejection; it must depend on the page alone."""
+    """A named rejection; it must depend on the page alone. prepare takes counts for all pages of a batch at once."""
 
     name: str
     rejects: Callable[[Page], bool]
+    prepare: Callable[[list[Page]], None] | None = None
+
+    def rejected(self, pages: list[Page]) -> list[bool]:
+        if self.prepare:
+            self.prepare(pages)
+        return list(map(self.rejects, pages))
+
+
+#: Characters that Python calls upper case and that are no letters of the category Lu: Roman numerals, circled and squared letters.
+_NO_LETTER = re.compile("[\u2160-\u216f\u24b6-\u24cf\U0001f130-\U0001f149\U0001f150-\U0001f169\U0001f170-\U0001f189]")
 
 
 def _shouting(p: Page) -> bool:
     upper = sum(map(str.isupper, p.text))
+    if 2 * upper > p.word_chars and not p.text.isascii():
+        upper -= len(_NO_LETTER.findall(p.text))
     return 2 * upper > p.word_chars
 
 
 def _stuttering(p: Page) -> bool:
-    words = p.text.encode("utf-8", "surrogatepass").split()
-    return 10 * sum(map(bytes.__eq__, words, words[1:])) > 3 * len(words)
+    return 10 * sum(map(bytes.__eq__, p.words, p.words[1:])) > 3 * p.n_words
 
 
+BASE_RULES = (
+    Rule("few_words", lambda p: p.n_words < 10),
+    Rule("repeated_windows", lambda p: 100 * p.n_repeat_words > 20 * p.n_words, count_repeats),
+)
 RULES = (
     Rule("symbols", lambda p: 10 * p.n_symbols > p.n_words),
     Rule("exclamations", lambda p: 4 * p.text.count("!") > p.n_words),
@@ -99,20 +153,27 @@ RULES = (
 
 
 def counts(texts: list[str | None]) -> list[Page]:
-    """The base counts of whole texts."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    words = [r.split() for r in raw]
-    repeats = repeated_words(words)
-    out = []
-    for t, ws, n in zip(texts, words, repeats):
-        t = t or ""
-        lines = [x for x in t.split("\n") if x and x.strip(SPACE)]
-        out.append(Page(t, len(ws), len(t) - sum(map(t.count, SPACE)), sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), n))
-    return out
+    """Pages of whole texts, with their repeated words counted."""
+    pages = list(map(Page, texts))
+    count_repeats(pages)
+    return pages
 
 
 def base_failed(p: Page) -> bool:
-    return p.n_words < 10 or 100 * p.n_repeat_words > 20 * p.n_words
+    return any(r.rejects(p) for r in BASE_RULES)
+
+
+def survivors(pages: list[Page], cascade: list[Rule]) -> list[str | None]:
+    """For each page the first rule that rejects it, or None; no rule sees a page that one before rejected."""
+    why: list[str | None] = [None] * len(pages)
+    alive = list(range(len(pages)))
+    for rule in cascade:
+        verdicts = rule.rejected([pages[i] for i in alive])
+        for i, rejected in zip(alive, verdicts):
+            if rejected:
+                why[i] = rule.name
+        alive = [i for i, rejected in zip(alive, verdicts) if not rejected]
+    return why
 
 
 @dataclass(frozen=True)
@@ -126,22 +187,37 @@ class Estimate:
         return self.rejected / max(self.seconds, 1e-12)
 
 
-def plan_cascade(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[list[Rule], list[Estimate]]:
-    """Rules by rejection per cost as measured on the first sample_rows rows that arrive; most worthwhile first, ties by name."""
-    texts = [t for (t,) in df.select(col(text_col).cast("string")).limit(sample_rows).collect()]
-    pages = [p for p in counts(texts) if not base_failed(p)]
-    found = []
-    for rule in rules:
-        began = time.perf_counter()
-        rejected = sum(map(rule.rejects, pages))
-        found.append(Estimate(rule.name, (time.perf_counter() - began) / max(1, len(pages)), rejected / max(1, len(pages))))
-    by = {e.name: e for e in found}
-    return sorted(rules, key=lambda r: (-by[r.name].worth, by[r.name].seconds, r.name)), found
+def plan_cascade(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, first: tuple[Rule, ...] = BASE_RULES) -> tuple[list[Rule], list[Estimate]]:
+    """rules by rejection per cost, most worthwhile first, each measured on those rows of a random sample that the rules before it and those of first leave."""
+    text = col(text_col).cast("string")
+    sample = df.select(text.alias("t")).filter(F.coalesce(F.octet_length("t"), F.lit(0)) <= SAMPLE_BYTES).orderBy(F.rand(17)).limit(sample_rows).collect()
+    return order_rules([t for (t,) in sample], rules, first)
+
+
+def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES, first: tuple[Rule, ...] = BASE_RULES) -> tuple[list[Rule], list[Estimate]]:
+    pages = list(map(Page, texts))
+    pages = [p for p, why in zip(pages, survivors(pages, list(first))) if why is None]
+    left, order, found = list(rules), [], []
+    while left:
+        estimates = {}
+        for rule in left:
+            best, verdicts = float("inf"), []
+            for _ in range(2):  # the quicker of two, as the first may meet a cold cache
+                fresh = [p.copy() for p in pages]
+                began = time.thread_time()
+                verdicts = rule.rejected(fresh)
+                best = min(best, time.thread_time() - began)
+            estimates[rule.name] = Estimate(rule.name, best / max(1, len(pages)), sum(verdicts) / max(1, len(pages)))
+        rule = min(left, key=lambda r: (-estimates[r.name].worth, estimates[r.name].seconds, r.name))
+        order.append(rule)
+        found.append(estimates[rule.name])
+        left.remove(rule)
+        pages = [p for p, rejected in zip(pages, rule.rejected(pages)) if not rejected]
+    return order, found
 
 
 def judge(text: Column, cascade: list[Rule]) -> Column:
     """A struct of the base counts, base_failed, kept and rejected_by (null if kept) for each whole text."""
-    steps = [(r.name, r.rejects) for r in cascade]
 
     @F.arrow_udf(SCHEMA)
     def verdict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -149,10 +225,12 @@ def judge(text: Column, cascade: list[Rule]) -> Column:
             rows = []
             texts = batch.to_pylist()
             for at in range(0, len(texts), 1000):
-                for p in counts(texts[at : at + 1000]):
-                    bad = base_failed(p)
-                    why = "base" if bad else next((name for name, rejects in steps if rejects(p)), None)
-                    rows.append((p.n_words, p.word_chars, p.n_symbols, p.n_dup_lines, p.n_repeat_words, bad, why is None, why))
+                pages = counts(texts[at : at + 1000])
+                bad = list(map(base_failed, pages))
+                rest = iter(survivors([p for p, b in zip(pages, bad) if not b], cascade))
+                for p, b in zip(pages, bad):
+                    why = "base" if b else next(rest)
+                    rows.append((p.n_words, p.word_chars, p.n_symbols, p.n_dup_lines, p.n_repeat_words, b, why is None, why))
             kinds = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.string()]
             columns = list(zip(*rows)) or [()] * 8
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*COUNTS, "base_failed", "kept", "rejected_by"])
@@ -160,7 +238,22 @@ def judge(text: Column, cascade: list[Rule]) -> Column:
     return verdict(text)
 
 
-def quality_filter(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def passes(text: Column, cascade: list[Rule]) -> Column:
+    """Whether each whole text passes every rule of the cascade; what no rule asks for is never counted."""
+
+    @F.arrow_udf("boolean")
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = batch.to_pylist()
+            out: list[bool] = []
+            for at in range(0, len(texts), 1000):
+                out += [why is None for why in survivors(list(map(Page, texts[at : at + 1000])), cascade)]
+            yield pa.array(out, pa.bool_())
+
+    return kept(text)
+
+
+def quality_filter(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = (*BASE_RULES, *RULES), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of df whose text passes every rule, with the columns of df."""
-    cascade, _ = plan_cascade(df, text_col, rules, sample_rows)
-    return df.filter(judge(col(text_col).cast("string"), cascade).getField("kept"))
+    cascade, _ = plan_cascade(df, text_col, rules, sample_rows, ())
+    return df.filter(passes(col(text_col).cast("string"), cascade))
