@@ -2,9 +2,9 @@
 
 ``best_fit_decreasing`` puts groups, sorted by size, into the bin with the tightest remaining capacity, which a
 balanced tree (a treap over remaining capacities) finds in logarithmic time. Over a large table the packed items are
-the few groups above a fixed share of all bytes, each by itself, and a fixed number of bundles of all other
-groups, so that the driver sees a bounded list however many rows there are. Groups never split: a bundle is
-the set of groups whose hash falls into it.
+the few groups above a fixed share of all bytes, each by itself, and bundles of all other
+groups. There are more bundles for more rows, so that none holds much more than ``BUNDLE_ROWS``, and at most ``MOST_BUNDLES``, so that the driver
+sees a bounded list. Groups never split: a bundle is the set of groups whose hash falls into it.
 
 Slots are counted in parallel: a shard's rows lie in cells (bundles, or salted slices of a large group),
 each cell numbers its own rows and starts where the cells before it end.
@@ -21,9 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, written
 
-BUNDLES = 8192
+LEAST_BUNDLES, MOST_BUNDLES = 8192, 1 << 18
+BUNDLE_ROWS = 32_768
 SLICES = 64
 #: A group above 1 / (LARGE x shards) of all bytes is packed by itself; there are fewer than LARGE x shards of them.
 LARGE = 64
@@ -123,16 +124,16 @@ def into_shards(sizes: Sequence[int], shards: int) -> list[int]:
     return bins
 
 
-def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", bundles: int = BUNDLES) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", bundles: int | None = None) -> DataFrame:
     """Rows (doc_id, size, text_crc32, group, shard, slot): sizes (UTF-8 bytes + 1) near equal over shards, equal texts together."""
     spark = df.sparkSession
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    rows = df.select(col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64(text).alias("group"))
-    light = rows.select("doc_id", "size", "group")
+    rows = written(df.select(col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64(text).alias("group")), "sizes")
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
+    bundles = bundles or min(MOST_BUNDLES, max(LEAST_BUNDLES, n // BUNDLE_ROWS))
     bundle = F.pmod("group", F.lit(bundles))
     slice_ = F.pmod(F.xxhash64("doc_id"), F.lit(SLICES))
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    total = light.agg(F.sum("size")).head()[0] or 0
     least = total // (LARGE * shards) + 1
     large = {g: b for g, b in groups.filter(F.col("bytes") >= least).select("group", "bytes").collect()}  # fewer than LARGE x shards rows
     known = spark.createDataFrame([(g, i) for i, g in enumerate(sorted(large))], "large long, nth int")
