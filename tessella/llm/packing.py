@@ -107,7 +107,7 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = SEQUENCE
     spread: what the random order is drawn from; all columns by default. Every length must be 1 to capacity.
     """
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    order = F.xxhash64(F.lit(seed), *(spread or [col(c) for c in pieces.columns]))
+    order = F.xxhash64(F.lit(seed), *(spread or [col(c) for c in pieces.columns]), F.spark_partition_id())  # the partition parts equal rows
     spread_out = pieces.withColumn("__order", order).repartition("__order")
     ordered = spread_out.sortWithinPartitions("__order", *[col(c) for c in pieces.columns if pieces.schema[c].dataType.typeName() not in ("map", "variant")])
 
