@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import col
 
-#: Rows that the order is measured on, drawn at random, and the longest among them in bytes: with 512 of 64 KB, at most 32 MB go to the driver.
+#: About so many rows, drawn at random over the whole table, are what the order is measured on; longer ones are left out: some 32 MB at most go to the driver.
 SAMPLE_ROWS = 512
 SAMPLE_BYTES = 1 << 16
 SPACE = " \t\n\v\f\r"
@@ -190,7 +190,8 @@ class Estimate:
 def plan_cascade(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, first: tuple[Rule, ...] = BASE_RULES) -> tuple[list[Rule], list[Estimate]]:
     """rules by rejection per cost, most worthwhile first, each measured on those rows of a random sample that the rules before it and those of first leave."""
     text = col(text_col).cast("string")
-    sample = df.select(text.alias("t")).filter(F.coalesce(F.octet_length("t"), F.lit(0)) <= SAMPLE_BYTES).orderBy(F.rand(17)).limit(sample_rows).collect()
+    share = sample_rows / max(1, df.count())
+    sample = df.select(text.alias("t")).sample(min(1.0, share), 17).filter(F.coalesce(F.octet_length("t"), F.lit(0)) <= SAMPLE_BYTES).collect()  # sample_rows rows on average
     return order_rules([t for (t,) in sample], rules, first)
 
 
