@@ -29,7 +29,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Chunks that a worker keeps from batch to batch. It bounds memory only: a chunk that was forgotten is encoded again.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 800_000
 
 
 def byte_symbols() -> list[str]:
