@@ -235,6 +235,8 @@ def method(base: Expr, name: str, args: tuple, kw: dict[str, Any]) -> Expr:
         return WinFunc(name, (base, *args, *kw.values()))
     from ..functions.scalar import FUNCTIONS
 
+    if name in ("index", "full_name") and not args and (isinstance(base, Attr) and base.attr == "day_of_week" or isinstance(base, Call) and base.func == "day_of_week"):
+        return Call("day_of_week_index" if name == "index" else "day_of_week_name", (base.base if isinstance(base, Attr) else base.args[0],))
     if name == "cases":
         pairs = [x for c in args for x in (Call("==", (base, _lift(c[0]))), _lift(c[1]))]
         return Call("case", (*pairs, _lift(kw.get("else_"))))

@@ -263,6 +263,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "day": lambda a: F.dayofmonth(a),
     "day_of_week_index": lambda a: F.weekday(a),
     "day_of_week": lambda a: F.weekday(a),
+    "day_of_week_name": lambda a: F.date_format(a, "EEEE"),
     "day_of_year": lambda a: F.dayofyear(a),
     "hour": lambda a: F.hour(a),
     "minute": lambda a: F.minute(a),

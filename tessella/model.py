@@ -19,10 +19,12 @@ from .functions.scalar import compile_call, lit
 from .plans.planner import Planner, aggregate, mark, scalar
 from .plans.tree import Dimension, Join, Leaf, Measure, Node, Tree, is_calculated, leaves_of, quoted
 
-BLOCKED = {
-    "union", "intersect", "difference", "distinct", "asof_join", "semi_join", "anti_join", "inner_join", "left_join", "outer_join", "right_join", "any_inner_join", "any_left_join", "window_by", "pivot_longer", "pivot_wider",
-    "topk", "sample", "drop_null", "fill_null", "try_cast", "relabel", "rename", "drop", "relocate", "nunique", "info", "describe", "value_counts", "cross_join", "bind", "to_array", "as_scalar", "count_distinct", "view_as",
-}
+#: Table operations that would bypass the model; Spark's own are reached through to_spark().
+BLOCKED = frozenset(
+    """alias anti_join any_inner_join any_left_join as_scalar asof_join bind cache cast count count_distinct cross_join describe difference distinct drop drop_null dropna equals fill_null fillna get_backend head
+    info inner_join intersect left_join nunique outer_join pivot_longer pivot_wider preview projection relabel relocate rename right_join rowid sample semi_join to_array to_delta to_torch topk try_cast unbind
+    union unpack value_counts view view_as visualize window_by""".split()
+)
 GRAIN_ORDER = ["second", "minute", "hour", "day", "week", "month", "quarter", "year"]
 DERIVED = ("year", "quarter", "month", "week", "day", "hour", "minute", "second", "day_of_week")
 
@@ -98,7 +100,20 @@ class Exported:
         return self.to_spark().toArrow()
 
     def to_pyarrow_batches(self, chunk_size: int = 65_536):
-        return iter(self.to_pyarrow().to_batches(max_chunksize=chunk_size))
+        """Record batches of at most chunk_size rows, in the rows' order; no more than one partition's are held at once."""
+        import pyarrow as pa
+
+        def packed(batches):
+            for b in batches:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as out:
+                    out.write_batch(b)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+        for (raw,) in self.to_spark().mapInArrow(packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+            for b in pa.ipc.open_stream(bytes(raw)):
+                for at in range(0, b.num_rows, chunk_size):
+                    yield b.slice(at, chunk_size)
 
     def to_pandas_batches(self, chunk_size: int = 65_536):
         return (b.to_pandas() for b in self.to_pyarrow_batches(chunk_size))
@@ -115,8 +130,13 @@ class Exported:
     def explain(self, mode: str = "formatted") -> None:
         self.to_spark().explain(mode)
 
-    def sql(self) -> str:
-        return self.compile()
+    def sql(self, name: str | None = None) -> str:
+        """A SELECT that gives the rows in this session: over a temporary view, by that name, of the query. compile() has the plan."""
+        df = self.to_spark()
+        name = name or f"query_{id(self):x}"
+        df.createOrReplaceTempView(name)
+        quote = lambda c: "`" + c.replace("`", "``") + "`"
+        return f"SELECT {', '.join(map(quote, df.columns))} FROM {quote(name)}"
 
     def to_parquet(self, path: str, **options: Any) -> None:
         self.to_spark().write.mode(options.pop("mode", "overwrite")).options(**options).parquet(path)
@@ -136,7 +156,7 @@ class Exported:
             raise ImportError("to_xlsx needs openpyxl or xlsxwriter") from e
 
     def to_sql(self, name: str | None = None) -> str:
-        return self.compile()
+        return self.sql(name)
 
     def save_as_table(self, name: str, **options: Any) -> None:
         self.to_spark().write.mode(options.pop("mode", "overwrite")).options(**options).saveAsTable(name)
@@ -173,9 +193,10 @@ def _field_name(x: Any) -> str | None:
 class SemanticTable(Exported):
     """A model: tables, declared dimensions and measures, joins of declared cardinality."""
 
-    def __init__(self, node: Node, order: tuple[SortKey, ...] = ()):
+    def __init__(self, node: Node, order: tuple[SortKey, ...] = (), shown: tuple[str, ...] = ()):
         self.node = node
         self._order = order
+        self._shown = shown  # dimensions of mutate() over a join, which to_spark() gives too
 
     # structure
 
@@ -262,12 +283,12 @@ class SemanticTable(Exported):
 
     def with_dimensions(self, **dims: Any) -> SemanticTable:
         new = self._expanded(dims)
-        return SemanticTable(replace(self.node, dims={**{k: v for k, v in self.node.dims.items()}, **new}), self._order)
+        return SemanticTable(replace(self.node, dims={**{k: v for k, v in self.node.dims.items()}, **new}), self._order, self._shown)
 
     def with_measures(self, **measures: Any) -> SemanticTable:
         """Adds or redefines measures; one that only refers to itself is an error."""
         new = {n: as_measure(m) for n, m in measures.items()}
-        out = SemanticTable(replace(self.node, measures={**self.node.measures, **new}), self._order)
+        out = SemanticTable(replace(self.node, measures={**self.node.measures, **new}), self._order, self._shown)
         columns = {c for x in leaves_of(self.node) for c in x.df.columns}
         for n, m in new.items():
             if isinstance(m.expr, str):
@@ -291,7 +312,7 @@ class SemanticTable(Exported):
                 changed |= {"left": put(node.left), "right": put(node.right)}
             return replace(node, **changed)
 
-        return SemanticTable(put(self.node), self._order)
+        return SemanticTable(put(self.node), self._order, self._shown)
 
     # joins
 
@@ -346,7 +367,7 @@ class SemanticTable(Exported):
             if isinstance(e, Lit) and isinstance(e.value, bool):
                 raise QueryError("a filter gave a Python bool instead of an expression; compare fields with == and combine with & and |")
             new.append(e)
-        return SemanticTable(replace(self.node, filters=(*self.node.filters, *new)), self._order)
+        return SemanticTable(replace(self.node, filters=(*self.node.filters, *new)), self._order, self._shown)
 
     where = filter
 
@@ -359,10 +380,18 @@ class SemanticTable(Exported):
     agg = aggregate
 
     def mutate(self, **exprs: Any) -> SemanticTable:
-        """Row-level expressions as further dimensions, each of which may use those before."""
+        """Row-level expressions as further columns and dimensions, each of which may use those before."""
         out = self
         for n, e in exprs.items():
-            out = out.with_dimensions(**{n: e})
+            if isinstance(out.node, Leaf):
+                tree = out.tree
+                value = scalar(tree.bind(as_expr(e)))
+                leaf = out.node
+                rows = Planner(tree).leaf_frame(0).select(*[quoted(f"__0__{c}").alias(c) for c in leaf.df.columns if c != n], value.alias(n))
+                out = SemanticTable(replace(leaf, df=rows, dims={**leaf.dims, n: Dimension(Field(n))}, filters=()), out._order)
+            else:
+                out = out.with_dimensions(**{n: e})
+                out = SemanticTable(out.node, out._order, (*[x for x in out._shown if x != n], n))
         return out
 
     def _flat(self) -> tuple[DataFrame, Tree]:
@@ -380,7 +409,7 @@ class SemanticTable(Exported):
     def to_spark(self) -> DataFrame:
         """The rows: columns under their own names, later ones of a name as x_right, x_right2, ..."""
         df, tree = self._flat()
-        out, taken = [], set()
+        out, taken, taken_in_order = [], set(), []
         for i, leaf in enumerate(tree.leaves):
             for c in leaf.df.columns:
                 name, k = c, 1
@@ -388,8 +417,9 @@ class SemanticTable(Exported):
                     name = f"{c}_right{'' if k == 1 else k}"
                     k += 1
                 taken.add(name)
+                taken_in_order.append(name)
                 out.append(quoted(f"__{i}__{c}").alias(name))
-        return df.select(*out)
+        return df.select(*[c for c, name in zip(out, taken_in_order) if name not in self._shown], *[scalar(tree.dimension(n)).alias(n) for n in self._shown])
 
     to_untagged = to_dataframe = to_spark
 
@@ -752,7 +782,7 @@ class Result(Exported):
     def join_many(self, other: SemanticTable, on: Any, how: str = "left") -> SemanticTable:
         return self.as_table().join_many(other, on, how)
 
-    def chart(self, backend: str = "vega", spec: Mapping[str, Any] | None = None) -> dict[str, Any]:
+    def chart(self, backend: str = "vega", spec: Mapping[str, Any] | None = None) -> Any:
         from .operators.chart import chart_spec
 
         return chart_spec(self, backend, spec)

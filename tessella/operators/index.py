@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +51,20 @@ def _field_name_or_none(x: Any) -> str | None:
         return None
 
 
+def _by_rows(rows: DataFrame, bounds: dict[str, Any], kinds: dict[str, str]) -> DataFrame:
+    """The index with counts as weights: one pass for the values of all fields and one for the ranges of all numbers."""
+    label = lambda n: (F.lit(n.rsplit(".", 1)[-1]).alias("fieldName"), F.lit(n).alias("fieldPath"), F.lit(kinds[n]).alias("fieldType"))
+    parts = []
+    if valued := [n for n in bounds if kinds[n] != "number"]:
+        pairs = F.explode(F.array(*[F.struct(*label(n), scalar(bounds[n]).cast("string").alias("fieldValue")) for n in valued])).alias("p")
+        parts.append(rows.select(pairs).select("p.*").groupBy("fieldName", "fieldPath", "fieldType", "fieldValue").agg(F.count("*").alias("weight")))
+    if numbers := [n for n in bounds if kinds[n] == "number"]:
+        spread = rows.agg(F.count("*").alias("weight"), *[f(scalar(bounds[n])).cast("string").alias(f"{way}{k}") for k, n in enumerate(numbers) for way, f in (("low", F.min), ("high", F.max))])
+        spans = F.explode(F.array(*[F.struct(*label(n), F.concat(F.col(f"low{k}"), F.lit(" to "), F.col(f"high{k}")).alias("fieldValue")) for k, n in enumerate(numbers)])).alias("p")
+        parts.append(spread.select(spans, "weight").select("p.*", "weight").filter(F.col("fieldValue").isNotNull()))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def index(model: SemanticTable, selector: Any = None, by: str | None = None, sample: int | None = None) -> Result:
     """Rows (fieldName, fieldPath, fieldType, fieldValue, weight) of each field's values; numbers give their range.
 
@@ -70,23 +85,26 @@ def index(model: SemanticTable, selector: Any = None, by: str | None = None, sam
         measure = tree.find(by, known)
         if measure is None:
             raise UnknownFieldError(by, list(known), "measure")
+    bounds = {n: tree.dimension(n) for n in names}
+    planner.read_only(*bounds.values(), *model._filters())
+    rows = planner._filtered(planner.joined(set(range(len(tree.leaves)))), model._filters())
+    schema = rows.select(*[scalar(b).alias(n) for n, b in bounds.items()]).schema
+    kinds = {n: _kind(schema[n].dataType) for n in names}
+    if measure is None:
+        df = _by_rows(rows, bounds, kinds)
+        return Result(df, ["fieldName", "fieldPath", "fieldType", "fieldValue"], ["weight"], {"weight": "sum"}, model.name)
     parts = []
-    for n in names:
-        bound = tree.dimension(n)
-        leaves = {x for x in range(len(tree.leaves))}
-        schema = planner.joined(leaves).select(scalar(bound).alias("v")).schema
-        kind = _kind(schema[0].dataType)
-        weight: dict[str, Any] = {"weight": measure if measure is not None else Agg("count")}
+    for n, bound in bounds.items():
+        kind = kinds[n]
+        weight: dict[str, Any] = {"weight": measure}
         if kind == "number":
-            totals = aggregate(tree, {}, {**weight, "low": Agg("min", bound), "high": Agg("max", bound)}, model._filters()).df if measure is None else None
-            if totals is None:
-                spread = aggregate(tree, {}, {"low": Agg("min", bound), "high": Agg("max", bound)}, model._filters()).df
-                totals = spread.crossJoin(F.broadcast(aggregate(tree, {}, weight, model._filters()).df))
+            spread = aggregate(tree, {}, {"low": Agg("min", bound), "high": Agg("max", bound)}, model._filters()).df
+            totals = spread.crossJoin(F.broadcast(aggregate(tree, {}, weight, model._filters()).df))
             value = F.concat(quoted("low").cast("string"), F.lit(" to "), quoted("high").cast("string"))
-            part = totals.filter(quoted("low").isNotNull()).select(value.alias("fieldValue"), quoted("weight").cast("double" if measure else "long").alias("weight"))
+            part = totals.filter(quoted("low").isNotNull()).select(value.alias("fieldValue"), quoted("weight").cast("double").alias("weight"))
         else:
             grouped = aggregate(tree, {"__value": bound}, weight, model._filters()).df
-            part = grouped.select(quoted("__value").cast("string").alias("fieldValue"), quoted("weight").cast("double" if measure else "long").alias("weight"))
+            part = grouped.select(quoted("__value").cast("string").alias("fieldValue"), quoted("weight").cast("double").alias("weight"))
         parts.append(part.select(F.lit(n.rsplit(".", 1)[-1]).alias("fieldName"), F.lit(n).alias("fieldPath"), F.lit(kind).alias("fieldType"), "fieldValue", "weight"))
     df = reduce(lambda a, b: a.unionByName(b), parts)
     return Result(df, ["fieldName", "fieldPath", "fieldType", "fieldValue"], ["weight"], {"weight": "sum"}, model.name)

@@ -102,7 +102,7 @@ class Base:
     name: str
     expr: Expr
     leaf: int | None
-    array: tuple[str, ...] = ()
+    array: tuple = ()
 
 
 @dataclass
@@ -343,7 +343,10 @@ class Planner:
         element: Column = quoted(physical(leaf, array[0]))
         df = df.select(*[quoted(k) for k in keep], F.posexplode_outer(element).alias("__at", "__element"))
         for step in array[1:]:
-            df = df.select(*[quoted(k) for k in keep], F.posexplode_outer(F.col("__element").getField(step)).alias("__at", "__element"))
+            below = F.col("__element")
+            for name in step:
+                below = below.getField(name)
+            df = df.select(*[quoted(k) for k in keep], F.posexplode_outer(below).alias("__at", "__element"))
         return df, F.col("__at").isNotNull()
 
     def _filtered(self, df: DataFrame, filters: list[Expr]) -> DataFrame:
@@ -381,8 +384,11 @@ class Planner:
 
     # measures
 
-    def array_path(self, e: Expr, leaf: int) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
-        """(array path, field path of an element) of a reduction's argument that lies in arrays of a leaf, else None."""
+    def array_path(self, e: Expr, leaf: int) -> tuple[tuple, tuple[str, ...]] | None:
+        """(array path, field path of an element) of a reduction's argument that lies in arrays of a leaf, else None.
+
+        The array path is the column, then for each further array the fields that lead to it from an element of the one before.
+        """
         path: list[str] = []
         while isinstance(e, Call) and e.func == "struct_field":
             path.insert(0, e.args[1].value)
@@ -399,9 +405,8 @@ class Planner:
                 raise UnknownFieldError(p, at.names if isinstance(at, T.StructType) else [], "nested field")
             at = at[p].dataType
             if isinstance(at, T.ArrayType):
-                if inner:
-                    raise CompilationError("an array below a struct below an array has to be unnested first")
-                arrays.append(p)
+                arrays.append((*inner, p))
+                inner = []
                 at = at.elementType
             else:
                 inner.append(p)
@@ -495,6 +500,13 @@ def aggregate(tree: Tree, keys: dict[str, Expr], wanted: dict[str, Any], filters
                 return MeasureRef(hit) if hit is not None else None
             return lift(x)
 
+        if isinstance(e, Over) and isinstance(e.arg, Agg) and not e.window.group_by and not e.window.order_by and e.window.rows is None:
+            read = [repr(b) for b in walk(e.arg) if isinstance(b, Bound)]
+            if read and set(read) <= {repr(v) for v in keys.values()}:
+                from ..errors import WindowedBaseReductionError
+
+                raise WindowedBaseReductionError(f"{name!r}: an empty window over a reduction of group keys is ambiguous; all() totals the rows, and over() of a measure the groups")
+
         def rebuild_window(a: Agg | WinFunc) -> Expr:
             if isinstance(a, WinFunc):
                 return WinFunc(a.kind, tuple(rebuild(x, lift) for x in a.args))

@@ -127,6 +127,8 @@ def _key_pairs(on: Any) -> Expr:
         return out
     if isinstance(on, Field):
         return _key_pairs(on.field)
+    if isinstance(on, Expr) and any(isinstance(x, Side) for x in walk(on)):
+        return on
     if callable(on) and not isinstance(on, Expr):
         return on(Side("left"), Side("right"))
     raise DefinitionError("on must be a name, a field, a list of them or a lambda of both sides")

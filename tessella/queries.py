@@ -597,6 +597,154 @@ def window_distribution(m):
     return out.to_spark().select("status", "pr", "cd", "half")
 
 
+_PAIRS = "WITH p AS (SELECT DISTINCT c_mktsegment AS g, s_suppkey, s_acctbal, s_nationkey FROM supplier LEFT JOIN customer ON s_nationkey = c_nationkey)"
+
+
+@query(f"{_PAIRS} SELECT g AS customer_segment, {_COUNT} AS supplier_n, ROUND(SUM(s_acctbal), 2) AS supplier_total, ROUND(AVG(s_acctbal), 2) AS supplier_mean, ROUND(MEDIAN(s_acctbal), 2) AS supplier_mid, COUNT(DISTINCT s_nationkey) AS supplier_nations FROM p GROUP BY 1")
+def fanout_repeated_entity(m):
+    """The source's entity repeats: it is no row identity."""
+    supplier = to_semantic_table(m.table("supplier"), "supplier").with_dimensions(nation=entity_dimension(_.s_nationkey))
+    supplier = supplier.with_measures(n=_.count(), total=_.s_acctbal.sum(), mean=_.s_acctbal.mean(), mid=_.s_acctbal.median(), nations=_.s_nationkey.nunique())
+    return supplier.join_many(m.customer, lambda s, c: s.s_nationkey == c.c_nationkey).group_by("customer.segment").aggregate("supplier.n", "total", "mean", "mid", "nations")
+
+
+@query("""SELECT c_mktsegment AS customer_segment, CAST(COUNT(s_suppkey) AS BIGINT) AS supplier_suppliers, ROUND(SUM(s_acctbal), 2) AS supplier_supplier_balance FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer) LEFT JOIN supplier ON s_nationkey = c_nationkey GROUP BY 1""")
+def fanout_repeated_parent(m):
+    """The parent's entity repeats: a child meets many parents and counts once a group."""
+    customer = to_semantic_table(m.table("customer"), "customer").with_dimensions(nation=entity_dimension(_.c_nationkey), segment=_.c_mktsegment)
+    return customer.join_many(m.supplier, lambda c, s: c.c_nationkey == s.s_nationkey).group_by("customer.segment").aggregate("supplier.suppliers", "supplier.supplier_balance")
+
+
+@query("SELECT r_name AS region_name, CAST(COUNT(n_nationkey) AS BIGINT) AS nation_n FROM region LEFT JOIN nation ON r_regionkey <= n_regionkey GROUP BY 1")
+def join_by_inequality(m):
+    nation = to_semantic_table(m.table("nation"), "nation").with_measures(n=_.count())
+    return m.region.join_many(nation, lambda r, n: r.r_regionkey <= n.n_regionkey).group_by("region.name").aggregate("nation.n")
+
+
+@query("""WITH p AS (SELECT DISTINCT o_orderkey, o_totalprice, upper(o_orderstatus) || l_returnflag AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey) SELECT k AS both, ROUND(SUM(o_totalprice), 2) AS orders_revenue, CAST(COUNT(*) AS BIGINT) AS orders_n FROM p GROUP BY 1""")
+def joined_key_of_two_models(m):
+    return m.order_lines.with_dimensions(both=lambda t: t.status.upper().concat(t.flag)).group_by("both").aggregate("orders.revenue", "orders.n")
+
+
+@query("""WITH p AS (SELECT DISTINCT o_orderkey, o_orderstatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_extendedprice * 2 > o_totalprice) SELECT o_orderstatus AS orders_status, CAST(COUNT(*) AS BIGINT) AS orders_n FROM p GROUP BY 1""")
+def filter_across_models(m):
+    return m.order_lines.filter(lambda t: t.l_extendedprice * 2 > t.o_totalprice).group_by("orders.status").aggregate("orders.n")
+
+
+@query("""SELECT r_name AS region_name, CAST(COUNT(embedding) AS BIGINT) AS emb_vectors, CAST(SUM(len(embedding)) AS BIGINT) AS emb_components, ROUND(SUM(list_sum([CAST(x AS DOUBLE) FOR x IN embedding])), 2) AS emb_total FROM region LEFT JOIN embeddings ON label = r_regionkey GROUP BY 1""")
+def nested_over_join(m):
+    return m.region.join_many(m.embeddings, lambda r, e: r.r_regionkey == e.label).group_by("region.name").aggregate("emb.vectors", "emb.components", "emb.total")
+
+
+@query("SELECT p_partkey, p_size * 2 AS twice, CAST(p_size * 2 + 1 AS BIGINT) AS more FROM part WHERE p_size > 10")
+def mutate_export(m):
+    return m.part.filter(_.p_size > 10).mutate(twice=_.p_size * 2).mutate(more=(_.twice + 1).cast("int64")).to_spark().select("p_partkey", "twice", "more")
+
+
+@query(f"SELECT p_size % 5 AS rest, {_COUNT} AS parts FROM part GROUP BY 1")
+def mutate_then_group(m):
+    return m.part.mutate(rest=_.p_size % 5).group_by("rest").aggregate("parts")
+
+
+@query(f"SELECT o_orderstatus AS orders_status, {_COUNT} AS orders_n FROM orders WHERE o_totalprice > 200000 GROUP BY 1")
+def filter_after_group_by(m):
+    return m.order_lines.group_by("orders.status").filter(lambda t: t.o_totalprice > 200000).aggregate("orders.n")
+
+
+@query("""WITH d AS (SELECT o_orderpriority AS priority, ROUND(SUM(o_totalprice), 2) AS revenue FROM orders GROUP BY 1)
+    SELECT *, FIRST_VALUE(revenue) OVER w AS first_one, LAST_VALUE(revenue) OVER (ORDER BY priority ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_one FROM d WINDOW w AS (ORDER BY priority)""")
+def window_first_last(m):
+    whole = dict(order_by="priority", rows=(None, None))
+    return m.orders.group_by("priority").aggregate("revenue").mutate(first_one=_.revenue.first().over(**whole), last_one=_.revenue.last().over(**whole))
+
+
+@query(f"""WITH d AS (SELECT CAST(DATE_TRUNC('month', o_orderdate) AS TIMESTAMP) AS ordered, {_COUNT} AS n FROM orders GROUP BY 1)
+    SELECT *, ROUND(AVG(n) OVER w, 2) AS mean, MIN(n) OVER w AS low, MAX(n) OVER w AS high FROM d WINDOW w AS (ORDER BY ordered)""")
+def window_cumulative(m):
+    w = window(order_by="ordered")
+    return m.orders.query(["ordered"], ["n"], time_grain="month").mutate(mean=_.n.cummean().over(w), low=_.n.cummin().over(w), high=_.n.cummax().over(w))
+
+
+@query("""WITH d AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, CAST(COUNT(DISTINCT o_custkey) AS BIGINT) AS customers FROM orders GROUP BY 1, 2)
+    SELECT d.*, k FROM d JOIN (SELECT status, CAST(COUNT(DISTINCT customers) AS BIGINT) AS k FROM d GROUP BY 1) s ON d.status = s.status""")
+def window_distinct(m):
+    return m.orders.group_by("status", "priority").aggregate("customers").mutate(k=_.customers.nunique().over(group_by="status")).to_spark().withColumn("k", F.col("k").cast("long"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS words, CAST(FLOOR(p_retailprice) AS BIGINT) AS whole, TRY_CAST(p_brand AS INTEGER) AS none, lower(typeof(p_retailprice)) AS kind FROM part")
+def scalar_casts(m):
+    dims = dict(words=_.p_size.cast("string"), whole=_.p_retailprice.floor().cast("int64"), none=_.p_brand.try_cast("int32"), kind=_.p_retailprice.typeof())
+    return m.part.with_dimensions(**dims).group_by("p_partkey", *dims).aggregate()
+
+
+@query("SELECT p_partkey, NULLIF(p_size, 10) AS a, COALESCE(NULLIF(p_size, 10), -1) AS b, NULLIF(p_size, 10) IS NULL AS c, NULLIF(p_size, 10) IS NOT DISTINCT FROM NULL AS d, COALESCE(NULL, p_size) AS e FROM part")
+def scalar_nulls(m):
+    from . import coalesce, literal
+
+    gone = _.p_size.nullif(10)
+    dims = dict(a=gone, b=gone.fill_null(-1), c=gone.isnull(), d=gone.identical_to(None), e=coalesce(literal(None), _.p_size))
+    return m.part.with_dimensions(**dims).group_by("p_partkey", *dims).aggregate()
+
+
+@query(f"SELECT CAST(HOUR(ts) AS INTEGER) AS h, dayname(ts) AS weekday, CAST(ISODOW(ts) - 1 AS INTEGER) AS nth, CAST(DAYOFYEAR(ts) AS INTEGER) AS yday, {_COUNT} AS events FROM events GROUP BY 1, 2, 3, 4")
+def scalar_times(m):
+    dims = dict(h=_.ts.hour(), weekday=_.ts.day_of_week.full_name(), nth=_.ts.day_of_week.index(), yday=_.ts.day_of_year())
+    return m.events.with_dimensions(**dims).group_by(*dims).aggregate("events")
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS size, embedding[1] > 0 AS head, CAST(len(list_distinct(embedding)) AS INTEGER) AS different FROM embeddings")
+def scalar_arrays(m):
+    dims = dict(size=_.embedding.array_length(), head=_.embedding[0] > 0, different=_.embedding.unique().array_length())
+    return m.embeddings.with_dimensions(**dims).group_by("vec_id", *dims).aggregate()
+
+
+@query(f"SELECT o_orderstatus AS status, {_COUNT} AS n, 7 AS seven, ROUND(SUM(o_totalprice) / 7, 2) AS part FROM orders GROUP BY 1")
+def constant_measure(m):
+    from . import literal
+
+    return m.orders.with_measures(seven=literal(7), part=lambda t: t.revenue / 7).group_by("status").aggregate("n", "seven", "part")
+
+
+@query("SELECT o_orderstatus AS status, ROUND(100 * SUM(o_totalprice) / (SELECT SUM(o_totalprice) FROM orders), 2) AS pct FROM orders GROUP BY 1")
+def total_of_a_column(m):
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return m.orders.group_by("status").aggregate(pct=lambda t: 100 * t.o_totalprice.sum() / t.all("o_totalprice"))
+
+
+@query(f"SELECT o_orderpriority AS priority, {_COUNT} AS n FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 50000) GROUP BY 1 HAVING COUNT(*) > 5")
+def filter_not(m):
+    return m.orders.filter(~((_.status == "F") | (_.o_totalprice < 50000))).group_by("priority").aggregate("n").filter(_.n > 5)
+
+
+@query(f"SELECT c_mktsegment AS customer_segment, {_COUNT} AS orders_n, ROUND(SUM(o_totalprice), 2) AS orders_revenue FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1")
+def serialized_join(m):
+    from .expr import serialize
+
+    data = serialize.model_to_data(m.order_customers.filter(_.o_totalprice > 1000))
+    again = serialize.model_from_data(data, {"orders": m.table("orders"), "customer": m.table("customer")})
+    return again.group_by("customer.segment").aggregate("orders.n", "orders.revenue")
+
+
+@query("SELECT CAST(COUNT(*) AS BIGINT) AS groups, ROUND(MAX(revenue), 2) AS best FROM (SELECT o_custkey, SUM(o_totalprice) AS revenue FROM orders GROUP BY 1)")
+def result_as_table(m):
+    return m.orders.group_by("o_custkey").aggregate("revenue").as_table().with_measures(groups=_.count(), best=_.revenue.max()).pipe(lambda t: t.aggregate("groups", "best"))
+
+
+@query(f"SELECT o_orderstatus AS orders_status, c_mktsegment AS customer_segment, {_COUNT} AS orders_n, ROUND(SUM(o_totalprice) / COUNT(*), 2) AS per_one FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
+def text_expressions_over_join(m):
+    from . import parse
+
+    return m.order_customers.with_measures(per_one=parse("_['orders.revenue'] / _['orders.n']")).group_by("orders.status", "customer.segment").aggregate("orders.n", "per_one")
+
+
+@query("SELECT 'segment' AS fieldName, 'customer.segment' AS fieldPath, 'string' AS fieldType, c_mktsegment AS fieldValue, CAST(COUNT(*) AS BIGINT) AS weight FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment UNION ALL SELECT 'status', 'orders.status', 'string', o_orderstatus, CAST(COUNT(*) AS BIGINT) FROM orders GROUP BY o_orderstatus")
+def index_over_join(m):
+    return m.order_customers.index(["customer.segment", "orders.status"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import urllib.error
+import urllib.request
 from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import BackendError, DefinitionError
 
 _VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}|\$([A-Za-z_][A-Za-z0-9_]*)")
+MOST_YAML = 10 << 20
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json", ".orc": "orc", ".avro": "avro", ".txt": "text"}
 
 
@@ -40,10 +43,16 @@ def read_yaml(path: str | Path) -> dict[str, Any]:
     import yaml
 
     try:
-        with open(path, encoding="utf-8") as f:
-            got = yaml.safe_load(f)
+        if str(path).startswith(("http://", "https://")):
+            with urllib.request.urlopen(str(path), timeout=30) as f:
+                got = yaml.safe_load(f.read(MOST_YAML + 1)[:MOST_YAML].decode("utf-8"))
+        else:
+            with open(path, encoding="utf-8") as f:
+                got = yaml.safe_load(f)
     except FileNotFoundError as e:
         raise DefinitionError(f"no file {str(path)!r}") from e
+    except (urllib.error.URLError, TimeoutError) as e:
+        raise DefinitionError(f"{str(path)!r} can't be read: {e}") from e
     except yaml.YAMLError as e:
         raise DefinitionError(f"{str(path)!r} isn't YAML: {e}") from e
     if not isinstance(got, dict):
@@ -65,13 +74,23 @@ class Connection:
     def list_tables(self) -> list[str]:
         named = list(self.profile.get("tables") or {})
         if folder := self.profile.get("path"):
-            named += sorted(p.name.split(".")[0] for p in self._at(folder).iterdir() if p.suffix in FORMATS)
+            named += sorted(n.split(".")[0] for n in self._names(folder) if Path(n).suffix in FORMATS)
         if not named and self.kind == "spark":
             named = [t.name for t in self.spark.catalog.listTables(self.profile.get("database"))]
         return list(dict.fromkeys(named))
 
-    def _at(self, path: str) -> Path:
-        return Path(path) if Path(path).is_absolute() else self.base / path
+    def _at(self, path: str) -> str:
+        """A path relative to the profile's file; URIs stay as they are."""
+        return path if "://" in path or Path(path).is_absolute() else str(self.base / path)
+
+    def _names(self, folder: str) -> list[str]:
+        """What lies in a folder, of this machine or of any file system that Spark knows."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self._at(folder))
+        try:
+            return [s.getPath().getName() for s in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)]
+        except Exception as e:
+            raise BackendError(f"folder {folder!r} can't be listed: {str(e).splitlines()[0]}") from e
 
     def table(self, name: str, database: str | list[str] | None = None) -> DataFrame:
         tables = self.profile.get("tables") or {}
@@ -79,9 +98,10 @@ class Connection:
             if name in tables and database is None:
                 return self._read(tables[name])
             if database is None and (folder := self.profile.get("path")):
+                there = set(self._names(folder))
                 for suffix in FORMATS:
-                    if (found := self._at(folder) / f"{name}{suffix}").exists():
-                        return self._read(str(found))
+                    if f"{name}{suffix}" in there:
+                        return self._read(f"{self._at(folder).rstrip('/')}/{name}{suffix}")
             if self.kind == "jdbc":
                 return self.spark.read.format("jdbc").options(**self.profile.get("options", {})).option("dbtable", name).load()
             parts = [database] if isinstance(database, str) else list(database or ([self.profile["database"]] if self.profile.get("database") else []))
@@ -101,8 +121,7 @@ class Connection:
         reader = self.spark.read.format(kind).options(**{"header": "true"} if kind == "csv" else {}).options(**spec.get("options", {}))
         if spec.get("schema"):
             reader = reader.schema(spec["schema"])
-        local = "://" not in str(source)
-        return reader.load(str(self._at(source)) if local else source)
+        return reader.load(self._at(str(source)))
 
 
 def get_connection(spark: SparkSession, profile: str | Mapping[str, Any] | Connection | None = None, profile_file: str | Path | None = None) -> Connection:

@@ -18,7 +18,7 @@ from .profiles import Connection, get_connection, read_yaml
 
 _MODEL = {"table", "description", "database", "dimensions", "measures", "calculated_measures", "joins", "filter", "profile"}
 _JOIN = {"model", "type", "left_on", "right_on", "alias", "how"}
-_DIMENSION = {"expr", "description", "is_entity", "is_time_dimension", "is_event_timestamp", "smallest_time_grain", "derived_dimensions", "metadata"}
+_DIMENSION = {"expr", "description", "is_entity", "is_time_dimension", "is_event_timestamp", "smallest_time_grain", "derived_dimensions", "metadata", "is_unique"}
 _MEASURE = {"expr", "description", "metadata"}
 
 
@@ -129,5 +129,5 @@ def _joined(name: str, model: SemanticTable, alias: str, join: Mapping[str, Any]
 
 
 def from_yaml(path: str | Path, tables: Mapping[str, Any] | None = None, profile: Any = None, profile_path: str | None = None, spark: SparkSession | None = None) -> dict[str, SemanticTable]:
-    """The models of a YAML file."""
+    """The models of a YAML file, local or by an http(s) URL."""
     return from_config(read_yaml(path), tables, profile, profile_path, spark)
