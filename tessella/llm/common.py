@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +36,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _WRITTEN: set[str] = set()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and safe from lost executors. drop() or release() removes it."""
+def written(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
+    """df as a table in the shared folder: computed once, and safe from lost executors. drop() removes it and, unless scratch is false, scratch() or release()."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.add(path)
+    if scratch:
+        _WRITTEN.add(path)
     table = df.sparkSession.read.parquet(path)
     table._tessella_path = path
     return table
@@ -57,6 +60,17 @@ def drop(*tables: DataFrame) -> None:
             _remove(t.sparkSession, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that were written inside and that drop() hasn't removed; results must have been stored by then."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in sorted(_WRITTEN - before):
+            _remove(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Removes all tables that results of this session still read; for when those have been used."""
     for path in sorted(_WRITTEN):

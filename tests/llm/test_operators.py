@@ -898,6 +898,92 @@ def test_nulls_in_every_column_and_repeated_rows(spark):
     assert simhash.deduplicate(df).count() == 2
 
 
+def rows_of(sf):
+    return dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
+
+
+def test_op1_query_packs_every_id_once(spark):
+    t, known = tokenizer(), rows_of(SF)
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in known.items()}
+    got, used = {}, {}
+    for r in registered.op1_packing(spark, SF).collect():
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)) and len(ids) == r.length > 0
+        got.setdefault(r.doc_id, []).append((r.start, r.length))
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, ids in want.items():
+        at = 0
+        for start, length in sorted(got[i]):
+            assert start == at
+            at += length
+        assert at == len(ids)
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    total = sum(map(len, want.values()))
+    assert len(used) * 4096 < total + 4096 + 0.02 * total
+
+
+def test_op3_query_equals_the_library(spark):
+    t, known = tokenizer(), rows_of(SF)
+    got = {r.doc_id: r for r in registered.op3_bpe(spark, SF).collect()}
+    assert len(got) == len(known)
+    for i, x in known.items():
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_op7_query_is_even_and_gapless(spark):
+    known, at, size = rows_of(SF), {}, [0] * 8
+    for r in registered.op7_sharding(spark, SF).collect():
+        raw = (known[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        at.setdefault(r.shard, []).append(r.slot)
+        size[r.shard] += r.size
+    assert sorted(at) == list(range(8)) and all(sorted(s) == list(range(len(s))) for s in at.values()) and sum(map(len, at.values())) == len(known)
+    assert max(size) - min(size) < 0.05 * sum(size)
+
+
+def test_op9_query_scores_every_document(spark):
+    known = rows_of(SF)
+    got = {r.doc_id: r for r in registered.op9_quality(spark, SF).collect()}
+    assert set(got) == set(known)
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+
+
+def test_op10_query_equals_all_pairs(spark):
+    known = rows_of(SF)
+    texts_ = sorted({x or "" for x in known.values()})
+    near = near_pairs(texts_)
+    at = {x: n for n, x in enumerate(texts_)}
+    got = {r.doc_id: r for r in registered.op10_simhash(spark, SF).collect()}
+    assert set(got) == set(known)
+    found, there = sum(r.n_links for r in got.values()), sum(int(near[at[x or ""]].sum()) - 1 for x in known.values())
+    assert 0.97 * there <= found <= there
+    for i, x in known.items():
+        assert got[i].n_links <= near[at[x or ""]].sum() - 1 and got[i].class_id <= i and got[got[i].class_id].class_id == got[i].class_id
+
+
+def test_pipeline_run_leaves_one_table(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(common, "checkpoint_dir", lambda spark: str(tmp_path))
+    out = corpus_pipeline.run(spark, SF)
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"pipeline-secrets"}
+    kept = spark.read.parquet(str(next(tmp_path.iterdir())))
+    t = tokenizer()
+    want = {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in kept.collect()}
+    sums = {}
+    for r in out.collect():
+        sums[r.doc_id] = sums.get(r.doc_id, 0) + r.length
+    assert sums == want and 0 < len(want) < len(rows_of(SF))
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     import corpus_pipeline
 
