@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import packing, quality_mil, quality_rules, secrets, simhash
-from tessella.llm.common import bounded_batches, shared_path, table
+from tessella.llm.common import bounded_batches, drop, scratch, table, written
 from tessella.llm.queries import vocabulary
 
 
@@ -59,10 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. A stage's table goes when the next has been written, what an operator wrote for itself with its stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before = docs
+        with scratch(spark):
+            kept = written(stage(spark, docs, sf_dir), f"pipeline-{name}", scratch=False)
+        docs = kept
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
