@@ -31,6 +31,8 @@ from .common import col
 #: About so many rows, drawn at random over the whole table, are what the order is measured on; longer ones are left out: some 32 MB at most go to the driver.
 SAMPLE_ROWS = 512
 SAMPLE_BYTES = 1 << 16
+#: Texts whose words are held at once; it bounds memory only.
+BLOCK = 250
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -225,8 +227,8 @@ def judge(text: Column, cascade: list[Rule]) -> Column:
         for batch in batches:
             rows = []
             texts = batch.to_pylist()
-            for at in range(0, len(texts), 1000):
-                pages = counts(texts[at : at + 1000])
+            for at in range(0, len(texts), BLOCK):
+                pages = counts(texts[at : at + BLOCK])
                 bad = list(map(base_failed, pages))
                 rest = iter(survivors([p for p, b in zip(pages, bad) if not b], cascade))
                 for p, b in zip(pages, bad):
@@ -247,8 +249,8 @@ def passes(text: Column, cascade: list[Rule]) -> Column:
         for batch in batches:
             texts = batch.to_pylist()
             out: list[bool] = []
-            for at in range(0, len(texts), 1000):
-                out += [why is None for why in survivors(list(map(Page, texts[at : at + 1000])), cascade)]
+            for at in range(0, len(texts), BLOCK):
+                out += [why is None for why in survivors(list(map(Page, texts[at : at + BLOCK])), cascade)]
             yield pa.array(out, pa.bool_())
 
     return kept(text)
