@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import QueryError, UnknownFieldError
-from .expr.nodes import Attr, Bound, Call, Expr, Field, Lit, SortKey, walk
+from .expr.nodes import Attr, Bound, Call, Expr, Field, Lit, MeasureRef, Over, SortKey, Total, WinFunc, as_expr, walk
 from .model import GRAIN_ORDER, Grouped, Result, SemanticTable, check_limit, grain
 from .functions.aggregate import sort_column
 from .plans.planner import Planner, aggregate, scalar
@@ -172,6 +173,50 @@ def query(
     return out.limit(limit) if limit is not None else out
 
 
+def _apart(a: list[Expr], b: list[Expr]) -> bool:
+    """Whether two spans of time, each as its two comparisons, share no moment."""
+    (low, high), (other_low, other_high) = ([f.args[1].value for f in x] for x in (a, b))
+    try:
+        return high < other_low or other_high < low or high == other_low and a[1].func == "<" or other_high == low and b[1].func == "<"
+    except TypeError:  # a time zone in one of them only
+        return False
+
+
+def _of_groups(tree: Tree, name: str) -> bool:
+    """Whether a measure, with all that it refers to, reads its own group alone."""
+    known, work, seen = tree.measure_names(), [name], set()
+    while work:
+        n = work.pop()
+        if n in seen:
+            continue
+        seen.add(n)
+        leaf, m = known[n]
+        for x in walk(tree.bind_measure(as_expr(m.expr), leaf, n, m.prefer_measures)):
+            if isinstance(x, (Total, Over, WinFunc)):
+                return False
+            if isinstance(x, MeasureRef):
+                work.append(x.measure)
+    return True
+
+
+def _side_by_side(model: SemanticTable, named: list[str], asked: list[str], filters: list[Any], now: list[Expr], then: list[Expr]) -> DataFrame:
+    """Measures of two spans that share no moment from one pass: the span is a further group key."""
+    both = [Call("&", tuple(span)) for span in (now, then)]
+    grouped = query(model.with_dimensions(__now=both[0]), [*named, "__now"], asked, [*filters, Call("|", tuple(both))]).to_spark()
+    pick = lambda m, which: F.first(F.when(quoted("__now") == which, quoted(m)), ignorenulls=True)  # noqa: E731  # one row each
+    return grouped.groupBy(*[quoted(d) for d in named]).agg(*[pick(m, True).alias(f"{m}_current") for m in asked], *[pick(m, False).alias(f"{m}_previous") for m in asked])
+
+
+def _outer_joined(named: list[str], asked: list[str], now: DataFrame, then: DataFrame) -> DataFrame:
+    """Measures of two spans from a query each."""
+    now = now.select(*[quoted(d).alias(d) for d in named], *[quoted(m).alias(f"{m}_current") for m in asked])
+    then = then.select(*[quoted(d).alias(f"__previous_{d}") for d in named], *[quoted(m).alias(f"{m}_previous") for m in asked])
+    if not named:
+        return now.crossJoin(F.broadcast(then))  # one row each
+    on = reduce(lambda a, b: a & b, [quoted(d).eqNullSafe(quoted(f"__previous_{d}")) for d in named])
+    return now.join(then, on, "full_outer").select(*[F.coalesce(quoted(d), quoted(f"__previous_{d}")).alias(d) for d in named], *[quoted(f"{m}_current") for m in asked], *[quoted(f"{m}_previous") for m in asked])
+
+
 def compare_periods(
     model: SemanticTable,
     dimensions: Sequence[str] = (),
@@ -201,19 +246,12 @@ def compare_periods(
         if not candidates:
             raise QueryError("compare_periods needs a time dimension; declare one or name it")
         time = candidates[0]
-    sides = []
-    for span in (current_time_range, previous_time_range):
-        part = query(model, named, asked, [*(filters or []), *range_filters(time, span)], time_grain=time_grain, time_grains=time_grains)
-        sides.append(part.to_spark())
-    now = sides[0].select(*[quoted(d).alias(d) for d in named], *[quoted(m).alias(f"{m}_current") for m in asked])
-    then = sides[1].select(*[quoted(d).alias(f"__previous_{d}") for d in named], *[quoted(m).alias(f"{m}_previous") for m in asked])
-    if named:
-        on = reduce(lambda a, b: a & b, [quoted(d).eqNullSafe(quoted(f"__previous_{d}")) for d in named])
-        df = now.join(then, on, "full_outer").select(
-            *[F.coalesce(quoted(d), quoted(f"__previous_{d}")).alias(d) for d in named], *[quoted(f"{m}_current") for m in asked], *[quoted(f"{m}_previous") for m in asked]
-        )
+    spans = [range_filters(time, span) for span in (current_time_range, previous_time_range)]
+    if named and time_grain is None and time_grains is None and not tree.joined and _apart(*spans) and all(_of_groups(tree, m) for m in asked):
+        df = _side_by_side(model, named, asked, list(filters or []), *spans)
     else:
-        df = now.crossJoin(F.broadcast(then))  # one row each
+        sides = [query(model, named, asked, [*(filters or []), *span], time_grain=time_grain, time_grains=time_grains).to_spark() for span in spans]
+        df = _outer_joined(named, asked, *sides)
     zero = F.lit(0)
     delta = {m: F.coalesce(quoted(f"{m}_current"), zero) - F.coalesce(quoted(f"{m}_previous"), zero) for m in asked}
     df = df.select(

@@ -145,3 +145,22 @@ def test_arrays_below_structs_below_arrays(spark):
     data = [(1, [{"box": {"items": [{"v": 1}, {"v": 2}]}}, {"box": {"items": [{"v": 3}]}}]), (2, [{"box": {"items": []}}]), (3, None)]
     t = to_semantic_table(spark.createDataFrame(data, "k int, parts array<struct<box:struct<items:array<struct<v:int>>>>>"), "t").with_measures(total=_.parts.box.items.v.sum(), n=_.parts.box.items.count(), parts_n=_.parts.count())
     assert rows(t.group_by("k").aggregate("total", "n", "parts_n")) == [(1, 6, 3, 2), (2, None, 0, 1), (3, None, 0, 0)]
+
+
+def test_periods_from_one_pass_equal_two(spark, monkeypatch):
+    import importlib
+
+    module = importlib.import_module("tessella.query")
+
+    data = [("a", f"2024-01-{d:02d}", v) for d, v in ((1, 1), (2, 2), (9, 4), (12, 8), (20, 16))] + [("b", "2024-01-03", 5), ("c", "2024-01-15", 7), (None, "2024-01-02", 3), (None, "2024-01-16", 6), ("d", "2024-03-01", 9)]
+    t = to_semantic_table(spark.createDataFrame(data, "k string, at string, v int").selectExpr("k", "to_timestamp(at) AS at", "v"), "t")
+    t = t.with_dimensions(k=_.k, at={"expr": _.at, "is_time_dimension": True, "smallest_time_grain": "day"}).with_measures(n=_.count(), total=_.v.sum(), mid=_.v.median(), per=lambda t: t.total / t.n, share=lambda t: t.total / t.all(t.total))
+    ask = dict(dimensions=["k"], current_time_range={"start": "2024-01-11", "end": "2024-01-20"}, previous_time_range={"start": "2024-01-01", "end": "2024-01-10"})
+    scans = lambda r: r.to_spark()._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    one = t.compare_periods(measures=["n", "total", "mid", "per"], **ask)
+    shared = t.compare_periods(measures=["share"], **ask)
+    late = t.compare_periods(measures=["n"], **{**ask, "previous_time_range": {"start": "2024-01-01", "end": "2024-01-11"}})
+    assert (scans(one), scans(late)) == (1, 2) and scans(shared) > 1
+    monkeypatch.setattr(module, "_apart", lambda *a: False)
+    two = t.compare_periods(measures=["n", "total", "mid", "per"], **ask)
+    assert two.columns == one.columns and rows(two) == rows(one) and len(rows(one)) == 4
