@@ -34,14 +34,14 @@ from .common import col, drop, written
 
 CELL = 8192
 #: Numbers of trees to choose from.
-TREES = (8, 16, 32)
+TREES = (8, 16, 32, 48)
 MOST_TREES = TREES[-1]
-RECALL = 0.96
-SAMPLE_QUERIES = 64
+RECALL = 0.95
+SAMPLE_QUERIES = 128
 #: Longer common prefixes count as so many bits.
 LEVELS = 48
 #: Sending a row to one tree costs about as much as comparing so many pairs.
-ENTRY_PAIRS = 400
+ENTRY_PAIRS = 20
 #: Crowded cells are sent to workers as a list of at most so many entries; beyond it, the limit that makes a cell crowded doubles.
 MOST_CROWDED = 50_000
 _HIT = "query_id long, vec_id long, score double"
@@ -171,7 +171,15 @@ def plan_forest(shared: np.ndarray, of: np.ndarray, totals: np.ndarray, rows: in
     best = None
     for n, trees in enumerate(TREES):
         level = np.minimum(shared[:, :trees].max(axis=1), LEVELS)
-        wanted = max(1, int(np.quantile(totals[of, n, level], recall, method="higher")))
+        sizes = np.unique(totals[:, n])
+        low, high = 0, len(sizes) - 1  # the least size that finds enough: more wanted, more found
+        while low < high:
+            middle = (low + high) // 2
+            if (level >= stops(totals[:, n], max(1, int(sizes[middle])))[of]).mean() >= recall:
+                high = middle
+            else:
+                low = middle + 1
+        wanted = max(1, int(sizes[high]))
         stop = stops(totals[np.unique(of), n], wanted)
         cost = trees * rows * ENTRY_PAIRS + queries * float(totals[np.unique(of), n, stop].mean())
         if best is None or cost < best[0]:
