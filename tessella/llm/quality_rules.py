@@ -39,8 +39,32 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,base_failed:boolean,kept:boolean,rejected_by:string>"
 
 
+#: Odd multipliers of the hash of a window.
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+
+
+def _equal_windows(ids: np.ndarray, texts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number for each window of five ids that starts there, equal for equal windows of one text and for no others."""
+    word = ids.astype(np.uint64)
+    mixed = texts[starts].astype(np.uint64) * _MIX[5]
+    for k in range(5):
+        mixed += word[starts + k] * _MIX[k]
+        mixed ^= mixed >> np.uint64(29)
+    number = pd.factorize(mixed)[0]
+    first = np.empty(int(number.max()) + 1, np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    other = np.flatnonzero(first[number] != np.arange(len(number)))
+    mine, theirs = starts[other], starts[first[number[other]]]
+    if (texts[mine] == texts[theirs]).all() and all((ids[mine + k] == ids[theirs + k]).all() for k in range(5)):
+        return number  # no two windows share a hash by chance
+    number = texts[starts]
+    for k in range(5):
+        number = pd.factorize(number * (int(ids.max()) + 1) + ids[starts + k])[0].astype(np.int64)
+    return number
+
+
 def repeated_words(words: list[list[bytes]]) -> list[int]:
-    """For each text, how many words lie in 5-word windows that its text holds twice or more (the first included); exact, no hashing."""
+    """For each text, how many words lie in 5-word windows that its text holds twice or more (the first included); exact: hashes are verified."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     total = int(sizes.sum())
     covered = np.zeros(total + 1, np.int64)
@@ -48,17 +72,10 @@ def repeated_words(words: list[list[bytes]]) -> list[int]:
         flat = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
         ids = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         texts = np.repeat(np.arange(len(words)), sizes)
-
-        def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-            return pd.factorize(left * (int(right.max()) + 1) + right)[0].astype(np.int64)
-
-        two = paired(ids[:-1], ids[1:])
-        four = paired(two[:-2], two[2:])
-        five = paired(four[:-1], ids[4:])
-        inside = np.flatnonzero(texts[: len(five)] == texts[4:])
-        if len(inside):
-            keyed = pd.factorize(five[inside] * len(words) + texts[inside])[0]
-            many = inside[np.bincount(keyed)[keyed] >= 2]
+        starts = np.flatnonzero(texts[:-4] == texts[4:])
+        if len(starts):
+            number = _equal_windows(ids, texts, starts)
+            many = starts[np.bincount(number)[number] >= 2]
             np.add.at(covered, many, 1)
             np.add.at(covered, many + 5, -1)
     ends = np.cumsum(sizes)
@@ -72,9 +89,17 @@ class Page:
     def __init__(self, text: str | None):
         self.text = text or ""
 
+    @cached_property
+    def raw(self) -> bytes:
+        return self.text.encode("utf-8", "surrogatepass")
+
+    def holds(self, ascii: str) -> int:
+        """How many of its characters are among these ASCII ones."""
+        return len(self.raw) - len(self.raw.translate(None, ascii.encode()))
+
     @cached_property
     def words(self) -> list[bytes]:
-        return self.text.encode("utf-8", "surrogatepass").split()
+        return self.raw.split()
 
     @cached_property
     def n_words(self) -> int:
@@ -82,11 +107,11 @@ class Page:
 
     @cached_property
     def word_chars(self) -> int:
-        return len(self.text) - sum(map(self.text.count, SPACE))
+        return len(self.text) - self.holds(SPACE)
 
     @cached_property
     def n_symbols(self) -> int:
-        return sum(map(self.text.count, SYMBOLS))
+        return self.holds(SYMBOLS)
 
     @cached_property
     def n_dup_lines(self) -> int:
@@ -128,10 +153,15 @@ class Rule:
 _NO_LETTER = re.compile("[\u2160-\u216f\u24b6-\u24cf\U0001f130-\U0001f149\U0001f150-\U0001f169\U0001f170-\U0001f189]")
 
 
+_NO_ASCII = re.compile("[^\x00-\x7f]")
+
+
 def _shouting(p: Page) -> bool:
-    upper = sum(map(str.isupper, p.text))
-    if 2 * upper > p.word_chars and not p.text.isascii():
-        upper -= len(_NO_LETTER.findall(p.text))
+    upper = p.holds("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    if len(p.raw) != len(p.text):
+        upper += sum(map(str.isupper, _NO_ASCII.findall(p.text)))
+        if 2 * upper > p.word_chars:
+            upper -= len(_NO_LETTER.findall(p.text))
     return 2 * upper > p.word_chars
 
 
@@ -148,7 +178,7 @@ RULES = (
     Rule("exclamations", lambda p: 4 * p.text.count("!") > p.n_words),
     Rule("word_length", lambda p: not 2 * p.n_words <= p.word_chars <= 25 * p.n_words),
     Rule("repeated_lines", lambda p: p.n_dup_lines >= 3 and 2 * p.n_dup_lines > p.text.count("\n") + 1),
-    Rule("digits", lambda p: sum(map(p.text.count, "0123456789")) * 2 > p.word_chars),
+    Rule("digits", lambda p: p.holds("0123456789") * 2 > p.word_chars),
     Rule("shouting", _shouting),
     Rule("stuttering", _stuttering),
 )

@@ -179,6 +179,15 @@ def test_quality_counts_equal_brute_force(spark, texts):
     assert quality_rules.quality_filter(df.limit(0)).collect() == []
 
 
+def test_repeated_words_are_exact_when_hashes_collide(texts, monkeypatch):
+    some = [t for t in texts if t][:150]
+    words = [t.encode().split() for t in some]
+    want = [brute_counts(t)[4] for t in some]
+    assert quality_rules.repeated_words(words) == want
+    monkeypatch.setattr(quality_rules, "_MIX", (np.uint64(0),) * 6)
+    assert quality_rules.repeated_words(words) == want
+
+
 def test_quality_cascade_counts_nothing_for_rejected_texts():
     seen = []
     rules = [quality_rules.Rule("a", lambda p: "a" in p.text), quality_rules.Rule("b", lambda p: seen.append(p.text) or p.n_words > 2)]
@@ -196,6 +205,11 @@ def test_upper_case_is_that_of_the_category():
 
     odd = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper() != (unicodedata.category(c) == "Lu")]
     assert odd and all(quality_rules._NO_LETTER.fullmatch(c) for c in odd)
+    shouting = next(r.rejects for r in quality_rules.RULES if r.name == "shouting")
+    rng = random.Random(1)
+    for _ in range(2000):
+        t = "".join(rng.choices("aAbBéÉßǅΣσ\u2167\u24b6Ж 1\n日", k=rng.randint(0, 9)))
+        assert shouting(quality_rules.Page(t)) == (2 * sum(unicodedata.category(c) == "Lu" for c in t) > len(re.sub("[ \n]", "", t)))
     assert quality_rules._NO_LETTER.findall("AÉ\u2167\u24b6x") == ["\u2167", "\u24b6"]
 
 
