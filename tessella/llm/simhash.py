@@ -32,8 +32,8 @@ BITS = 256
 DISTANCE = 52
 SHORT_DISTANCE = 36
 FEW_WORDS = (8, 64)
-LEAST_TRIES, MOST_TRIES = 16, 128
-DEEPEST = 16
+LEAST_TRIES, MOST_TRIES = 16, 512
+DEEPEST = 22
 RECALL = 0.98
 #: Sending an entry costs about as much as comparing so many pairs.
 ENTRY_PAIRS = 2000
@@ -95,9 +95,9 @@ def signature(text: Column) -> Column:
 def leaves(sigs: np.ndarray, depth: int, tries: int) -> np.ndarray:
     """Per signature (rows of 33 bytes, the last no bits of it) and trie the leaf: depth permuted bits as a number."""
     bits = np.unpackbits(np.ascontiguousarray(sigs[:, :32]), axis=1)
-    out = np.zeros((len(sigs), tries), np.uint16)
+    out = np.zeros((len(sigs), tries), np.uint32)
     for order in ORDERS[:tries, :depth].T:
-        out = (out << np.uint16(1)) | bits[:, order]
+        out = (out << np.uint32(1)) | bits[:, order]
     return out
 
 
@@ -122,8 +122,8 @@ def _sig_rows(array: pa.Array) -> np.ndarray:
 
 
 def _keys(depth: int, tries: int) -> Column:
-    """The leaves of a signature in all tries, as numbers trie << 16 | leaf."""
-    trie = np.arange(tries, dtype=np.int32) << 16
+    """The leaves of a signature in all tries, as numbers trie << DEEPEST | leaf, which 31 bits hold."""
+    trie = np.arange(tries, dtype=np.int32) << DEEPEST
 
     @F.arrow_udf("array<int>")
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -185,7 +185,7 @@ def _links(depth: int, tries: int, distance: int, blocks: bool):
             nonlocal label
             rows, at = np.unique(np.concatenate((i, j)), return_inverse=True)
             leaf = leaves(sig[rows], depth, tries)
-            first = (leaf[at[: len(i)]] == leaf[at[len(i) :]]).argmax(axis=1) == key[i] >> 16  # the first trie in which the two meet counts the link
+            first = (leaf[at[: len(i)]] == leaf[at[len(i) :]]).argmax(axis=1) == key[i] >> DEEPEST  # the first trie in which the two meet counts the link
             i, j = i[first], j[first]
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
@@ -215,7 +215,7 @@ def _links(depth: int, tries: int, distance: int, blocks: bool):
             for pairs in _near_pairs(words, limit, a, b):
                 pending.append(pairs)
                 waiting += len(pairs[0])
-                if waiting >= 1 << 16:
+                if waiting * tries >= 1 << 20:
                     link(*map(np.concatenate, zip(*pending)))
                     pending, waiting = [], 0
         if waiting:

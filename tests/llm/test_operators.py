@@ -848,7 +848,7 @@ def test_simhash_dense_leaves_of_different_copies_lose_no_link(spark, monkeypatc
     assert near.sum() - len(texts) >= sum(r.n_links for r in got.values()) >= simhash.RECALL * (near.sum() - len(texts))
 
 
-@pytest.mark.parametrize("size", [1000, 50_000, 260_000, 10_000_000])
+@pytest.mark.parametrize("size", [1000, 50_000, 260_000, 10_000_000, 10_000_000_000])
 def test_simhash_recall_does_not_fall_with_size(size):
     depth, tries = simhash.plan_forest(size, simhash.DISTANCE)
     assert 1 <= depth <= simhash.DEEPEST and simhash.LEAST_TRIES <= tries <= simhash.MOST_TRIES
