@@ -104,12 +104,12 @@ def leaves(sigs: np.ndarray, depth: int, tries: int) -> np.ndarray:
 def plan_forest(texts: int, distance: int) -> tuple[int, int]:
     """Depth and number of tries: those with the target recall at this distance that cost least for so many texts evenly spread.
 
-    A pair at the distance agrees in each of depth bits with probability 1 - distance / BITS, and must do so in one trie at least.
+    A pair at the distance agrees in all of depth different bits with a probability that falls with each, and must do so in one trie at least.
     """
-    agree = 1 - distance / BITS
-    best = None
+    hit, best = 1.0, None
     for depth in range(1, DEEPEST + 1):
-        miss = 1 - agree**depth
+        hit *= (BITS - distance - depth + 1) / (BITS - depth + 1)
+        miss = 1 - hit
         tries = max(LEAST_TRIES, math.ceil(math.log(1 - RECALL) / math.log(miss)) if miss > 0 else 1)
         cost = tries * (ENTRY_PAIRS + texts / 2 ** (depth + 1))
         if tries <= MOST_TRIES and (best is None or cost < best[0]):
