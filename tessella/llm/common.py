@@ -100,12 +100,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of long texts that go to Python at once; it bounds a worker's memory, and results don't depend on it.
 TEXT_BATCH = 1000
+#: Bytes that go to Python at once, but for a longer text, which goes alone.
+TEXT_BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most TEXT_BATCH rows from here on in this session."""
+    """Arrow batches of at most TEXT_BATCH rows and about TEXT_BATCH_BYTES from here on in this session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

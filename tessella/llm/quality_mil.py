@@ -5,8 +5,8 @@ kinds of characters, repetition, and hashed n-grams, namely how much more often
 in bad ones and in random letters. Gated attention learns, from labels of whole documents alone, how much each passage counts; the
 score is that of the attention-weighted passage representation. Every passage of every text is encoded and scored.
 
-The model is fitted on at most ``TRAIN_ROWS`` labelled documents (chosen by a hash of the id), each with all its passages; that number is a
-parameter and bounds the driver's memory. Scoring has no such limit. n-gram counts of either half of these documents serve the other half in
+The model is fitted on at most ``TRAIN_ROWS`` labelled documents (chosen by a hash of the id), each with all its passages, however long it is: their
+features wait in a file of the driver, and gradients are taken over ``CHUNK`` passages at a time, which bounds the driver's memory. Scoring has no such limit. n-gram counts of either half of these documents serve the other half in
 training, so that none is judged by its own words; in scoring both count. Good documents with their letters drawn at random or exchanged, and
 the empty text, teach as bad ones, since labelled bad documents show only some ways of being bad.
 
@@ -17,7 +17,8 @@ repeated rows get equal scores. Labels, language, source and id are never inputs
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import blocks, sliced
-from .common import col, drop, written
+from .common import bounded_batches, col, drop, written
 
 PASSAGE = 64
 TRAIN_ROWS = 4096
+#: Passages whose gradient is taken at once; a longer text is walked twice. It bounds memory only, as do the next two.
+CHUNK = 16_384
+#: Bytes of training texts that a worker encodes at once, and bytes of features that go to the driver at once.
+BLOCK_BYTES = 4_000_000
+SENT_BYTES = 16_000_000
 THRESHOLD = 0.7
 #: Classes of bytes: space, line end, lower, upper, digit, symbol, exclamation, other ASCII, lead byte, later byte.
 _CLASS = np.full(256, 7, np.uint8)
@@ -221,40 +227,96 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, offsets: np.ndarray) -> di
     return {"x": x, "h": h, "v": gate_v, "u": gate_u, "alpha": alpha, "z": z, "p": p, "owner": owner}
 
 
-def _gradient(w: dict[str, np.ndarray], x: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+def _gradient(w: dict[str, np.ndarray], x: np.ndarray, offsets: np.ndarray, y: np.ndarray, of: int | None = None) -> dict[str, np.ndarray]:
+    """The gradient of the loss of whole bags, as a part of a batch of so many bags (these alone by default)."""
     f = _forward(w, x, offsets)
-    delta = (f["p"] - y) / len(y)
-    dz = delta[:, None] * w["c"]
-    own = f["owner"]
-    dh = f["alpha"][:, None] * dz[own]
-    da = (f["h"] * dz[own]).sum(axis=1)
-    de = f["alpha"] * (da - np.add.reduceat(f["alpha"] * da, offsets[:-1])[own])
-    g = f["v"] * f["u"]
-    dv = de[:, None] * w["a"] * f["u"] * (1 - f["v"] ** 2)
-    du = de[:, None] * w["a"] * f["v"] * f["u"] * (1 - f["u"])
-    dh = (dh + dv @ w["v"].T + du @ w["u"].T) * (1 - f["h"] ** 2)
-    return {"w": f["x"].T @ dh, "b": dh.sum(axis=0), "v": f["h"].T @ dv, "u": f["h"].T @ du, "a": g.T @ de, "c": f["z"].T @ delta, "d": np.array([delta.sum()])}
+    delta = (f["p"] - y) / (of or len(y))
+    dz = (delta[:, None] * w["c"])[f["owner"]]
+    da = (f["h"] * dz).sum(axis=1)
+    even = np.add.reduceat(f["alpha"] * da, offsets[:-1])[f["owner"]]
+    return _passage_gradient(w, f["x"], f["h"], f["v"], f["u"], f["alpha"], dz, da - even) | {"c": f["z"].T @ delta, "d": np.array([delta.sum()])}
+
+
+def _passage_gradient(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, v: np.ndarray, u: np.ndarray, alpha: np.ndarray, dz: np.ndarray, pull: np.ndarray) -> dict[str, np.ndarray]:
+    """What passages add to the gradients of the encoder and the attention. dz: of their bag's z; pull: how much more than their bag's mean they move the loss."""
+    de = alpha * pull
+    dv = de[:, None] * w["a"] * u * (1 - v**2)
+    du = de[:, None] * w["a"] * v * u * (1 - u)
+    dh = (alpha[:, None] * dz + dv @ w["v"].T + du @ w["u"].T) * (1 - h**2)
+    return {"w": x.T @ dh, "b": dh.sum(axis=0), "v": h.T @ dv, "u": h.T @ du, "a": (v * u).T @ de}
+
+
+def _long_gradient(w: dict[str, np.ndarray], parts: Callable[[], Iterator[np.ndarray]], y: float, of: int) -> dict[str, np.ndarray]:
+    """_gradient of one bag that parts gives in pieces, each time from its begin: one walk for the attention's sum, one for the gradient."""
+
+    def encoded() -> Iterator[tuple[np.ndarray, ...]]:
+        for x in parts():
+            x = x.astype(np.float64)
+            h = np.tanh(x @ w["w"] + w["b"])
+            v, u = np.tanh(h @ w["v"]), 1 / (1 + np.exp(-h @ w["u"]))
+            yield x, h, v, u, (v * u) @ w["a"]
+
+    top, total, z = -np.inf, 0.0, np.zeros_like(w["c"])
+    for _, h, _, _, e in encoded():
+        higher = max(top, e.max())
+        share, shrunk = np.exp(e - higher), np.exp(top - higher)
+        top, total, z = higher, total * shrunk + share.sum(), z * shrunk + share @ h
+    z /= total
+    delta = (1 / (1 + np.exp(-np.clip(z @ w["c"] + w["d"], -30, 30)))[0] - y) / of
+    dz = delta * w["c"]
+    out = {k: np.zeros_like(a) for k, a in w.items()} | {"c": z * delta, "d": np.array([delta])}
+    for x, h, v, u, e in encoded():
+        for k, part in _passage_gradient(w, x, h, v, u, np.exp(e - top) / total, dz, h @ dz - z @ dz).items():
+            out[k] += part
+    return out
+
+
+def _moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of the features, CHUNK rows at a time."""
+    pieces = range(0, len(x), CHUNK)
+    mean = sum(x[a : a + CHUNK].sum(axis=0, dtype=np.float64) for a in pieces) / len(x)
+    square = sum(((x[a : a + CHUNK] - mean) ** 2).sum(axis=0) for a in pieces) / len(x)
+    return mean.astype(np.float32), (np.sqrt(square) + 1e-3).astype(np.float32)
+
+
+def _runs(bags: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The bags in runs of at most CHUNK passages; one that has more is a run of its own."""
+    begin, held = 0, 0
+    for k, n in enumerate(sizes[bags].tolist()):
+        if k > begin and held + n > CHUNK:
+            yield bags[begin:k]
+            begin, held = k, 0
+        held += n
+    yield bags[begin:]
 
 
 def fit(x: np.ndarray, offsets: np.ndarray, y: np.ndarray, hidden: int = 24, gates: int = 8, epochs: int = 40, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> Mil:
-    """A model of bags x[offsets[i]:offsets[i+1]] with labels y, by Adam on the cross entropy."""
+    """A model of bags x[offsets[i]:offsets[i+1]] with labels y, by Adam on the cross entropy; of x, which may lie in a file, CHUNK rows are held at once."""
     rng = np.random.default_rng(seed)
     d = x.shape[1]
     small = lambda *s: rng.normal(size=s) / np.sqrt(s[0])
     w = {"w": small(d, hidden), "b": np.zeros(hidden), "v": small(hidden, gates), "u": small(hidden, gates), "a": small(gates), "c": small(hidden), "d": np.zeros(1)}
-    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(d), np.ones(d))
+    mean, scale = _moments(x) if len(x) else (np.zeros(d), np.ones(d))
     if not len(y):
         w["c"][:] = 0
         return Mil(w, mean, scale, trained=False)
-    x = (x - mean) / scale
+    scaled = lambda rows: (x[rows] - mean) / scale
     m, s, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     sizes = np.diff(offsets)
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             bags = order[at : at + batch]
-            rows = np.concatenate([np.arange(offsets[b], offsets[b + 1]) for b in bags])
-            g = _gradient(w, x[rows], np.concatenate(([0], np.cumsum(sizes[bags]))), y[bags])
+            g = {k: np.zeros_like(v) for k, v in w.items()}
+            for run in _runs(bags, sizes):
+                if sizes[run[0]] > CHUNK:
+                    a, b = int(offsets[run[0]]), int(offsets[run[0] + 1])
+                    part = _long_gradient(w, lambda a=a, b=b: (scaled(slice(k, min(k + CHUNK, b))) for k in range(a, b, CHUNK)), y[run[0]], len(bags))
+                else:
+                    rows = np.concatenate([np.arange(offsets[b], offsets[b + 1]) for b in run])
+                    part = _gradient(w, scaled(rows), np.concatenate(([0], np.cumsum(sizes[run]))), y[run], len(bags))
+                for k, v in part.items():
+                    g[k] += v
             step += 1
             for k in w:
                 grad = g[k] + decay * w[k]
@@ -271,6 +333,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Mil:
     """A model fitted on a bounded sample of the labelled documents that are not held out."""
+    bounded_batches(docs.sparkSession)
     known = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull() & ~held_out(col(id_col))).groupBy(col(id_col).alias("id")).agg(F.min(col(label_col).cast("int")).alias("y"))
     chosen = written(known.orderBy(F.xxhash64("id"), "id").limit(rows), "labels")
     named = docs.select(col(id_col).alias("doc"), col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id"))  # at most TRAIN_ROWS labels
@@ -286,11 +349,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             if y and part // 2 == 0 and len(text) >= 300:
                 yield from ((i, part % 2, kind, 0, spoilt(text, kind)) for kind in (RANDOM, MIXED))
 
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, int, int, int, str]]]:
+        """All variants, some BLOCK_BYTES of text at a time."""
+        block, size = [], 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                for v in variants(batch.slice(row, 1)):
+                    block.append(v)
+                    size += len(v[4])
+                    if size >= BLOCK_BYTES:
+                        yield block
+                        block, size = [], 0
+        if block:
+            yield block
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, 4, 2, 1 << GRAM_BITS))
-        for batch in batches:
+        for block in blocks_of(batches):
             groups: dict[tuple[int, int], list[str]] = {}
-            for _, half, kind, _, text in variants(batch):
+            for _, half, kind, _, text in block:
                 groups.setdefault((half, kind), []).append(text)
             for (half, kind), texts in groups.items():
                 found[half, kind] += np.stack(gram_counts(pa.array(texts, pa.string())))
@@ -301,24 +378,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     other = [table(counts[1]), table(counts[0])]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for block in blocks_of(batches):
+            rows = []
             for half in (0, 1):
-                some = [v for v in variants(batch) if v[1] == half]
+                some = [v for v in block if v[1] == half]
                 if some:
                     x, offsets = featurize(pa.array([v[4] for v in some], pa.string()), other[half])
-                    bag = pa.array([x[a:b].ravel() for a, b in zip(offsets[:-1], offsets[1:])], pa.list_(pa.float32()))
-                    yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in some], pa.string()), pa.array([v[2] for v in some], pa.int32()), pa.array([v[3] for v in some], pa.int32()), bag], names=["id", "kind", "y", "x"])
-
-    found = sorted(((i, kind, y, x) for i, kind, y, x in spread.mapInArrow(features, "id string, kind int, y int, x array<float>").collect()), key=lambda r: r[:2])  # at most TRAIN_ROWS documents and two variants of each
-    drop(chosen, bags)
-    parts = [np.array(x, np.float32).reshape(-1, FEATURES) for _, _, _, x in found]
-    labels_ = [y for _, _, y, _ in found]
-    if found:
-        empty = max(4, len(found) // 50)
-        parts += [featurize(pa.array([""]))[0]] * empty
-        labels_ += [0] * empty
-    x = np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32)
-    model = fit(x, np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), np.array(labels_, np.float64))
+                    for (i, _, kind, y, _), begin, end in zip(some, offsets[:-1].tolist(), offsets[1:].tolist()):
+                        rows += [(i, kind, nth, y, x[at : min(at + CHUNK, end)].tobytes()) for nth, at in enumerate(range(begin, end, CHUNK))]
+            kinds = pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["id", "kind", "nth", "y", "x"])
+
+    encoded = written(spread.mapInArrow(features, "id string, kind int, nth int, y int, x binary"), "features")
+    size = encoded.agg(F.sum(F.octet_length("x").cast("long"))).head()[0] or 0
+    ordered = encoded.repartitionByRange(1 + size // SENT_BYTES, "id", "kind", "nth").sortWithinPartitions("id", "kind", "nth")
+    with tempfile.TemporaryFile() as file:
+        sizes: list[int] = []
+        labels_: list[int] = []
+        for _, _, nth, y, x in ordered.toLocalIterator():  # a partition at a time: some SENT_BYTES, of at most TRAIN_ROWS documents and two variants of each in all
+            if nth == 0:
+                sizes.append(0)
+                labels_.append(y)
+            sizes[-1] += file.write(x) // (4 * FEATURES)
+        drop(chosen, bags, encoded)
+        if sizes:
+            empty = max(4, len(sizes) // 50)
+            file.write(featurize(pa.array([""]))[0].tobytes() * empty)
+            sizes += [1] * empty
+            labels_ += [0] * empty
+        file.flush()
+        x = np.memmap(file, np.float32, "r", shape=(sum(sizes), FEATURES)) if sizes else np.zeros((0, FEATURES), np.float32)
+        model = fit(x, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.array(labels_, np.float64))
     model.grams = table(counts.sum(axis=0))
     return model
 

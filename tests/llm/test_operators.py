@@ -742,6 +742,36 @@ def test_mil_features_and_pooling_equal_plain_loops(texts):
         assert got[i] == pytest.approx(float(1 / (1 + np.exp(-(z @ model.weights["c"] + model.weights["d"][0])))), abs=1e-5)
 
 
+def test_mil_training_holds_a_bounded_part_of_long_texts(spark, monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(quality_mil, "CHUNK", 256, raising=False)
+    monkeypatch.setattr(quality_mil, "SENT_BYTES", 1 << 20, raising=False)
+    rng = random.Random(6)
+    plain, bad = ["some", "plain", "words", "of", "text", "here"], ["$$#!", "%%&", "||*", "9981"]
+    long = [" ".join(rng.choices(plain if i % 2 else bad, k=1200 * quality_mil.PASSAGE)) for i in range(40)]
+    table = docs(spark, long)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    tracemalloc.start()
+    model = quality_mil.train(table, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6, peak  # features of all passages take twice that as numbers of Python
+    p = [r.p for r in table.orderBy("doc_id").select(quality_mil.score(F.col("text"), model).alias("p")).collect()]
+    assert all((x >= 0.5) == bool(i % 2) for i, x in enumerate(p))
+
+
+def test_mil_fit_in_chunks_is_that_of_whole_bags(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 60, 90)
+    offsets, y = np.concatenate(([0], np.cumsum(sizes))), np.arange(90) % 2.0
+    x = (rng.normal(size=(offsets[-1], 5)) + np.repeat(y, sizes)[:, None]).astype(np.float32)
+    whole = quality_mil.fit(x, offsets, y, epochs=3)
+    monkeypatch.setattr(quality_mil, "CHUNK", 16)
+    parts = quality_mil.fit(x, offsets, y, epochs=3)
+    assert all(np.allclose(whole.weights[k], parts.weights[k], atol=1e-6) for k in whole.weights)
+
+
 def test_mil_gradient_is_the_slope():
     rng = np.random.default_rng(0)
     x, offsets, y = rng.normal(size=(7, 5)), np.array([0, 2, 3, 7]), np.array([1.0, 0.0, 1.0])
