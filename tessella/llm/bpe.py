@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Chunks that a worker keeps from batch to batch. It bounds memory only: a chunk that was forgotten is encoded again.
 CACHE_CHUNKS = 800_000
+#: New chunks that are encoded at once; it bounds memory only.
+LEARN_CHUNKS = 50_000
 
 
 def byte_symbols() -> list[str]:
@@ -227,12 +229,13 @@ class Encoder:
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        if len(self.chunks) > CACHE_CHUNKS:
+        if len(self.chunks) + len(chunks) > CACHE_CHUNKS:
             self.chunks.clear()
         collecting = gc.isenabled()
         gc.disable()  # many short strings and no cycles
         if new := [c for c in chunks if c not in self.chunks]:
-            self._learn(new)
+            for at in range(0, len(new), LEARN_CHUNKS):
+                self._learn(new[at : at + LEARN_CHUNKS])
         parts = list(map(self.chunks.__getitem__, chunks))
         if collecting:
             gc.enable()

@@ -101,7 +101,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rows of long texts that go to Python at once; it bounds a worker's memory, and results don't depend on it.
 TEXT_BATCH = 1000
 #: Bytes that go to Python at once, but for a longer text, which goes alone.
-TEXT_BATCH_BYTES = 8 << 20
+TEXT_BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -40,6 +40,8 @@ ENTRY_PAIRS = 2000
 DENSE = 32_768
 #: More dense leaves than this are never sent to workers: the limit DENSE doubles until they are fewer, and larger slices are compared.
 MOST_PREFIXES = 100_000
+#: Different words whose bits are held at once, 256 bytes each; it bounds memory only.
+WORDS = 1 << 16
 _WORD = re.compile(r"\w+")
 
 
@@ -63,17 +65,35 @@ def signatures(texts: list[str | None]) -> list[bytes]:
 
     Few words make a noisy SimHash, so texts of few different words must agree in more bits.
     """
+    out: list[bytes] = []
+    nth: dict[str, int] = {}
+    rows: list[np.ndarray] = []
+    for t in texts:
+        words = set(_WORD.findall((t or "").lower())) or {t or ""}
+        rows.append(np.fromiter((nth.setdefault(w, len(nth)) for w in words), np.int64, len(words)))
+        if len(nth) >= WORDS:
+            out += _signed(list(nth), rows)
+            nth, rows = {}, []
+    return out + _signed(list(nth), rows)
+
+
+def _signed(words: list[str], rows: list[np.ndarray]) -> list[bytes]:
+    """The signatures of texts of which each has so many of the words (rows: their numbers), WORDS words at a time."""
     import xxhash
 
-    sets = [set(_WORD.findall(t.lower())) or {t} for t in (t or "" for t in texts)]
-    nth: dict[str, int] = {}
-    rows = [np.fromiter((nth.setdefault(w, len(nth)) for w in s), np.int64, len(s)) for s in sets]
-    raw = [w.encode("utf-8", "surrogatepass") for w in nth]
-    digests = b"".join([xxhash.xxh3_128_digest(w) + xxhash.xxh3_128_digest(w, seed=1) for w in raw])
-    weights = np.fromiter((max(1, min(len(w), 12) - 2) for w in nth), np.int8, len(nth))
-    signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 32), axis=1).view(np.int8)
-    signs = (signs * 2 - 1) * weights[:, None]
-    return [np.packbits(signs[r].sum(axis=0, dtype=np.int32) > 0).tobytes() + bytes((within(len(r)),)) for r in rows]
+    sums = np.zeros((len(rows), BITS), np.int32)
+    for at in range(0, len(words), WORDS):
+        some = words[at : at + WORDS]
+        raw = [w.encode("utf-8", "surrogatepass") for w in some]
+        digests = b"".join([xxhash.xxh3_128_digest(w) + xxhash.xxh3_128_digest(w, seed=1) for w in raw])
+        weights = np.fromiter((max(1, min(len(w), 12) - 2) for w in some), np.int8, len(some))
+        signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 32), axis=1).view(np.int8)
+        signs = (signs * 2 - 1) * weights[:, None]
+        for i, r in enumerate(rows):
+            here = r if len(words) <= WORDS else r[(r >= at) & (r < at + WORDS)]
+            for k in range(0, len(here), 4096):
+                sums[i] += signs[here[k : k + 4096] - at].sum(axis=0, dtype=np.int32)
+    return [np.packbits(s > 0).tobytes() + bytes((within(len(r)),)) for s, r in zip(sums, rows)]
 
 
 def signature(text: Column) -> Column:

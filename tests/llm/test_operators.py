@@ -761,6 +761,31 @@ def test_mil_training_holds_a_bounded_part_of_long_texts(spark, monkeypatch):
     assert all((x >= 0.5) == bool(i % 2) for i, x in enumerate(p))
 
 
+@pytest.mark.parametrize("kind", ["string ids, long labels", "long ids, string labels", "binary ids"])
+def test_mil_trains_on_ids_that_differ_in_type(spark, kind):
+    texts = [" ".join(["some plain words of text here" if i % 2 else "$$#! %%& ||* 9981"] * 40) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    table, odd = docs(spark, texts), F.when(F.col("doc_id") >= 36, F.concat(F.lit("d-"), "doc_id")).otherwise(F.col("doc_id").cast("string"))
+    if kind == "binary ids":
+        table, labels = (t.withColumn("doc_id", F.unhex(F.md5(F.col("doc_id").cast("string")))) for t in (table, labels))
+    elif kind == "string ids, long labels":
+        table = table.withColumn("doc_id", odd)
+    else:
+        labels = labels.withColumn("doc_id", odd)
+    model = quality_mil.train(table, labels)
+    p = {r.text: r.p for r in table.select("text", quality_mil.score(F.col("text"), model).alias("p")).collect()}
+    assert model.trained and p[texts[0]] < 0.5 < p[texts[1]]
+
+
+def test_mil_triples_in_parts_are_those_of_all_words(texts, monkeypatch):
+    array = pa.array(texts, pa.string())
+    known = quality_mil.Grams.of(*(np.stack([np.roll(c, k) for k in range(n)]) for n, c in zip((4, 2), quality_mil.gram_counts(array))))
+    whole = quality_mil.gram_counts(array), quality_mil.featurize(array, known)
+    monkeypatch.setattr(quality_mil, "WORDS", 7)
+    parts = quality_mil.gram_counts(array), quality_mil.featurize(array, known)
+    assert all(np.array_equal(a, b) for w, p in zip(whole, parts) for a, b in zip(w, p))
+
+
 def test_mil_fit_in_chunks_is_that_of_whole_bags(monkeypatch):
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 60, 90)
@@ -845,6 +870,22 @@ def test_simhash_links_and_classes_equal_brute_force(spark, monkeypatch):
     assert len(kept) == len(least)
 
 
+def test_simhash_holds_the_bits_of_a_bounded_number_of_words(texts, monkeypatch):
+    import tracemalloc
+
+    words = [f"word{i}" for i in range(300_000)]
+    tracemalloc.start()
+    whole = simhash.signatures([" ".join(words)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 180e6, peak  # 300,000 words of 256 bytes, thrice
+    monkeypatch.setattr(simhash, "WORDS", 1 << 20)
+    assert simhash.signatures([" ".join(words)]) == whole
+    some = simhash.signatures(texts)
+    monkeypatch.setattr(simhash, "WORDS", 50)
+    assert simhash.signatures(texts) == some
+
+
 def test_simhash_families_and_empty_table(spark):
     texts = near_texts()
     classes = {r.doc_id: r.class_id for r in simhash.near_duplicates(docs(spark, texts)).collect()}
